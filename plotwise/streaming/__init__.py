@@ -1,0 +1 @@
+"""The engine's sources are tables at rest; there is no streaming operator to offer yet."""
