@@ -77,19 +77,43 @@ def stitch(segments: list[tuple[float, float, float, float]]) -> list[list[list[
     return [[[{"x": x, "y": y} for x, y in r] for r in (shell, *holes)] for shell, holes in shells]
 
 
+def meets(segments: list[tuple[float, float, float, float]]) -> bool:
+    """Whether two of the segments cross, or one ends inside another, or two overlap along a line: a sweep by the lesser x."""
+    side = lambda ax, ay, bx, by, x, y: (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+    active: list[tuple[float, float, float, float]] = []
+    for s in sorted((a if a[:2] <= a[2:] else (*a[2:], *a[:2])) for a in segments):
+        active = [o for o in active if o[2] >= s[0]]
+        for o in active:
+            if min(o[1], o[3]) > max(s[1], s[3]) or min(s[1], s[3]) > max(o[1], o[3]):
+                continue
+            p, q = side(*o, *s[:2]), side(*o, *s[2:])
+            u, v = side(*s, *o[:2]), side(*s, *o[2:])
+            shared = {s[:2], s[2:]} & {o[:2], o[2:]}
+            if p * q < 0 and u * v < 0:
+                return True
+            if p == q == u == v == 0:
+                along = sorted((s, o))
+                if along[1][:2] < along[0][2:]:
+                    return True
+            elif not shared and p * q <= 0 and u * v <= 0:
+                return True
+        active.append(s)
+    return False
+
+
 def dissolve(parcels: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, mpoly, exact): the union of each group's polygons. ``exact`` is false where its area differs from the parcels' sum, as with
-    overlaps, gaps that touch or unequal borders; such a boundary is not to be trusted. A group is one village, so its segments fit a task."""
+    """(keys, mpoly, exact): the union of each group's polygons. ``exact`` is false where its area differs from the parcels' sum or
+    what is left of the borders meets itself, as with overlaps and unequal borders; such a boundary is not to be trusted. A group is one village, so its segments fit a task."""
     types = ", ".join(f"{k} {parcels.schema[k].dataType.simpleString()}" for k in keys)
 
     def rings(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = stitch(list(pdf[["ax", "ay", "bx", "by"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([[*key, parts]], columns=[*keys, "mpoly"])
+        segments = list(pdf[["ax", "ay", "bx", "by"]].itertuples(index=False, name=None))
+        return pd.DataFrame([[*key, stitch(segments), meets(segments)]], columns=[*keys, "mpoly", "meets"])
 
-    whole = outer_segments(parcels, keys).groupBy(*keys).applyInPandas(rings, f"{types}, mpoly array<array<array<struct<x: double, y: double>>>>")
+    whole = outer_segments(parcels, keys).groupBy(*keys).applyInPandas(rings, f"{types}, mpoly array<array<array<struct<x: double, y: double>>>>, meets boolean")
     sums = parcels.groupBy(*keys).agg(F.sum(geo.area(F.col("mpoly"))).alias("parcel_area"))
     gap = F.abs(geo.area(F.col("mpoly")) - F.col("parcel_area"))
-    return whole.join(sums, keys).withColumn("exact", gap <= 1e-6 * F.greatest(F.lit(1e-12), F.col("parcel_area"))).drop("parcel_area")
+    return whole.join(sums, keys).withColumn("exact", (gap <= 1e-6 * F.greatest(F.lit(1e-12), F.col("parcel_area"))) & ~F.col("meets")).drop("parcel_area", "meets")
 
 
 def boundaries(parcels: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
