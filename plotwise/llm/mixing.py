@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, cap=CAP) -> DataFr
     return s.select("source", "src", "source_size", "target", F.round("target").cast("long").alias("goal"))
 
 
-def place(docs: DataFrame, sources: DataFrame, bucket_rows: int = 8192) -> DataFrame:
+def place(docs: DataFrame, sources: DataFrame, bucket_rows: int = 2048) -> DataFrame:
     """``docs`` (with source, size, key) plus src, source_size, target, goal and ``start``: words of its source before it."""
     n = docs.count()
     buckets = max(1, -(-n // bucket_rows))
