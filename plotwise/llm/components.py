@@ -18,16 +18,16 @@ def _with_least(pairs: DataFrame, own: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); component is the least node reachable. Self links are ignored."""
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
-        both = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    while not _stars(edges):
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         large = cut(_with_least(both, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        down = _with_least(large, False)
-        small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == state:
-            break
-        state = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return cut(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
+        down = _with_least(large, False).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        edges = cut(down.where("u <> v").distinct())
+    node = F.explode(F.array("u", "v"))
+    return cut(edges.select(node.alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one least node that hangs on none."""
+    n, distinct = edges.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == distinct and edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()

@@ -160,7 +160,7 @@ def features(stored: DataFrame) -> DataFrame:
 def resolve(sequences: DataFrame, media: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``items``: the sequence of each row (column ``items``) in its order, media references resolved by digest.
     ``media`` has ``digest`` and further columns, which become the struct ``media`` of each item (null for texts and the unknown)."""
-    items = sequences.select(*keys, F.monotonically_increasing_id().alias("_row"), F.explode_outer("items").alias("item"))
+    items = sequences.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keys, F.explode_outer("items").alias("item"))
     items = items.withColumn("digest", F.regexp_extract("item.ref", f"^{REF}([0-9a-f]{{64}})$", 1))
     known = media.select("digest", F.struct(*[c for c in media.columns if c != "digest"]).alias("media"))
     joined = items.join(known, "digest", "left")

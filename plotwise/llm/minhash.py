@@ -22,11 +22,11 @@ no rows; other columns are ignored (by the stage: passed on).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,29 +34,49 @@ from .components import components
 from .shared import cut, small_side, table
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 28, 6
 IDF_SLOTS = 1 << 16
-HUBS, REPS = 32, 3
+HUBS, REPS, AGREE = 8, 2, 2
 LEVELS_PER_OCTAVE = 4
-#: Shingles that are sampled at once, to stay within the processor's cache; words that a worker remembers.
-STEP, CACHE = 60_000, 500_000
+#: Shingles that are sampled at once, to stay within the processor's cache.
+STEP = 60_000
 U64 = np.uint64
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        return h
+#: White space outside ASCII, and the odd multiplier of the words' polynomial hash with its inverse mod 2**64.
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
-_words = WordHashes()
+def powers(n: int) -> list[np.ndarray]:
+    """BASE**i and INVERSE**i for i up to n, kept between calls."""
+    if len(_powers[0]) <= n:
+        size = 1 << n.bit_length()
+        for k, base in enumerate((BASE, INVERSE)):
+            steps = np.full(size, base, U64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=U64)
+    return _powers
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    words = text.lower().split() if text else []
-    return np.fromiter(map(_words.__getitem__, words), U64, len(words))
+    """64-bit hashes of the words, all at once: differences of a running polynomial over the bytes, shifted to the word's start."""
+    if not text:
+        return np.zeros(0, U64)
+    if WIDE_SPACE.search(text):
+        text = " ".join(text.split())
+    raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
+    space = IS_SPACE[raw]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    start, end = edge[0::2], edge[1::2]
+    up, down = powers(len(raw))
+    run = np.zeros(len(raw) + 1, U64)
+    np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], dtype=U64, out=run[1:])
+    return mixed((run[end] - run[start]) * down[start] + (end - start).astype(U64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -218,6 +238,25 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def _units(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the buckets that span several components: up to ``REPS`` texts of each component, with their rank in the bucket."""
+    placed = members.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    open_ = placed.groupBy("band", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "value")
+    nth = F.row_number().over(Window.partitionBy("band", "value", "component").orderBy("key"))
+    units = placed.join(open_, ["band", "value"]).withColumn("nth", nth).where(F.col("nth") <= REPS)
+    rank = F.row_number().over(Window.partitionBy("band", "value").orderBy("key"))
+    return units.withColumn("rank", rank).select("band", "value", "key", "component", "rank")
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links: only the graph of the components that they touch is solved."""
+    of = found.select(F.col("node").alias("n"), F.col("component").alias("c"))
+    ends = links.join(of.withColumnsRenamed({"n": "a", "c": "ca"}), "a", "left").join(of.withColumnsRenamed({"n": "b", "c": "cb"}), "b", "left")
+    over = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
+    moved = found.join(over.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return cut(moved.unionByName(over.join(found.select("node"), "node", "left_anti")))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): per row with words (id, key); per distinct text (key, class_id). ``docs`` has doc_id (long) and text."""
     null_id = -(1 << 63)
@@ -233,29 +272,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     nodes = cut(members.select("key").distinct().join(texts.select("key", "id"), "key"))
     n_nodes = nodes.count()
     pool = cut(slim.join(small_side(nodes, n_nodes, 64), ["id", "key"]).select("key", "text").dropDuplicates(["key"]))
-    links = cut(verified(pairs, pool, idf, similarity))
-    found = components(links)
-    tested, low = pairs, 0
+    found, tested, low, units = components(cut(verified(pairs, pool, idf, similarity))), pairs, 0, None
     while True:
-        placed = members.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        in_bucket = Window.partitionBy("band", "value")
-        open_ = placed.groupBy("band", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "value")
-        units = placed.join(open_, ["band", "value"]).withColumn("nth", F.row_number().over(Window.partitionBy("band", "value", "component").orderBy("key"))).where(F.col("nth") <= REPS)
-        units = cut(units.withColumn("rank", F.row_number().over(in_bucket.orderBy("key"))).select("band", "value", "key", "component", "rank"))
-        top = units.agg(F.max("rank")).first()[0] or 0
+        if units is None:
+            units = cut(_units(members, found).join(texts.select("key", "bands"), "key"))
+            top = units.agg(F.max("rank")).first()[0] or 0
         if top <= low:
             break
-        hubs = units.where((F.col("rank") > low) & (F.col("rank") <= low + HUBS)).select("band", "value", F.col("key").alias("a"), F.col("component").alias("ca"))
-        more = hubs.join(units, ["band", "value"]).where("component <> ca and key <> a").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-        more = cut(more.join(tested, ["a", "b"], "left_anti"))
+        hubs = units.where((F.col("rank") > low) & (F.col("rank") <= low + HUBS)).select("band", "value", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"))
+        near = hubs.join(units, ["band", "value"]).where("component <> ca and key <> a").where(F.size(F.array_intersect("bands", "bands_a")) >= AGREE)
+        more = cut(near.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
         low += HUBS
         if more.isEmpty():
             continue
         new = cut(verified(more, pool, idf, similarity))
         tested = cut(tested.unionByName(more))
         if not new.isEmpty():
-            links = links.unionByName(new)
-            found, low = components(links), 0
+            found, low, units = merged(found, new), 0, None
     placed = texts.select("key", "least").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     best = cut(placed.groupBy("component").agg(F.min("least").alias("class_id")))
     groups = cut(placed.join(best, "component").select("key", "class_id"))
