@@ -11,9 +11,12 @@ sample, and (element, t) its value. The draws come from a table indexed by 16 bi
 put on a grid of quarter powers of two, so that a sample costs one look-up; equal values break by the element's hash.
 
 Candidates: texts that agree on a whole band share a bucket. In each bucket the least text is held against all
-others; then, as long as a bucket spans several components, up to ``REPS`` texts of each of its components are held
-against those of the others, ``HUBS`` at a time, until all are. Pairs are verified with exact weights over whole texts.
-Equal texts are one node throughout. Classes are the connected components of verified links.
+others. Of the buckets that then span several components, every pair of texts from different components is held
+against each other; pairs within a component add nothing and are not made. This work is counted first and split into
+ranges of texts by hash, at most ``WORK`` or ``WORK_PER_TEXT`` comparisons a text at once (if there is much of it, a
+32nd goes first); what one range links is one component for the next. A comparison first counts the samples that agree
+(in sketches of ``BITS`` bits a sample); pairs far below the similarity end there. The others are verified with exact
+weights over whole texts. Equal texts are one node throughout. Classes are the connected components of verified links.
 
 Defined results: texts without words (null, empty, blank) are never linked and are classes of their own; repeated
 rows fall into one class; ``class_id`` is the least doc_id of the class (null if it has none); an empty table gives
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,13 @@ from .shared import cut, small_side, table
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
 IDF_SLOTS = 1 << 16
-HUBS, REPS, AGREE = 8, 2, 2
+#: A sketch holds four bits of every sample; texts whose samples agree less than at a similarity of ``CLOSE`` are not verified.
+BITS, CLOSE = 4, 0.66
+LONGS = -(-BANDS * ROWS // 64)
+SKETCH = BITS * LONGS
+DIFFER = int((1 - CLOSE) * (1 - 2.0**-BITS) * BANDS * ROWS)
+#: Comparisons between two merges: this many, or this many a text if that is more. From ``EARLY`` on, a 32nd goes first.
+WORK, WORK_PER_TEXT, EARLY, SLOTS = 20_000_000, 200, 500_000, 1 << 15
 LEVELS_PER_OCTAVE = 4
 #: Shingles that are sampled at once, to stay within the processor's cache.
 STEP = 60_000
@@ -130,14 +140,19 @@ class Sampler:
         return (np.array([self.tables[x] for x in known.tolist()], np.int64) << 16)[where]
 
     def bands(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Per text: its ``BANDS`` band hashes, then its sketch, ``BITS`` planes of one bit for each sample."""
         offsets = self.rows_of(np.rint(np.log2(weights) * LEVELS_PER_OCTAVE).astype(np.int64))
         flat, low = self.scores.ravel(), hashes & U64(0xFFFFFFFF)
-        out = np.zeros((BANDS, len(starts)), U64)
+        out = np.zeros((BANDS + SKETCH, len(starts)), U64)
         for k, m in enumerate(self.multipliers):
             at = (hashes * m >> U64(48)).astype(np.int64) + offsets
             packed = (flat.take(at).astype(U64) << U64(32)) | low
             band = out[k // ROWS]
-            band[:] = mixed(band * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(packed, starts))
+            sample = np.minimum.reduceat(packed, starts)
+            band[:] = mixed(band * U64(0x9E3779B97F4A7C15) + sample)
+            code = mixed(sample)
+            for bit in range(BITS):
+                out[BANDS + bit * LONGS + k // 64] |= (code >> U64(bit) & U64(1)) << U64(k % 64)
         return out.T.view(np.int64)
 
 
@@ -207,7 +222,7 @@ def sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             flush()
             if rows:
                 flat = np.concatenate(bands)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype="int32") * BANDS), pa.array(np.ascontiguousarray(flat).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype="int32") * (BANDS + SKETCH)), pa.array(np.ascontiguousarray(flat).ravel()))
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("key").take(take), lists], ["id", "key", "bands"])
 
@@ -238,23 +253,46 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _units(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Of the buckets that span several components: up to ``REPS`` texts of each component, with their rank in the bucket."""
-    placed = members.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    open_ = placed.groupBy("band", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "value")
-    nth = F.row_number().over(Window.partitionBy("band", "value", "component").orderBy("key"))
-    units = placed.join(open_, ["band", "value"]).withColumn("nth", nth).where(F.col("nth") <= REPS)
-    rank = F.row_number().over(Window.partitionBy("band", "value").orderBy("key"))
-    return units.withColumn("rank", rank).select("band", "value", "key", "component", "rank")
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with the component of each key: its own key if it has no link yet."""
+    return members.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
-def merged(found: DataFrame, links: DataFrame) -> DataFrame:
-    """The components after further links: only the graph of the components that they touch is solved."""
-    of = found.select(F.col("node").alias("n"), F.col("component").alias("c"))
-    ends = links.join(of.withColumnsRenamed({"n": "a", "c": "ca"}), "a", "left").join(of.withColumnsRenamed({"n": "b", "c": "cb"}), "b", "left")
-    over = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
-    moved = found.join(over.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return cut(moved.unionByName(over.join(found.select("node"), "node", "left_anti")))
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of the buckets that span several components; ``minor`` marks those outside their bucket's largest component."""
+    placed = cut(_placed(members.select("band", "value", "key"), found))
+    sizes = placed.groupBy("band", "value", "component").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "component"))["component"]
+    buckets = sizes.groupBy("band", "value").agg(most.alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    return placed.join(buckets.select("band", "value", "major"), ["band", "value"]).select("band", "value", "key", (F.col("component") != F.col("major")).alias("minor"))
+
+
+def close(x: str, y: str) -> Column:
+    """Whether the sketches in two columns of band lists differ in at most ``DIFFER`` samples."""
+    planes = lambda i: [F.col(x)[BANDS + bit * LONGS + i].bitwiseXOR(F.col(y)[BANDS + bit * LONGS + i]) for bit in range(BITS)]
+    return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, planes(i))) for i in range(LONGS)]) <= DIFFER
+
+
+def across(units: DataFrame, found: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs (a, b) of keys of different components with close sketches whose first shared bucket is this one.
+
+    One of each such pair is a minor member, so minor members are held against their bucket; the largest component is
+    never held against itself. A pair belongs to the slot of its minor member, or of the lesser if both are minor.
+    """
+    now = _placed(units, found)
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS))
+    ask = now.where(F.col("minor") & (slot >= low) & (slot < high))
+    ask = ask.select("band", "value", F.col("key").alias("x"), F.col("component").alias("cx"), F.col("bands").alias("bx"))
+    near = ask.join(now, ["band", "value"]).where((F.col("cx") != F.col("component")) & (~F.col("minor") | (F.col("x") < F.col("key"))) & close("bx", "bands"))
+    first = F.array_position(F.zip_with(F.slice("bx", 1, BANDS), F.slice("bands", 1, BANDS), lambda p, q: p == q), True)
+    return near.where(first == F.col("band") + 1).select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b"))
+
+
+def slots(work: int, texts: int) -> list[int]:
+    """Ascending borders of the ranges of slots that are compared between two merges."""
+    parts = -(-work // max(WORK, WORK_PER_TEXT * texts))
+    early = [SLOTS // 32] if work >= EARLY else []
+    return sorted({0, *early, *(SLOTS * i // parts for i in range(1, parts + 1))})
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -264,31 +302,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     idf = inverse_frequencies(slim)
     signed = cut(sign(slim, idf))
     texts = cut(signed.groupBy("key").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != null_id, F.col("id"))).alias("least"), F.first("bands").alias("bands")))
-    entries = texts.select("key", F.posexplode("bands").alias("band", "value"))
+    entries = texts.select("key", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "value"))
     shared = entries.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("key").alias("hub")).where("n > 1")
     shared = cut(shared.select("band", "value", "hub"))
     members = cut(entries.join(shared, ["band", "value"]).select("band", "value", "hub", "key"))
     pairs = cut(members.where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
-    nodes = cut(members.select("key").distinct().join(texts.select("key", "id"), "key"))
+    nodes = cut(members.select("key").distinct().join(texts.select("key", "id", "bands"), "key"))
     n_nodes = nodes.count()
-    pool = cut(slim.join(small_side(nodes, n_nodes, 64), ["id", "key"]).select("key", "text").dropDuplicates(["key"]))
-    found, tested, low, units = components(cut(verified(pairs, pool, idf, similarity))), pairs, 0, None
-    while True:
-        if units is None:
-            units = cut(_units(members, found).join(texts.select("key", "bands"), "key"))
-            top = units.agg(F.max("rank")).first()[0] or 0
-        if top <= low:
-            break
-        hubs = units.where((F.col("rank") > low) & (F.col("rank") <= low + HUBS)).select("band", "value", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"))
-        near = hubs.join(units, ["band", "value"]).where("component <> ca and key <> a").where(F.size(F.array_intersect("bands", "bands_a")) >= AGREE)
-        more = cut(near.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        low += HUBS
-        if more.isEmpty():
-            continue
-        new = cut(verified(more, pool, idf, similarity))
-        tested = cut(tested.unionByName(more))
-        if not new.isEmpty():
-            found, low, units = merged(found, new), 0, None
+    pool = cut(slim.join(small_side(nodes.select("key", "id"), n_nodes, 64), ["id", "key"]).select("key", "text").dropDuplicates(["key"]))
+    bands_of = lambda k: nodes.select(F.col("key").alias(k), F.col("bands").alias(f"bands_{k}"))
+    first = pairs.join(bands_of("a"), "a").join(bands_of("b"), "b").where(close("bands_a", "bands_b")).select("a", "b")
+    found = components(verified(first, pool, idf, similarity))
+    units = cut(_open(members, found).join(nodes.select("key", "bands"), "key"))
+    per_bucket = units.groupBy("band", "value").agg(F.sum(F.col("minor").cast("long")).alias("m"), F.count("*").alias("n"))
+    borders = slots(per_bucket.agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0, n_nodes)
+    for low, high in zip(borders, borders[1:]):
+        more = across(units, found, low, high).join(pairs, ["a", "b"], "left_anti")
+        new = verified(more, pool, idf, similarity)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
     placed = texts.select("key", "least").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     best = cut(placed.groupBy("component").agg(F.min("least").alias("class_id")))
     groups = cut(placed.join(best, "component").select("key", "class_id"))
