@@ -13,9 +13,10 @@ put on a grid of quarter powers of two, so that a sample costs one look-up; equa
 Candidates: texts that agree on a whole band share a bucket. In each bucket the least text is held against all
 others. Of the buckets that then span several components, every pair of texts from different components is held
 against each other; pairs within a component add nothing and are not made. This work is counted first and split into
-ranges of texts by hash, at most ``WORK`` or ``WORK_PER_TEXT`` comparisons a text at once (if there is much of it, a
-32nd goes first); what one range links is one component for the next. A comparison first counts the samples that agree
-(in sketches of ``BITS`` bits a sample); pairs far below the similarity end there. The others are verified with exact
+ranges of texts by hash, at most ``WORK`` or ``WORK_PER_TEXT`` comparisons a text at once; what one range links is one
+component for the next. Before all ranges, each text outside its bucket's largest component is held against the nearest
+text of another component, which joins most of what can be joined. A comparison first counts the samples that agree (in
+sketches of ``BITS`` bits a sample); pairs far below the similarity end there. The others are verified with exact
 weights over whole texts. Equal texts are one node throughout. Classes are the connected components of verified links.
 
 Defined results: texts without words (null, empty, blank) are never linked and are classes of their own; repeated
@@ -40,13 +41,13 @@ from .shared import cut, small_side, table
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
 IDF_SLOTS = 1 << 16
-#: A sketch holds four bits of every sample; texts whose samples agree less than at a similarity of ``CLOSE`` are not verified.
-BITS, CLOSE = 4, 0.66
+#: A sketch holds four bits of every sample. Texts whose samples agree less than at a similarity of ``CLOSE`` are not
+#: verified; those from ``NEAREST`` on may be a text's nearest.
+BITS, CLOSE, NEAREST = 4, 0.66, 0.77
 LONGS = -(-BANDS * ROWS // 64)
 SKETCH = BITS * LONGS
-DIFFER = int((1 - CLOSE) * (1 - 2.0**-BITS) * BANDS * ROWS)
-#: Comparisons between two merges: this many, or this many a text if that is more. From ``EARLY`` on, a 32nd goes first.
-WORK, WORK_PER_TEXT, EARLY, SLOTS = 20_000_000, 200, 500_000, 1 << 15
+#: Comparisons between two merges: this many, or this many a text if that is more.
+WORK, WORK_PER_TEXT, SLOTS = 20_000_000, 200, 1 << 15
 LEVELS_PER_OCTAVE = 4
 #: Shingles that are sampled at once, to stay within the processor's cache.
 STEP = 60_000
@@ -267,14 +268,19 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(buckets.select("band", "value", "major"), ["band", "value"]).select("band", "value", "key", (F.col("component") != F.col("major")).alias("minor"))
 
 
-def close(x: str, y: str) -> Column:
-    """Whether the sketches in two columns of band lists differ in at most ``DIFFER`` samples."""
+def differing(x: str, y: str) -> Column:
+    """The number of samples in which the sketches in two columns of band lists differ."""
     planes = lambda i: [F.col(x)[BANDS + bit * LONGS + i].bitwiseXOR(F.col(y)[BANDS + bit * LONGS + i]) for bit in range(BITS)]
-    return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, planes(i))) for i in range(LONGS)]) <= DIFFER
+    return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, planes(i))) for i in range(LONGS)])
 
 
-def across(units: DataFrame, found: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs (a, b) of keys of different components with close sketches whose first shared bucket is this one.
+def most_differing(similarity: float) -> int:
+    """The samples expected to differ at a similarity."""
+    return int((1 - similarity) * (1 - 2.0**-BITS) * BANDS * ROWS)
+
+
+def across(units: DataFrame, found: DataFrame, low: int = 0, high: int = SLOTS, least: float = CLOSE) -> DataFrame:
+    """Pairs (x, key) of keys of different components with close sketches whose first shared bucket is this one.
 
     One of each such pair is a minor member, so minor members are held against their bucket; the largest component is
     never held against itself. A pair belongs to the slot of its minor member, or of the lesser if both are minor.
@@ -283,16 +289,25 @@ def across(units: DataFrame, found: DataFrame, low: int, high: int) -> DataFrame
     slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS))
     ask = now.where(F.col("minor") & (slot >= low) & (slot < high))
     ask = ask.select("band", "value", F.col("key").alias("x"), F.col("component").alias("cx"), F.col("bands").alias("bx"))
-    near = ask.join(now, ["band", "value"]).where((F.col("cx") != F.col("component")) & (~F.col("minor") | (F.col("x") < F.col("key"))) & close("bx", "bands"))
+    apart = (F.col("cx") != F.col("component")) & (~F.col("minor") | (F.col("x") < F.col("key")))
+    near = ask.join(now, ["band", "value"]).where(apart & (differing("bx", "bands") <= most_differing(least)))
     first = F.array_position(F.zip_with(F.slice("bx", 1, BANDS), F.slice("bands", 1, BANDS), lambda p, q: p == q), True)
-    return near.where(first == F.col("band") + 1).select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b"))
+    return near.where(first == F.col("band") + 1).select("x", "key", differing("bx", "bands").alias("differ"))
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (x, key), the one with the closest sketches for each x."""
+    return pairs.groupBy("x").agg(F.min(F.struct("differ", "key"))["key"].alias("key"))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b"))
 
 
 def slots(work: int, texts: int) -> list[int]:
     """Ascending borders of the ranges of slots that are compared between two merges."""
     parts = -(-work // max(WORK, WORK_PER_TEXT * texts))
-    early = [SLOTS // 32] if work >= EARLY else []
-    return sorted({0, *early, *(SLOTS * i // parts for i in range(1, parts + 1))})
+    return sorted({SLOTS * i // max(1, parts) for i in range(parts + 1)})
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -311,15 +326,20 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     n_nodes = nodes.count()
     pool = cut(slim.join(small_side(nodes.select("key", "id"), n_nodes, 64), ["id", "key"]).select("key", "text").dropDuplicates(["key"]))
     bands_of = lambda k: nodes.select(F.col("key").alias(k), F.col("bands").alias(f"bands_{k}"))
-    first = pairs.join(bands_of("a"), "a").join(bands_of("b"), "b").where(close("bands_a", "bands_b")).select("a", "b")
+    first = pairs.join(bands_of("a"), "a").join(bands_of("b"), "b").where(differing("bands_a", "bands_b") <= most_differing(CLOSE)).select("a", "b")
     found = components(verified(first, pool, idf, similarity))
     units = cut(_open(members, found).join(nodes.select("key", "bands"), "key"))
     per_bucket = units.groupBy("band", "value").agg(F.sum(F.col("minor").cast("long")).alias("m"), F.count("*").alias("n"))
     borders = slots(per_bucket.agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0, n_nodes)
+
+    def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+        new = verified(ends(more).join(pairs, ["a", "b"], "left_anti"), pool, idf, similarity)
+        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+
+    if len(borders) > 1:
+        found = joined(found, nearest(across(units, found, least=NEAREST)))
     for low, high in zip(borders, borders[1:]):
-        more = across(units, found, low, high).join(pairs, ["a", "b"], "left_anti")
-        new = verified(more, pool, idf, similarity)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+        found = joined(found, across(units, found, low, high))
     placed = texts.select("key", "least").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     best = cut(placed.groupBy("component").agg(F.min("least").alias("class_id")))
     groups = cut(placed.join(best, "component").select("key", "class_id"))
