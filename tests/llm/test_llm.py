@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from plotwise.llm import components as graph
 from plotwise.llm import html_tree, language, media, minhash, mixing, packing, pii, quality, queries, secret_scan
 from plotwise.llm.embedding_dedup import near_vectors
 
@@ -84,6 +85,36 @@ def test_dedup_stage_keeps_one(spark, docs):
     assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == [0, 3, 4, 5, 6, 7, 9, 10, 12]
 
 
+def test_components_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS_PER_TASK", 8)
+    links = [(i, i + 1) for i in range(20)] + [(30, 31), (32, 31), (33, 33)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(21)} | {30: 30, 31: 30, 32: 30}
+
+
+def test_drifting_group_against_brute_force(spark, monkeypatch):
+    """Texts whose links form chains: no link may be lost because a bucket's least text is not one of its ends."""
+    draw, base = random.Random(5), prose(120, 9).split()
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for at in draw.sample(range(120), draw.randint(1, 5)):
+            words[at] = draw.choice(WORDS)
+        texts.append(" ".join(words))
+    monkeypatch.setattr(minhash, "slots", lambda work, n: [0, minhash.SLOTS // 2, minhash.SLOTS])
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(made).collect()}
+    idf = minhash.inverse_frequencies(made)
+    sets = [minhash.shingles(minhash.word_hashes(t), idf) for t in texts]
+    want = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if minhash.alike(sets[i], sets[j]) >= 0.8 and want[i] != want[j]:
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    assert len(set(want)) > 1
+    assert got == dict(enumerate(want))
+
+
 def test_sampler_estimates_weighted_jaccard():
     draw = np.random.default_rng(3)
     h = draw.integers(0, 1 << 63, 400, dtype=np.int64).astype(np.uint64)
