@@ -16,8 +16,12 @@ against each other; pairs within a component add nothing and are not made. This
 ranges of texts by hash, at most ``WORK`` or ``WORK_PER_TEXT`` comparisons a text at once; what one range links is one
 component for the next. Before all ranges, each text outside its bucket's largest component is held against the nearest
 text of another component, which joins most of what can be joined. A comparison first counts the samples that agree (in
-sketches of ``BITS`` bits a sample); pairs far below the similarity end there. The others are verified with exact
-weights over whole texts. Equal texts are one node throughout. Classes are the connected components of verified links.
+sketches of ``BITS`` bits a sample); pairs far below the similarity end there. Then it counts the bits in which two
+bitmaps of all shingles differ. Bits differ only where shingles do, so under equal weights this bounds the similarity
+from above without error. The second bitmap has bits in proportion to weights (``UNIT`` a bit, rounded at random but
+alike in all texts) and a margin for the rounding. A pair ends there only if both say that it can't reach the
+similarity; texts too long for the bitmaps fill them and pass. The others are verified with exact weights over whole
+texts. Equal texts are one node throughout. Classes are the connected components of verified links.
 
 Defined results: texts without words (null, empty, blank) are never linked and are classes of their own; repeated
 rows fall into one class; ``class_id`` is the least doc_id of the class (null if it has none); an empty table gives
@@ -46,6 +50,13 @@ IDF_SLOTS = 1 << 16
 BITS, CLOSE, NEAREST = 4, 0.66, 0.77
 LONGS = -(-BANDS * ROWS // 64)
 SKETCH = BITS * LONGS
+#: 64-bit words of the bitmaps: all shingles alike, and by weight (``UNIT`` a bit, ``COPIES`` at most). The latter may differ
+#: in ``MARGIN`` times the root of the allowed bits beyond these.
+PLAIN, WEIGHED, UNIT, COPIES, MARGIN = 16, 12, 4.0, 2, 1.5
+#: Parts of a weight in which a text's total is stored.
+PARTS = 1 << 10
+#: Longs a text: bands, sketch, both bitmaps, number of distinct shingles, total weight.
+WIDTH = BANDS + SKETCH + PLAIN + WEIGHED + 2
 #: Comparisons between two merges: this many, or this many a text if that is more.
 WORK, WORK_PER_TEXT, SLOTS = 20_000_000, 200, 1 << 15
 LEVELS_PER_OCTAVE = 4
@@ -141,10 +152,10 @@ class Sampler:
         return (np.array([self.tables[x] for x in known.tolist()], np.int64) << 16)[where]
 
     def bands(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Per text: its ``BANDS`` band hashes, then its sketch, ``BITS`` planes of one bit for each sample."""
+        """Per text ``WIDTH`` longs: the band hashes, the sketch (``BITS`` planes of one bit for each sample), then ``bitmaps``."""
         offsets = self.rows_of(np.rint(np.log2(weights) * LEVELS_PER_OCTAVE).astype(np.int64))
         flat, low = self.scores.ravel(), hashes & U64(0xFFFFFFFF)
-        out = np.zeros((BANDS + SKETCH, len(starts)), U64)
+        out = np.zeros((WIDTH, len(starts)), U64)
         for k, m in enumerate(self.multipliers):
             at = (hashes * m >> U64(48)).astype(np.int64) + offsets
             packed = (flat.take(at).astype(U64) << U64(32)) | low
@@ -154,9 +165,26 @@ class Sampler:
             code = mixed(sample)
             for bit in range(BITS):
                 out[BANDS + bit * LONGS + k // 64] |= (code >> U64(bit) & U64(1)) << U64(k % 64)
+        out[BANDS + SKETCH :] = bitmaps(hashes, weights, starts).T
         return out.T.view(np.int64)
 
 
+def bitmaps(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per text: both bitmaps of its shingles, their number and their total weight in ``PARTS``."""
+    sizes = np.diff(starts, append=len(hashes))
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    plain, weighed = np.zeros((len(starts), 64 * PLAIN), bool), np.zeros((len(starts), 64 * WEIGHED), bool)
+    plain[owner, (hashes >> U64(20)) % U64(64 * PLAIN)] = True
+    draw = mixed(hashes ^ U64(BASE))
+    copies = np.minimum(weights / UNIT, COPIES) + (draw >> U64(32)) / 2.0**32
+    for i in range(COPIES):
+        has = copies >= i + 1
+        weighed[owner[has], (draw[has] >> U64(16 * i) & U64(0xFFFF)) * U64(64 * WEIGHED) >> U64(16)] = True
+    packed = [np.packbits(x, axis=1, bitorder="little").view(U64) for x in (plain, weighed)]
+    totals = np.rint(np.add.reduceat(weights, starts) * PARTS).astype(U64)
+    return np.hstack([*packed, sizes.astype(U64)[:, None], totals[:, None]])
+
+
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(text, "utf-8")))
 
@@ -223,7 +251,7 @@ def sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             flush()
             if rows:
                 flat = np.concatenate(bands)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype="int32") * (BANDS + SKETCH)), pa.array(np.ascontiguousarray(flat).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype="int32") * WIDTH), pa.array(np.ascontiguousarray(flat).ravel()))
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("key").take(take), lists], ["id", "key", "bands"])
 
@@ -274,13 +302,29 @@ def differing(x: str, y: str) -> Column:
     return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, planes(i))) for i in range(LONGS)])
 
 
+def within_reach(x: str, y: str, similarity: float) -> Column:
+    """Whether the bitmaps and totals in two columns of band lists leave room for ``similarity`` under either weighing."""
+
+    def apart(start: int, longs: int) -> Column:
+        bits = F.zip_with(F.slice(x, start + 1, longs), F.slice(y, start + 1, longs), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        return F.aggregate(bits, F.lit(0), lambda n, more: n + more)
+
+    share, at = (1 - similarity) / (1 + similarity) * (1 + 1e-9), BANDS + SKETCH
+    count, total = at + PLAIN + WEIGHED, at + PLAIN + WEIGHED + 1
+    room = (F.col(x)[total] + F.col(y)[total] + 2) / PARTS * share
+    bits = room / UNIT
+    plain = apart(at, PLAIN) <= (F.col(x)[count] + F.col(y)[count]) * share
+    totals = F.abs(F.col(x)[total] - F.col(y)[total]) / PARTS <= room + 2 / PARTS
+    return plain | (totals & (apart(at + PLAIN, WEIGHED) <= bits + F.sqrt(bits) * MARGIN))
+
+
 def most_differing(similarity: float) -> int:
     """The samples expected to differ at a similarity."""
     return int((1 - similarity) * (1 - 2.0**-BITS) * BANDS * ROWS)
 
 
-def across(units: DataFrame, found: DataFrame, low: int = 0, high: int = SLOTS, least: float = CLOSE) -> DataFrame:
-    """Pairs (x, key) of keys of different components with close sketches whose first shared bucket is this one.
+def across(units: DataFrame, found: DataFrame, similarity: float, low: int = 0, high: int = SLOTS, least: float = CLOSE) -> DataFrame:
+    """Pairs (x, key) of keys of different components that may reach ``similarity`` and whose first shared bucket is this one.
 
     One of each such pair is a minor member, so minor members are held against their bucket; the largest component is
     never held against itself. A pair belongs to the slot of its minor member, or of the lesser if both are minor.
@@ -292,7 +336,7 @@ def across(units: DataFrame, found: DataFrame, low: int = 0, high: int = SLOTS,
     apart = (F.col("cx") != F.col("component")) & (~F.col("minor") | (F.col("x") < F.col("key")))
     near = ask.join(now, ["band", "value"]).where(apart & (differing("bx", "bands") <= most_differing(least)))
     first = F.array_position(F.zip_with(F.slice("bx", 1, BANDS), F.slice("bands", 1, BANDS), lambda p, q: p == q), True)
-    return near.where(first == F.col("band") + 1).select("x", "key", differing("bx", "bands").alias("differ"))
+    return near.where(first == F.col("band") + 1).where(within_reach("bx", "bands", similarity)).select("x", "key", differing("bx", "bands").alias("differ"))
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
@@ -326,7 +370,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     n_nodes = nodes.count()
     pool = cut(slim.join(small_side(nodes.select("key", "id"), n_nodes, 64), ["id", "key"]).select("key", "text").dropDuplicates(["key"]))
     bands_of = lambda k: nodes.select(F.col("key").alias(k), F.col("bands").alias(f"bands_{k}"))
-    first = pairs.join(bands_of("a"), "a").join(bands_of("b"), "b").where(differing("bands_a", "bands_b") <= most_differing(CLOSE)).select("a", "b")
+    first = pairs.join(bands_of("a"), "a").join(bands_of("b"), "b").where(differing("bands_a", "bands_b") <= most_differing(CLOSE)).where(within_reach("bands_a", "bands_b", similarity)).select("a", "b")
     found = components(verified(first, pool, idf, similarity))
     units = cut(_open(members, found).join(nodes.select("key", "bands"), "key"))
     per_bucket = units.groupBy("band", "value").agg(F.sum(F.col("minor").cast("long")).alias("m"), F.count("*").alias("n"))
@@ -337,9 +381,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
 
     if len(borders) > 1:
-        found = joined(found, nearest(across(units, found, least=NEAREST)))
+        found = joined(found, nearest(across(units, found, similarity, least=NEAREST)))
     for low, high in zip(borders, borders[1:]):
-        found = joined(found, across(units, found, low, high))
+        found = joined(found, across(units, found, similarity, low, high))
     placed = texts.select("key", "least").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     best = cut(placed.groupBy("component").agg(F.min("least").alias("class_id")))
     groups = cut(placed.join(best, "component").select("key", "class_id"))

@@ -125,6 +125,28 @@ def test_sampler_estimates_weighted_jaccard():
     assert (sampler.bands(h[100:], w, np.array([0])) == one).mean() < 0.3
 
 
+def test_bitmaps_never_rule_out_a_link(spark):
+    """Pairs from far below to above 0.8, with repeated lines: what is linked is always within reach, what is far off is not."""
+    draw, texts = random.Random(11), []
+    for size in (30, 150, 400):
+        base = prose(size, size).split()
+        for edits in (1, 2, 3, 4, 6, 8, 12, 20):
+            words = list(base) + base[:7] * draw.randint(0, 4)
+            for at in draw.sample(range(len(words)), edits):
+                words[at] = draw.choice(WORDS)
+            texts.append(" ".join(words))
+    idf = 1 + 3 * np.random.default_rng(4).random(minhash.IDF_SLOTS)
+    sets = [minhash.shingles(minhash.word_hashes(t), idf) for t in texts]
+    starts = np.cumsum([0] + [len(h) for h, _ in sets[:-1]])
+    signs = minhash.Sampler().bands(np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets]), starts)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(signs)], "i int, p array<bigint>")
+    pairs = rows.join(rows.selectExpr("i as j", "p as q"), F.expr("i < j")).select("i", "j", minhash.within_reach("p", "q", 0.8).alias("near"))
+    near = {(r.i, r.j): r.near for r in pairs.collect()}
+    links = {k for k in near if minhash.alike(sets[k[0]], sets[k[1]]) >= 0.8}
+    assert links and all(near[k] for k in links)
+    assert not any(near[k] for k in near if minhash.alike(sets[k[0]], sets[k[1]]) < 0.3)
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
