@@ -2,8 +2,10 @@
 
 Fit: each tree splits a bounded sample (``SAMPLE`` distinct vectors, by hash) at random directions near the median,
 as deep as the number of vectors asks for (leaves of about ``LEAF`` rows; the sample bounds the depth). A row within
-``SPILL`` quantiles of a split goes down both sides. Every vector is routed down every tree. Leaves are compared whole; a leaf of
-more than ``BLOCK`` rows is compared block by block, all blocks against all, so no task holds more than two blocks.
+``SPILL`` quantiles of a split goes down both sides. A split must not part a dense group (rows linked to ``DENSE`` of the node's
+sample): other places and directions are tried, and if all part it the node stays a leaf. Every vector is routed down every tree.
+Leaves are compared whole; a leaf of more than ``BLOCK`` rows is compared block by block, all blocks against all, so no task holds
+more than two blocks. A pair counts in the first leaf that holds both, so a task gives one row for each linked vector, not for each pair.
 Cosines are computed in double precision; links below the threshold are never reported. Equal vectors are one node.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are components of
@@ -28,6 +30,8 @@ from .shared import cut, table
 
 COSINE = 0.95
 TREES, LEAF, SPILL, SAMPLE, BLOCK = 8, 512, 0.05, 20_000, 4096
+#: A group is dense from this share of a node's sample; a split may part so much of its links; rows of the sample looked at; directions tried.
+DENSE, PARTED, PROBE, TRIES = 0.05, 0.05, 512, 4
 
 
 @dataclass
@@ -39,19 +43,43 @@ class Split:
     right: object
 
 
-def grow(x: np.ndarray, depth: int, draw: np.random.Generator, counter: list[int], spill: float = SPILL):
-    """A tree over the sample: Split nodes, leaves numbered by int."""
-    if depth <= 0 or len(x) < 16:
-        counter[0] += 1
-        return counter[0] - 1
-    direction = draw.normal(size=x.shape[1])
-    p = x @ (direction / np.linalg.norm(direction))
-    at = draw.uniform(0.45, 0.55)
-    low, mid, high = np.quantile(p, [at - spill, at, at + spill])
-    if low == high:
-        counter[0] += 1
-        return counter[0] - 1
-    return Split(direction / np.linalg.norm(direction), low, high, grow(x[p < high], depth - 1, draw, counter, spill), grow(x[p >= low], depth - 1, draw, counter, spill))
+def dense_links(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Per row that many others are linked to: its links, as a row of booleans; no rows if no group is dense."""
+    linked = x @ x.T >= cosine
+    np.fill_diagonal(linked, False)
+    degree = linked.sum(1)
+    linked[degree < max(8, DENSE * len(x))] = False
+    return linked
+
+
+def parted(linked: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
+    """The share of links between rows that go down the low side only and rows that go down the high side only: over all links or a row's, the greater."""
+    lost = (linked & (low[:, None] & high | high[:, None] & low)).sum(1)
+    degree = linked.sum(1)
+    dense = degree > 0
+    return max(lost.sum() / degree.sum(), (lost[dense] / degree[dense]).mean())
+
+
+def grow(x: np.ndarray, depth: float, draw: np.random.Generator, counter: list[int], spill: float = SPILL, cosine: float = COSINE):
+    """A tree over the sample: Split nodes, leaves numbered by int. A node that every split tried would cut through a dense group is a leaf."""
+    if depth > 0 and len(x) >= 16:
+        probe = draw.choice(len(x), PROBE, replace=False) if len(x) > PROBE else np.arange(len(x))
+        linked = dense_links(x[probe], cosine)
+        dense = linked.any()
+        directions = draw.normal(size=(TRIES if dense else 1, x.shape[1]))
+        directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+        projected = x @ directions.T
+        for at in (draw.uniform(0.45, 0.55), 0.35, 0.65, 0.25, 0.75) if dense else (draw.uniform(0.45, 0.55),):
+            for direction, p in zip(directions, projected.T, strict=True):
+                low, high = np.quantile(p, [at - spill, at + spill])
+                if low == high or dense and parted(linked, p[probe] < low, p[probe] >= high) > PARTED:
+                    continue
+                # A balanced split counts as one level, an uneven one by what it leaves to each side.
+                sides = (x[p < high], x[p >= low])
+                left, right = (grow(y, depth + np.log2(len(y) / len(x) / (1 + 2 * spill)), draw, counter, spill, cosine) for y in sides)
+                return Split(direction, low, high, left, right)
+    counter[0] += 1
+    return counter[0] - 1
 
 
 def route(tree, x: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -91,14 +119,40 @@ def unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def forest(sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, seed: int = 11) -> list:
+def forest(sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, seed: int = 11, cosine: float = COSINE) -> list:
+    """Trees for ``n`` vectors; leaves are numbered over all trees, ascending."""
     depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
-    draw = np.random.default_rng(seed)
-    return [grow(sample, depth, draw, [0]) for _ in range(trees)]
-
-
-def linked_pairs(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """Pairs (a < b) of keys found in a common leaf with at least that cosine. ``nodes``: key, v."""
+    draw, counter = np.random.default_rng(seed), [0]
+    return [grow(sample, depth, draw, counter, cosine=cosine) for _ in range(trees)]
+
+
+def shared_before(earlier: list[bytes]) -> np.ndarray:
+    """Bits per row of the earlier leaves that it shares with another row of the block."""
+    ids = np.frombuffer(b"".join(earlier), "<i4")
+    row = np.repeat(np.arange(len(earlier)), [len(e) // 4 for e in earlier])
+    _, column, count = np.unique(ids, return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column] if len(ids) else column
+    bits = np.zeros((len(earlier), max(1, int((count > 1).sum()))), bool)
+    bits[row[column >= 0], column[column >= 0]] = True
+    return np.packbits(bits, axis=1)
+
+
+def contract(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (each node's least known fellow) after joining i with j."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """Per leaf block and row that is linked in it: a (its key), b (the key of its component within the block, if another), others (rows
+    behind its linked vectors, each pair counted in the first leaf that holds both). ``nodes``: key, v, m."""
     spark, n = nodes.sparkSession, nodes.count()
     widths = [r[0] for r in nodes.select(F.length("v").alias("d")).distinct().collect()]
     out = None
@@ -109,60 +163,69 @@ def linked_pairs(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
         if not taken:
             taken = same.select("key", "v").limit(1).collect()
         taken.sort(key=lambda r: bytes(r.key))
-        trees = spark.sparkContext.broadcast(forest(unit([bytes(r.v) for r in taken]), n))
+        trees = spark.sparkContext.broadcast(forest(unit([bytes(r.v) for r in taken]), n, cosine=cosine))
 
         def leaves(batches: Iterator[pa.RecordBatch], trees=trees) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     x = unit(b.column("v").to_pylist())
-                    for k, tree in enumerate(trees.value):
+                    before = [b""] * len(x)
+                    for tree in trees.value:
                         for leaf, rows in route(tree, x, np.arange(len(x))):
                             take = pa.array(rows)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, "int32")), pa.array(np.full(len(rows), leaf, "int32")), b.column("key").take(take), b.column("v").take(take)], ["tree", "leaf", "key", "v"])
-
-        placed = cut(same.select("key", "v").mapInArrow(leaves, "tree int, leaf int, key binary, v binary"))
-        sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+                            earlier = [before[r] for r in rows]
+                            own = leaf.to_bytes(4, "little")
+                            for r in rows:
+                                before[r] += own
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, "int32")), b.column("key").take(take), b.column("v").take(take), b.column("m").take(take), pa.array(earlier, pa.binary())], ["leaf", "key", "v", "m", "earlier"])
+
+        placed = cut(same.select("key", "v", "m").mapInArrow(leaves, "leaf int, key binary, v binary, m bigint, earlier binary"))
+        sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         sizes = cut(sizes)
-        dealt = placed.join(sizes, ["tree", "leaf"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        dealt = placed.join(sizes, "leaf").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        dealt = dealt.select("tree", "leaf", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "v")
+        dealt = dealt.select("leaf", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "v", "m", "earlier")
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
             first = int(pdf["x"].iloc[0])
             crossed = first != int(pdf["y"].iloc[0])
-            keys = pdf["key"].tolist()
-            v = unit(pdf["v"].tolist())
+            keys, m = pdf["key"].tolist(), pdf["m"].to_numpy()
+            v, before = unit(pdf["v"].tolist()), shared_before(pdf["earlier"].tolist())
             one = np.flatnonzero(pdf["own"].to_numpy() == first)
             two = np.flatnonzero(pdf["own"].to_numpy() != first) if crossed else one
-            found = []
-            for at in range(0, len(one), 1024):
-                i, j = np.nonzero(v[one[at : at + 1024]] @ v[two].T >= cosine)
+            others, label = np.zeros(len(keys)), np.arange(len(keys))
+            for at in range(0, len(one), 256):
+                i, j = np.nonzero(v[one[at : at + 256]] @ v[two].T >= cosine)
                 i, j = one[at + i], two[j]
-                keep = i != j if crossed else i < j
-                found += [(min(keys[p], keys[q]), max(keys[p], keys[q])) for p, q in zip(i[keep], j[keep], strict=True)]
-            return pd.DataFrame(found, columns=["a", "b"])
+                if not crossed:
+                    i, j = i[i < j], j[i < j]
+                fresh = ~(before[i] & before[j]).any(1)
+                i, j = i[fresh], j[fresh]
+                others += np.bincount(i, m[j], len(keys)) + np.bincount(j, m[i], len(keys))
+                label = contract(label, i, j)
+            found = np.flatnonzero(others)
+            return pd.DataFrame({"a": [keys[r] for r in found], "b": [keys[label[r]] if label[r] != r else None for r in found], "others": others[found].astype("int64")})
 
-        pairs = dealt.groupBy("tree", "leaf", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
-        out = pairs if out is None else out.unionByName(pairs)
-    return cut(out) if out is not None else spark.createDataFrame([], "a binary, b binary")
+        part = dealt.groupBy("leaf", "x", "y").applyInPandas(compare, "a binary, b binary, others bigint")
+        out = part if out is None else out.unionByName(part)
+    return cut(out) if out is not None else spark.createDataFrame([], "a binary, b binary, others bigint")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     rows = cut(distinct_vectors(vectors))
     nodes = cut(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"), F.first("v").alias("v")))
-    pairs = linked_pairs(nodes.select("key", "v"), cosine)
-    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    n = both.join(nodes.select(F.col("key").alias("b"), "m"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("m").alias("others"))
-    found = components(pairs)
+    linked = links(nodes.select("key", "v", "m"), cosine)
+    n = linked.groupBy(F.col("a").alias("key")).agg(F.sum("others").alias("others"))
+    found = components(linked.where("b is not null").select("a", "b"))
     placed = nodes.select("key", "m", "least").join(found.select(F.col("node").alias("key"), "component"), "key", "left").join(n, "key", "left")
     placed = cut(placed.select("key", "least", F.coalesce("component", "key").alias("component"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
     best = cut(placed.groupBy("component").agg(F.min("least").alias("component_id")))
     known = cut(placed.join(best, "component").select("key", "n_links", "component_id"))
-    linked = rows.select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id")
+    united = rows.select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rest = vectors.where(~F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
-    return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return united.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plotwise.llm import components as graph
-from plotwise.llm import html_tree, language, media, minhash, mixing, packing, pii, quality, queries, secret_scan
+from plotwise.llm import embedding_dedup, html_tree, language, media, minhash, mixing, packing, pii, quality, queries, secret_scan
 from plotwise.llm.embedding_dedup import near_vectors
 
 SF = "/root/testdata/sf0.001"
@@ -207,6 +207,39 @@ def test_vectors_against_brute_force(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def third_in_one_group(n, d, seed):
+    """Unit vectors of which a third are near copies of one (cosines around 0.99), with some pairs among the rest."""
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(n, d))
+    x[: n // 3] = x[0] / np.linalg.norm(x[0]) + 0.1 * draw.normal(size=(n // 3, d)) / d**0.5
+    x[-200:-100] = x[-100:] + 0.1 * draw.normal(size=(100, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_forest_keeps_a_dense_group_together():
+    """As deep as 200,000 vectors ask for, with a third of the rows in one group: the share of linked pairs that meet in a leaf."""
+    x = third_in_one_group(20_000, 64, 3)
+    near = [set() for _ in x]
+    for k, tree in enumerate(embedding_dedup.forest(x, 200_000)):
+        for leaf, rows in embedding_dedup.route(tree, x, np.arange(len(x))):
+            for r in rows:
+                near[r].add((k, leaf))
+    pairs = np.random.default_rng(4).integers(0, len(x) // 3, (20_000, 2))
+    linked = [(i, j) for i, j in pairs if i != j and x[i] @ x[j] >= 0.95]
+    assert np.mean([bool(near[i] & near[j]) for i, j in linked]) >= 0.98
+
+
+def test_vectors_of_a_dense_group_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 300)
+    x = third_in_one_group(3000, 32, 6)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in near_vectors(df.repartition(3)).collect()}
+    found = np.array([got[i].n_links for i in range(3000)])
+    assert (found <= want).all() and found[:1000].sum() >= 0.98 * want[:1000].sum() and found[1000:].sum() >= 0.9 * want[1000:].sum() > 0
+    assert {got[i].component_id for i in range(1000) if want[i]} == {0}
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}
