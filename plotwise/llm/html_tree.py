@@ -5,8 +5,9 @@ and path, the style tree counts which child-tag styles and which contents occur.
 the entropy of its styles over pages; content importance of a leaf is one minus the mean share of pages that its contents
 cover, both with logarithms to the base of the host's distinct pages; the two are combined bottom-up. Branches of low
 importance are removed from each page, after the roles that markup declares (navigation, adverts, forms, comments).
-Contents are counted over distinct pages, so copies of a page do not make its article look like a template. Inside a
-declared article or main element the declared roles alone decide.
+Contents are counted over distinct pages, so copies of a page do not make its article look like a template. Branches inside
+and outside declared article and main elements are scored alike; inside, the bound is lower (``MAIN_PRIOR``). A host of too few
+pages gives no importance: there all text stays that markup does not declare to be noise.
 
 Blocks: text between block-level tags; character references decoded, white space folded, empty blocks left out.
 
@@ -30,6 +31,8 @@ from .shared import cut, small_side, table
 
 #: A branch under this importance goes, on hosts with at least so many distinct pages. GAMMA weighs presentation against content.
 LOW, LEAST_PAGES, GAMMA = 0.3, 4, 0.9
+#: The bound for branches inside article and main, as a share of LOW.
+MAIN_PRIOR = 0.5
 #: Fixed values of HTML: elements without content, with raw text, that break a block, and that p ends before.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
@@ -83,9 +86,9 @@ def is_noise(tag: str, attrs: str, parent: Node) -> tuple[bool, str]:
     return noise, name
 
 
-def blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str, str]]]:
-    """(text blocks that are not declared noise: path, text, in main; branches: path, child style, own text)."""
-    out: list[tuple[str, str, bool]] = []
+def blocks(html: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str, str]]]:
+    """(text blocks that are not declared noise: path, text; branches: path, child style, own text)."""
+    out: list[tuple[str, str]] = []
     branches: list[tuple[str, str, str]] = []
     root = Node("", "", False, False)
     stack, buffer, at, raw = [root], [], 0, ""
@@ -96,7 +99,7 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[st
         if text:
             holder = next((n for n in reversed(stack) if n.tag in BLOCK), root)
             holder.own.append(text)
-            out.append((holder.path, text, holder.main))
+            out.append((holder.path, text))
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -173,14 +176,16 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[st
 
 
 def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The page's blocks: those of declared main elements if they hold any, else all that no low branch holds."""
+    """The page's blocks that no low branch holds."""
     found, _ = blocks(html)
-    kept = [b for b in found if b[2]]
-    if not kept:
-        kept = [b for b in found if not any(digest(p) in low for p in prefixes(b[0]))] if low else found
+    kept = [b for b in found if not any(digest(p) in low for p in prefixes(b[0]))] if low else found
     return "\n".join(b[1] for b in kept)
 
 
+def in_main(path: str) -> bool:
+    return any(name.partition(".")[0] in MAIN for name in path.split("/"))
+
+
 def prefixes(path: str) -> Iterator[str]:
     at = path.find("/", 1)
     while at > 0:
@@ -190,7 +195,7 @@ def prefixes(path: str) -> Iterator[str]:
 
 
 def branch_table(pages: DataFrame) -> DataFrame:
-    """(host, page, path, style, content) per branch of each page outside declared main elements; page is the digest of all blocks."""
+    """(host, page, path, style, content) per branch of each page; page is the digest of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,13 +203,11 @@ def branch_table(pages: DataFrame) -> DataFrame:
             for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 found, branches = blocks(html)
                 page = digest("\n".join(x[1] for x in found))
-                inner = {x[0] for x in found if x[2]}
                 merged: dict[str, list[set[str]]] = {}
                 for path, style, own in branches:
-                    if path not in inner:
-                        s = merged.setdefault(path, [set(), set()])
-                        s[0].add(style)
-                        s[1].add(own)
+                    s = merged.setdefault(path, [set(), set()])
+                    s[0].add(style)
+                    s[1].add(own)
                 rows += [(host, page, path, digest(" | ".join(sorted(s[0]))), digest("\n".join(sorted(s[1]))), any(s[1])) for path, s in merged.items()]
             if rows:
                 columns = zip(*rows, strict=True)
@@ -245,7 +248,7 @@ def low_branches(pages: DataFrame, low: float = LOW) -> DataFrame:
     tree = tree.select("host", "path", "has_text", "styles", (1 - F.col("clc") / (F.col("pages") * base)).alias("content"), ((F.log(F.col("pages").cast("double")) - F.col("slc") / F.col("pages")) / base).alias("presentation"))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [digest(p) for p, v in composite(pdf).items() if v < low]
+        found = [digest(p) for p, v in composite(pdf).items() if v < low * (MAIN_PRIOR if in_main(p) else 1)]
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "low": [found]})
 
     return tree.groupBy("host").applyInPandas(judge, "host string, low array<bigint>")

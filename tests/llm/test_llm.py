@@ -335,6 +335,15 @@ def test_html_style_tree_removes_repeated_branch(spark):
     assert html_tree.extract(df.limit(0)).count() == 0
 
 
+def test_html_style_tree_decides_inside_and_outside_main(spark):
+    """Body text beside a small article card stays; a strip that every page repeats inside main goes; few pages lose nothing."""
+    page = lambda i: f"<body><main><div class=x>Repeated strip on every page</div><article><p>card {prose(3, 100 + i)}</p></article></main><div class=y><p>{prose(30, i)}</p></div></body>"
+    df = spark.createDataFrame([(i, f"http://{'h' if i else 'alone'}.example/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_tree.extract(df).collect()}
+    assert got.pop(0) == f"Repeated strip on every page\ncard {prose(3, 100)}\n{prose(30, 0)}"
+    assert got == {i: f"card {prose(3, 100 + i)}\n{prose(30, i)}" for i in range(1, 12)}
+
+
 def test_html_on_pages(spark):
     rows = {r.page_id: r.text for r in html_tree.op1_html(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
