@@ -36,6 +36,7 @@ MAIN_PRIOR = 0.5
 #: Fixed values of HTML: elements without content, with raw text, that break a block, and that p ends before.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 SCOPED = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select", "p": "div article section body main td li"}
 NOISE_TAGS = frozenset("nav aside footer header form button select textarea input script style noscript template iframe object embed svg canvas dialog menu head title audio video map math".split())
@@ -91,7 +92,7 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str
     out: list[tuple[str, str]] = []
     branches: list[tuple[str, str, str]] = []
     root = Node("", "", False, False)
-    stack, buffer, at, raw = [root], [], 0, ""
+    stack, buffer, at = [root], [], 0
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
@@ -114,20 +115,13 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str
             buffer.append(unescape(text) if "&" in text else text)
 
     html = html or ""
-    for m in TOKEN.finditer(html):
-        if raw:
-            if not (m[1] and m[2].lower() == raw):
-                continue
-        elif m.start() < at:
-            continue
-        if not raw:
-            add(html[at : m.start()])
+    while m := TOKEN.search(html, at):
+        add(html[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            raw = ""
             if tag == "br":
                 add(" ")
             for depth in range(len(stack) - 1, 0, -1):
@@ -167,9 +161,9 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str
             buffer.append(" ")
         stack.append(Node(tag, f"{top.path}/{name}", top.noise or noise, top.main or tag in MAIN and not noise))
         if tag in RAW:
-            raw = tag
-    if not raw:
-        add(html[at:])
+            end = RAW_END[tag].search(html, at)
+            at = end.start() if end else len(html)
+    add(html[at:])
     close(1)
     flush()
     return out, branches

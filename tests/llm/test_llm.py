@@ -344,6 +344,13 @@ def test_html_style_tree_decides_inside_and_outside_main(spark):
     assert got == {i: f"card {prose(3, 100 + i)}\n{prose(30, i)}" for i in range(1, 12)}
 
 
+def test_html_raw_text_ends_at_its_own_end_tag():
+    script = "for(i=0;i<n;i++){go('</style>')}"
+    assert html_tree.main_text(f"<script>{script}</script><p>article</p>") == "article"
+    assert html_tree.main_text(f"<style>a<b{{}}</style><title>x <y</TITLE ><textarea>1<a '</textarea><p>one</p><SCRIPT>{script}</script-x> '</SCRIPT\n><p>two") == "one\ntwo"
+    assert html_tree.main_text(f"<p>one</p><script>{script}<p>two") == "one"
+
+
 def test_html_on_pages(spark):
     rows = {r.page_id: r.text for r in html_tree.op1_html(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
