@@ -9,6 +9,10 @@ Contents are counted over distinct pages, so copies of a page do not make its ar
 and outside declared article and main elements are scored alike; inside, the bound is lower (``MAIN_PRIOR``). A host of too few
 pages gives no importance: there all text stays that markup does not declare to be noise.
 
+Class and id words declare noise too, but never html, body, main or article, nor a branch that holds most of the text which
+tags, roles and hidden elements leave: over ``MOST`` of it, or over ``MOST_BESIDE_MAIN`` where an article or main outside the
+branch has text.
+
 Blocks: text between block-level tags; character references decoded, white space folded, empty blocks left out.
 
 Defined results: null or empty html, and pages without text, give ''; a null or odd url is a host of its own (''); repeated
@@ -33,6 +37,8 @@ from .shared import cut, small_side, table
 LOW, LEAST_PAGES, GAMMA = 0.3, 4, 0.9
 #: The bound for branches inside article and main, as a share of LOW.
 MAIN_PRIOR = 0.5
+#: Shares of a page's text over which class words alone don't remove a branch.
+MOST, MOST_BESIDE_MAIN = 0.5, 0.9
 #: Fixed values of HTML: elements without content, with raw text, that break a block, and that p ends before.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
@@ -42,6 +48,7 @@ SCOPED = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr t
 NOISE_TAGS = frozenset("nav aside footer header form button select textarea input script style noscript template iframe object embed svg canvas dialog menu head title audio video map math".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MAIN = frozenset(("article", "main"))
+WHOLE = MAIN | {"html", "body"}
 NOISE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|notification|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|footer|header|masthead|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar|skip|disclaimer|copyright)(?=$|[\s_-])",
     re.IGNORECASE,
@@ -60,17 +67,18 @@ def digest(text: str) -> int:
 
 
 class Node:
-    """An open element: its path, whether its branch is noise, whether it lies in a declared main element, its child tags and its own text."""
+    """An open element: its path, whether its branch is noise, where the element starts whose class words alone make it so (else -1),
+    whether it lies in a declared main element, its child tags and its own text."""
 
-    __slots__ = ("tag", "path", "noise", "main", "children", "own")
+    __slots__ = ("tag", "path", "noise", "veil", "main", "children", "own")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.children, self.own = tag, path, noise, main, [], []
+    def __init__(self, tag: str, path: str, noise: bool, veil: int, main: bool):
+        self.tag, self.path, self.noise, self.veil, self.main, self.children, self.own = tag, path, noise, veil, main, [], []
 
 
-def is_noise(tag: str, attrs: str, parent: Node) -> tuple[bool, str]:
-    """Whether the element is declared to be noise; its name with class words (digits left out)."""
-    name, inside = tag, parent.main
+def is_noise(tag: str, attrs: str, parent: Node) -> tuple[bool, bool, str]:
+    """Whether the element is declared to be noise by tag, role or being hidden; by class words; its name with class words (digits left out)."""
+    name, inside, worded = tag, parent.main, False
     noise = tag in NOISE_TAGS and not (inside and tag == "header")
     if attrs and not attrs.isspace():
         for k, a, b, c in ATTRIBUTE.findall(attrs):
@@ -79,19 +87,33 @@ def is_noise(tag: str, attrs: str, parent: Node) -> tuple[bool, str]:
                 if k == "class":
                     name += "." + ".".join(re.sub(r"\d+", "", v).lower().split())
                 words = NOISE_WORDS.findall(v)
-                noise |= any(not (inside and w.strip(" _-\t\n").lower() in ("header", "masthead", "banner")) for w in words)
+                worded |= tag not in WHOLE and any(not (inside and w.strip(" _-\t\n").lower() in ("header", "masthead", "banner")) for w in words)
             elif k == "role":
                 noise |= v.strip().lower() in NOISE_ROLES
             elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and HIDDEN.search(v):
                 noise = True
-    return noise, name
+    return noise, worded, name
 
 
 def blocks(html: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str, str]]]:
     """(text blocks that are not declared noise: path, text; branches: path, child style, own text)."""
+    spared: frozenset[int] = frozenset()
+    while True:
+        found, branches, veiled = parse(html or "", spared)
+        total = sum(len(x[1]) for x in found) + sum(veiled.values())
+        bar = total * (MOST_BESIDE_MAIN if any(in_main(x[0]) for x in found) else MOST)
+        most = {at for at, n in veiled.items() if n > bar}
+        if not most:
+            return found, branches
+        spared |= most
+
+
+def parse(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, str]], list[tuple[str, str, str]], dict[int, int]]:
+    """The blocks and branches of ``blocks``, and the length of text by the element (its start) whose class words hide it; those of ``spared`` hide nothing."""
+    veiled: dict[int, int] = {}
     out: list[tuple[str, str]] = []
     branches: list[tuple[str, str, str]] = []
-    root = Node("", "", False, False)
+    root = Node("", "", False, -1, False)
     stack, buffer, at = [root], [], 0
 
     def flush() -> None:
@@ -113,8 +135,9 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str
     def add(text: str) -> None:
         if text and not stack[-1].noise:
             buffer.append(unescape(text) if "&" in text else text)
+        elif text and stack[-1].veil >= 0:
+            veiled[stack[-1].veil] = veiled.get(stack[-1].veil, 0) + len(" ".join(unescape(text).split()))
 
-    html = html or ""
     while m := TOKEN.search(html, at):
         add(html[at : m.start()])
         at = m.end()
@@ -152,21 +175,23 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str
         top = stack[-1]
         if tag in BLOCK and not top.noise and (not top.children or top.children[-1] != tag):
             top.children.append(tag)
-        noise, name = is_noise(tag, m[3], top)
+        declared, worded, name = is_noise(tag, m[3], top)
+        noise = declared or worded and m.start() not in spared
         if tag in VOID or m[3].endswith("/") and tag in RAW:
             if tag == "br":
                 add(" ")
             continue
         if noise and not top.noise and tag not in BLOCK:
             buffer.append(" ")
-        stack.append(Node(tag, f"{top.path}/{name}", top.noise or noise, top.main or tag in MAIN and not noise))
+        veil = -1 if declared else top.veil if top.noise else m.start() if noise else -1
+        stack.append(Node(tag, f"{top.path}/{name}", top.noise or noise, veil, top.main or tag in MAIN and not noise))
         if tag in RAW:
             end = RAW_END[tag].search(html, at)
             at = end.start() if end else len(html)
     add(html[at:])
     close(1)
     flush()
-    return out, branches
+    return out, branches, veiled
 
 
 def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:

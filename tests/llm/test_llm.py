@@ -351,6 +351,14 @@ def test_html_raw_text_ends_at_its_own_end_tag():
     assert html_tree.main_text(f"<p>one</p><script>{script}<p>two") == "one"
 
 
+def test_html_class_words_do_not_remove_the_page():
+    text = prose(30, 1)
+    for page in ("<body class='single no-sidebar'><article>{}</article>", "<html class=has-sidebar><body><main id=comments>{}</main>", "<article class='post comments-open'>{}</article>", "<body><div class='layout sidebar'><div class='related x'><p>{}</p></div></div>"):
+        assert html_tree.main_text(page.format(text + "<div class=sidebar>links</div><nav class=menu>" + prose(90, 2) + "</nav>")) == text
+    assert html_tree.main_text(f"<div class=comments>{prose(20, 3)}</div><article>{text}</article>") == text
+    assert html_tree.main_text(f"<div class='layout sidebar'>{text}</div><article>card</article>") == f"{text}\ncard"
+
+
 def test_html_on_pages(spark):
     rows = {r.page_id: r.text for r in html_tree.op1_html(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
