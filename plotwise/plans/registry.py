@@ -162,10 +162,11 @@ def boundary_hobli(t: T) -> DataFrame:
 
 @query(f"SELECT (c_custkey % 400) AS lgd_code, arg_max(c_name, c_custkey) AS village_name, round(max(c_custkey) % 40 + 0.5, 6)::DOUBLE AS centroid_lng, round(max(c_custkey) // 40 + 0.5, 6)::DOUBLE AS centroid_lat FROM customer WHERE c_nationkey = 3 GROUP BY 1")
 def lgd_load(t: T) -> DataFrame:
-    k = F.col("c_custkey")
-    raw = t("customer").select((k % 400).alias("vil_lgd"), F.col("c_name").alias("vilname11"), F.col("c_nationkey").alias("state_lgd"), cell((k % 40).cast("double"), F.floor(k / 40).cast("double")).alias("mpoly"), k.alias("pos")).where(F.col("c_custkey") < 3000)
+    # Stored at 1/8192 of the SQL's grid, an exact scaling, so that every customer's place is a valid coordinate.
+    k, unit = F.col("c_custkey"), 1 / 8192
+    raw = t("customer").select((k % 400).alias("vil_lgd"), F.col("c_name").alias("vilname11"), F.col("c_nationkey").alias("state_lgd"), cell((k % 40) * F.lit(unit), F.floor(k / 40) * F.lit(unit), unit, unit).alias("mpoly"), k.alias("pos"))
     out = tables.load_villages(raw, state=3)
-    return out.select("lgd_code", "village_name", F.round("centroid_lng", 6).alias("centroid_lng"), F.round("centroid_lat", 6).alias("centroid_lat"))
+    return out.select("lgd_code", "village_name", F.round(F.col("centroid_lng") / unit, 6).alias("centroid_lng"), F.round(F.col("centroid_lat") / unit, 6).alias("centroid_lat"))
 
 
 @query("SELECT c_custkey AS lgd_code, max(o_orderkey)::VARCHAR AS vlg, max(o_orderkey) IS NOT NULL AS mapped FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey GROUP BY 1")
