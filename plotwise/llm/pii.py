@@ -29,8 +29,8 @@ PATTERNS = {
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\w)",
 }
 ANY = "|".join(PATTERNS.values())
-#: A cheap test that a text may hold any of them.
-HINT = r"@|\d{3}[-. )]|\d{13}|\d\.\d|\d{4}-"
+#: A cheap test that a text may hold any of them: whatever matches a pattern matches this too.
+HINT = r"@|\+\d|\d{3}[-. )]|\d{13}|\d\.\d|\d{4}-"
 #: Days from 1970-01-01 to 1900-01-01; the permuted range is 270 * 271 days, up to 2100-05-01.
 FIRST_DAY, DATE_A, DATE_B = -25567, 270, 271
 ROUNDS, KEY = 8, "plotwise-demo-key"

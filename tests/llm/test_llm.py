@@ -311,6 +311,19 @@ def test_pseudonyms(spark):
     assert got[8] is None and got[9] == "" and got[10] == texts[10]
 
 
+def test_hint_covers_every_pattern(spark):
+    phones = [f"+{c}{a}{l}509{r}{b}555{d}6973" for c in ("1", "91", "919") for a in ("", " ", ".", "-") for l, r in (("", ""), ("(", ")")) for b in ("", " ", ".", "-") for d in ("", " ", ".", "-")]
+    phones += ["+14155550123", "(509) 555-6973", "(509) 555.6973", "509-555-6973", "509.555.6973"]
+    cards = ["4" * n for n in range(13, 20)] + [x.join(("4111", "1111", "1111", "1111")) for x in " -"] + [x.join(("3782", "822463", "10005")) for x in " -"]
+    finds = [*phones, *cards, "a@b.c", "123-45-6789", "1999-01-31", "2024-02-29", "1.2.3.4", "255.255.255.255"]
+    texts = [f"{x}{f}{y}" for f in finds for x, y in (("", ""), ("call ", ", thanks"), ("call ", "\nnow"))]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    assert df.where(F.col("text").rlike(pii.ANY)).count() == len(texts)
+    assert [r.text for r in df.where(~F.col("text").rlike(pii.HINT)).collect()] == []
+    got = spark.createDataFrame([("call +14155550123, thanks",), ("+14155550123 or a@b.example",)], "text string").select(pii.pseudonymised(F.col("text")).alias("p")).collect()
+    assert got[0].p[5:17] == got[1].p[:12] != "+14155550123"
+
+
 def test_feistel_is_a_permutation(spark):
     out = spark.range(110).select(pii.feistel(F.col("id"), F.lit(10).cast("long"), F.lit(11).cast("long"), "k", "t").alias("v"))
     assert sorted(r.v for r in out.collect()) == list(range(110))
