@@ -274,6 +274,15 @@ def test_secrets_base_and_structure():
     assert secret_scan.spans(None) == []
 
 
+@pytest.mark.parametrize("gap", ["", " ", "\n", "\r\n", "\t", "  \n"])
+def test_secrets_tokens_with_any_white_space(gap):
+    parts = ["{" + gap + '"alg": "HS256"}', '{"sub": "1"}']
+    token = ".".join(base64.urlsafe_b64encode(x.encode()).decode().rstrip("=") for x in parts) + ".c2ln"
+    assert [(a, b) for a, b, k in secret_scan.spans(f"x {token} y") if k == "jwt"] == [(2, 2 + len(token))]
+    token = base64.urlsafe_b64encode((gap + parts[0]).encode()).decode().rstrip("=") + token[token.index("."):]
+    assert "jwt" in [k for _, _, k in secret_scan.spans(token)]
+
+
 def test_secrets_rows(spark, docs):
     rows = docs.select("doc_id", secret_scan.scan_column(F.col("text")).alias("s")).select("doc_id", "s.*").collect()
     assert len(rows) == docs.count() and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
