@@ -147,16 +147,16 @@ def parcel_filter(t: T) -> DataFrame:
 
 
 @query(f"WITH {CELLS} SELECT a.vlg, count(*)::DOUBLE AS area, (4 * count(*) - 2 * ((SELECT count(*) FROM c p JOIN c q ON p.vlg = q.vlg AND p.y = q.y AND q.x = p.x + 1 WHERE p.vlg = a.vlg) + (SELECT count(*) FROM c p JOIN c q ON p.vlg = q.vlg AND p.x = q.x AND q.y = p.y + 1 WHERE p.vlg = a.vlg)))::BIGINT AS perimeter, true AS exact FROM c a WHERE a.vlg < 5 GROUP BY a.vlg")
-def boundary_village(t: T) -> DataFrame:
-    own = cells(t).where("vlg < 5")
+def boundary_village(t: T, whole: bool = False) -> DataFrame:
+    own = cells(t) if whole else cells(t).where("vlg < 5")
     around = space.outer_segments(own, ["vlg"]).groupBy("vlg").agg(F.count("*").alias("perimeter"))
     return space.dissolve(own, ["vlg"]).select("vlg", F.round(geo.area(F.col("mpoly")), 6).alias("area"), "exact").join(around, "vlg")
 
 
 @query(f"WITH {CELLS} SELECT n_nationkey AS vlg, n_name AS village_name, coalesce(k, 0) > 0 AS has_data, k::DOUBLE AS area FROM nation LEFT JOIN (SELECT vlg, count(*) AS k FROM c WHERE vlg < 15 GROUP BY vlg) ON vlg = n_nationkey")
-def boundary_hobli(t: T) -> DataFrame:
+def boundary_hobli(t: T, whole: bool = False) -> DataFrame:
     listed = t("nation").select(F.col("n_nationkey").alias("vlg"), F.col("n_name").alias("name"))
-    out = space.boundaries(cells(t).where("vlg < 15"), listed, ["vlg"])
+    out = space.boundaries(cells(t) if whole else cells(t).where("vlg < 15"), listed, ["vlg"])
     return out.select("vlg", "village_name", "has_data", F.round(geo.area(F.col("mpoly")), 6).alias("area"))
 
 
@@ -199,8 +199,8 @@ def nearby(t: T) -> DataFrame:
 
 
 @query(f"WITH p AS (SELECT s_suppkey AS id, {LAT.format(k='s_suppkey * 13')} AS la, {LNG.format(k='s_suppkey * 13')} AS ln FROM supplier WHERE s_suppkey <= 100), q AS (SELECT c_custkey AS lgd_code, {LAT.format(k='c_custkey')} AS lb, {LNG.format(k='c_custkey')} AS lm FROM customer) SELECT id AS point_id, lgd_code, round({KM.format(a='la', b='lb', c='ln', d='lm')}, 4) AS km FROM p, q WHERE {KM.format(a='la', b='lb', c='ln', d='lm')} <= 20")
-def nearby_batch(t: T) -> DataFrame:
-    points = t("supplier").where("s_suppkey <= 100").withColumn("k", F.col("s_suppkey") * 13).select(F.col("s_suppkey").alias("point_id"), lat_of("k").alias("lat"), lng_of("k").alias("lng"))
+def nearby_batch(t: T, whole: bool = False) -> DataFrame:
+    points = (t("supplier") if whole else t("supplier").where("s_suppkey <= 100")).withColumn("k", F.col("s_suppkey") * 13).select(F.col("s_suppkey").alias("point_id"), lat_of("k").alias("lat"), lng_of("k").alias("lng"))
     return space.nearby_batch(points, villages(t).select("lgd_code", "centroid_lat", "centroid_lng"), 20.0).select("point_id", "lgd_code", F.round("km", 4).alias("km"))
 
 
@@ -217,12 +217,12 @@ def nearest_with_data(t: T) -> DataFrame:
     return space.nearest_with_data(space.nearby(flagged(t), 12.9716, 77.5946, 50.0)).select("lgd_code")
 
 
-def quads(t: T) -> DataFrame:
+def quads(t: T, whole: bool = False) -> DataFrame:
     """Tilted quadrilaterals that overlap, one per part."""
     k = F.col("p_partkey")
     x, y, w = (k * 37 % 997).cast("double"), (k * 91 % 991).cast("double"), (k % 23 + 5).cast("double")
     ring = F.array(geo.point(x, y), geo.point(x + w, y + 2.0), geo.point(x + w + 1.0, y + w), geo.point(x - 1.0, y + w + 3.0), geo.point(x, y))
-    return t("part").where("p_partkey <= 2000").select(k.alias("parcel_id"), k.alias("pos"), F.array(F.array(ring)).alias("mpoly"))
+    return (t("part") if whole else t("part").where("p_partkey <= 2000")).select(k.alias("parcel_id"), k.alias("pos"), F.array(F.array(ring)).alias("mpoly"))
 
 
 QUADS = "q AS (SELECT p_partkey AS id, (p_partkey * 37 % 997)::DOUBLE AS x, (p_partkey * 91 % 991)::DOUBLE AS y, (p_partkey % 23 + 5)::DOUBLE AS w FROM part WHERE p_partkey <= 2000)"
@@ -233,20 +233,20 @@ CORNERS = "v AS (SELECT id, 1 AS n, x AS vx, y AS vy FROM q UNION ALL SELECT id,
 p AS (SELECT s_suppkey AS pid, (s_suppkey * 53 % 997)::DOUBLE + 0.37 AS px, (s_suppkey * 29 % 991)::DOUBLE + 0.41 AS py FROM supplier),
 h AS (SELECT pid, id FROM p, e WHERE ((e.ay > py) != (e."by" > py)) AND px < (e.bx - e.ax) * (py - e.ay) / (e."by" - e.ay) + e.ax GROUP BY pid, id HAVING count(*) % 2 = 1)
 SELECT pid AS point_id, arg_min(h.id, struct_pack(a := (w + 2) * (w + 3), i := h.id)) AS parcel_id FROM h JOIN q ON h.id = q.id GROUP BY pid""")
-def point_in_polygon(t: T) -> DataFrame:
+def point_in_polygon(t: T, whole: bool = False) -> DataFrame:
     k = F.col("s_suppkey")
     points = t("supplier").select(k.alias("point_id"), ((k * 53 % 997).cast("double") + 0.37).alias("x"), ((k * 29 % 991).cast("double") + 0.41).alias("y"))
-    return space.parcels_under(points, quads(t), 16.0)
+    return space.parcels_under(points, quads(t, whole), 16.0)
 
 
 @query(f"WITH {QUADS}, {CORNERS} SELECT id AS parcel_id, min(vx) AS min_x, min(vy) AS min_y, max(vx) AS max_x, max(vy) AS max_y FROM v GROUP BY id")
-def bbox(t: T) -> DataFrame:
-    return quads(t).select("parcel_id", geo.bbox(F.col("mpoly")).alias("b")).select("parcel_id", "b.*")
+def bbox(t: T, whole: bool = False) -> DataFrame:
+    return quads(t, whole).select("parcel_id", geo.bbox(F.col("mpoly")).alias("b")).select("parcel_id", "b.*")
 
 
 @query(f"WITH {QUADS}, {CORNERS} SELECT id AS parcel_id, round((sum(vx) + sum(vx) FILTER (n = 1)) / 5, 6) AS x, round((sum(vy) + sum(vy) FILTER (n = 1)) / 5, 6) AS y FROM v GROUP BY id")
-def vertex_mean(t: T) -> DataFrame:
-    m = quads(t).select("parcel_id", geo.vertex_mean(F.col("mpoly")).alias("m"))
+def vertex_mean(t: T, whole: bool = False) -> DataFrame:
+    m = quads(t, whole).select("parcel_id", geo.vertex_mean(F.col("mpoly")).alias("m"))
     return m.select("parcel_id", F.round("m.x", 6).alias("x"), F.round("m.y", 6).alias("y"))
 
 
@@ -254,8 +254,8 @@ def vertex_mean(t: T) -> DataFrame:
 t AS (SELECT id, unnest([2, 3]) AS i, xs, ys FROM r),
 g AS (SELECT id, (xs[1] + xs[i] + xs[i + 1]) / 3 AS cx, (ys[1] + ys[i] + ys[i + 1]) / 3 AS cy, ((xs[i] - xs[1]) * (ys[i + 1] - ys[1]) - (xs[i + 1] - xs[1]) * (ys[i] - ys[1])) / 2 AS a FROM t)
 SELECT id AS parcel_id, round(sum(cx * a) / sum(a), 6) AS x, round(sum(cy * a) / sum(a), 6) AS y, round(sum(a), 6) AS area FROM g GROUP BY id""")
-def centroid(t: T) -> DataFrame:
-    m = quads(t).select("parcel_id", geo.centroid(F.col("mpoly")).alias("m"), geo.area(F.col("mpoly")).alias("area"))
+def centroid(t: T, whole: bool = False) -> DataFrame:
+    m = quads(t, whole).select("parcel_id", geo.centroid(F.col("mpoly")).alias("m"), geo.area(F.col("mpoly")).alias("area"))
     return m.select("parcel_id", F.round("m.x", 6).alias("x"), F.round("m.y", 6).alias("y"), F.round("area", 6).alias("area"))
 
 
@@ -364,6 +364,14 @@ def counts(t: T) -> DataFrame:
     return out.withColumn("label", F.when(F.col("n") > 65, "many").when(F.col("n") > 55, "some").otherwise("few"))
 
 
+#: Queries whose SQL takes part of a table, and the words that do so. Each is registered over the whole table too, as NAME_whole.
+PARTIAL = {"boundary_village": " WHERE a.vlg < 5", "boundary_hobli": " WHERE vlg < 15", "nearby_batch": " WHERE s_suppkey <= 100"}
+PARTIAL |= dict.fromkeys(("point_in_polygon", "bbox", "vertex_mean", "centroid"), " WHERE p_partkey <= 2000")
+for _name, _words in PARTIAL.items():
+    _part, _sql = _queries[_name]
+    _queries[f"{_name}_whole"] = (lambda t, f=_part: f(t, whole=True), _sql.replace(_words, ""))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: lambda spark, sf_dir, f=f: f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")) for name, (f, _) in _queries.items()}
 
