@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, small_side, table
+from .shared import cut, release, slices, small_side, table
 
 #: A branch under this importance goes, on hosts with at least so many distinct pages. GAMMA weighs presentation against content.
 LOW, LEAST_PAGES, GAMMA = 0.3, 4, 0.9
@@ -217,7 +217,7 @@ def branch_table(pages: DataFrame) -> DataFrame:
     """(host, page, path, style, content) per branch of each page; page is the digest of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 found, branches = blocks(html)

@@ -14,13 +14,14 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, table
+from .shared import held_out, release, table
 
 #: Bounds of the sample that dictionaries are made of; the zstandard level; the margin.
 SAMPLE_DOCS, DICT_BYTES, LEVEL, MARGIN = 300, 110_000, 6, 0.01
@@ -53,7 +54,7 @@ def predict_column(dictionaries: dict[str, bytes], text, level: int = LEVEL, mar
     langs = list(dictionaries)
 
     @F.pandas_udf(SCHEMA)
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import zstandard as z
 
         made = []
@@ -61,18 +62,20 @@ def predict_column(dictionaries: dict[str, bytes], text, level: int = LEVEL, mar
             d = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             made.append(z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
-        out = []
-        for t in texts:
-            raw = normalised(t)
-            if not raw or not made:
-                out.append(("und", 0.0, True))
-                continue
-            sizes = np.array([len(c(raw)) for c in made], float)
-            best = int(sizes.argmin())
-            rest = np.delete(sizes, best)
-            narrow = bool(len(rest)) and rest.min() - sizes[best] < margin * sizes[best]
-            out.append((langs[best], float(1 / np.exp2(np.maximum(-1000, 8 * (sizes[best] - sizes))).sum()), narrow))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
+        for texts in batches:
+            out = []
+            for t in texts:
+                raw = normalised(t)
+                if not raw or not made:
+                    out.append(("und", 0.0, True))
+                    continue
+                sizes = np.array([len(c(raw)) for c in made], float)
+                best = int(sizes.argmin())
+                rest = np.delete(sizes, best)
+                narrow = bool(len(rest)) and rest.min() - sizes[best] < margin * sizes[best]
+                out.append((langs[best], float(1 / np.exp2(np.maximum(-1000, 8 * (sizes[best] - sizes))).sum()), narrow))
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
+        release()
 
     return predict(text)
 

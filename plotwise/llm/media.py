@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, slices, table
 
 SIDE, TILE, FILL = 24, 576, b"\xff"
 SEQUENCE = "array<struct<position int, kind string, text string, ref string, caption string>>"
@@ -134,7 +134,7 @@ def media_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, digest, media): the stored form of every text, keyed by its payload's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = [payload_of(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for _, n in made], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p, _ in made], pa.string()), pa.array([store(p) for p, _ in made], pa.binary())], ["doc_id", "n_bytes", "digest", "media"])
 

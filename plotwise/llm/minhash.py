@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, small_side, table
+from .shared import cut, slices, small_side, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
@@ -62,6 +62,8 @@ WORK, WORK_PER_TEXT, SLOTS = 20_000_000, 200, 1 << 15
 LEVELS_PER_OCTAVE = 4
 #: Shingles that are sampled at once, to stay within the processor's cache.
 STEP = 60_000
+#: Powers of the words' hash that a worker keeps (16 bytes each); longer texts make their own.
+KEEP = 1 << 20
 U64 = np.uint64
 
 
@@ -75,14 +77,17 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """BASE**i and INVERSE**i for i up to n, kept between calls."""
-    if len(_powers[0]) <= n:
-        size = 1 << n.bit_length()
-        for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=U64)
-    return _powers
+    """BASE**i and INVERSE**i for i up to n, kept between calls up to ``KEEP``."""
+    if len(_powers[0]) > n:
+        return _powers
+    made = []
+    for base in (BASE, INVERSE):
+        steps = np.full(1 << n.bit_length(), base, U64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=U64))
+    if n < KEEP:
+        _powers[:] = made
+    return made
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -195,7 +200,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(IDF_SLOTS, np.int64)
         docs_seen = 0
-        for b in batches:
+        for b in slices(batches):
             for t in b.column("text").to_pylist():
                 words = word_hashes(t)
                 if len(words):
@@ -227,7 +232,7 @@ def sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, idf = Sampler(), shared_idf.value
-        for b in batches:
+        for b in slices(batches):
             rows, bands, hs, ws, starts, held = [], [], [], [], [], 0
 
             def flush():
@@ -266,7 +271,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, one = None, None
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             a, ta, tb = (batch.column(x).to_pylist() for x in ("a", "text_a", "text_b"))
             for i in range(len(a)):

@@ -20,12 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, small_side, table
+from .shared import cut, slices, small_side, table
 
 CONTEXT, END_ID = 2048, 1
-#: Entries of a worker's word cache; when full it starts anew, so memory stays bounded.
-CACHE = 1_000_000
-_encoders: dict[str, tuple] = {}
+#: Words in each of a worker's two caches (about 200 bytes each, longer words aside). When the newer is full it becomes the older,
+#: and the older goes, so frequent words stay known and memory stays bounded. Both are emptied at the end of a task.
+CACHE = 1 << 17
+_encoders: dict[str, Encoder] = {}
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -41,48 +42,63 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(path: str):
-    """(encode(text) -> uint16 bytes). Exactly the ids of ``tokenizers`` for the file, without special tokens added.
+class Encoder:
+    """encode(text) -> ids as uint16 bytes: exactly those of ``tokenizers`` for the file, without special tokens added.
 
     Byte-level BPE never merges across a single space followed by anything, so a text without double spaces is
     encoded word by word from a cache; words that miss go through tiktoken over the same ranks. Texts that hold
-    double spaces, or the string of a special token, are encoded whole.
+    double spaces, or the string of a special token, are encoded whole (the latter by ``tokenizers``, loaded on demand).
     """
-    if path not in _encoders:
+
+    def __init__(self, path: str):
         import json
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        spec = json.load(open(path, encoding="utf-8"))
+        self.path, self.words, self.before, self.whole = path, {}, {}, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         chars = byte_of_char()
-        special = [t["content"] for t in spec["added_tokens"]]
-        ranks = {bytes(chars[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _encoders[path] = (Tokenizer.from_file(path), fast, special, {})
-    whole, fast, special, cache = _encoders[path]
-
-    class Words(dict):
-        def __missing__(self, word: str) -> bytes:
-            if len(self) >= CACHE:
-                self.clear()
-            ids = self[word] = np.array(fast.encode_ordinary(" " + word), "<u2").tobytes()
-            return ids
-
-    if not isinstance(cache, Words):
-        cache = Words()
-        _encoders[path] = (whole, fast, special, cache)
-
-    def encode(text: str) -> bytes:
-        if any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        ranks = {bytes(chars[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.fast.encode_ordinary(text), "<u2").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         if "  " in text:
-            return np.array(fast.encode_ordinary(text), "<u2").tobytes()
-        head, *words = text.split(" ")
-        return np.array(fast.encode_ordinary(head), "<u2").tobytes() + b"".join(map(cache.__getitem__, words))
+            return self.plain(text)
+        head, *rest = text.split(" ")
+        out = [self.plain(head)]
+        for word in rest:
+            ids = self.words.get(word)
+            if ids is None:
+                if len(self.words) >= CACHE:
+                    self.words, self.before = {}, self.words
+                ids = self.words[word] = self.before.get(word) or self.plain(" " + word)
+            out.append(ids)
+        return b"".join(out)
+
+
+def encoder(path: str):
+    """The ``encode`` of the worker's Encoder for the file, made once."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode
+
 
-    return encode
+def forget() -> None:
+    """Empties the caches of the worker's encoders."""
+    for e in _encoders.values():
+        e.words, e.before = {}, {}
 
 
 def token_table(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -91,13 +107,14 @@ def token_table(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, part, at = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2").tobytes()
-        for b in batches:
+        for b in slices(batches):
             ids = [(one(t) if t else b"") + end for t in b.column("text").to_pylist()]
             n = np.array([len(x) // 2 for x in ids], "int64")
             ends = at + np.cumsum(n)
             parts = pa.array(np.full(len(ids), part, "int32"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), parts, pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "local_start", "doc_tokens", "ids"])
             at = int(ends[-1]) if len(ends) else at
+        forget()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {id_type}, part int, local_start bigint, doc_tokens bigint, ids binary")
@@ -112,7 +129,7 @@ def pack(docs: DataFrame, path: str | None = None, context: int = CONTEXT, end_i
     placed = tokens.join(small_side(bases, totals.count(), 32), "part").select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("local_start")).alias("at"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows, out = [], []
             for i, (n, ids, at) in enumerate(zip(b.column("doc_tokens").to_pylist(), b.column("ids").to_pylist(), b.column("at").to_pylist(), strict=True)):
                 wide, start = np.frombuffer(ids, "<u2").astype("<u4"), 0

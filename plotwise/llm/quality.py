@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import held_out, small_side, table
+from .shared import cut, held_out, release, small_side, table
 
 THRESHOLD, SHRINKAGE = 0.3, 0.05
 #: The fit takes about this many labelled rows (by hash of the id), or all of them if there are fewer.
@@ -117,8 +117,10 @@ def discriminant(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkag
 
 def statistics_column(text):
     @F.pandas_udf("array<double>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(statistics(t)) for t in texts], dtype=object)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.array(statistics(t)) for t in texts], dtype=object)
+        release()
 
     return of(text)
 
@@ -127,8 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discrim
     """From labelled rows of ``docs`` that are not held out: about ``fit_rows`` of them, whose ids are broadcast."""
     wanted = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     n = wanted.count()
-    drawn = wanted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, fit_rows / max(1, n)))))
-    known = docs.join(small_side(drawn, min(n, 2 * fit_rows), 24), "doc_id").select("quality", statistics_column(F.col("text")).alias("x"))
+    drawn = cut(wanted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, fit_rows / max(1, n))))))
+    known = docs.join(small_side(drawn, drawn.count(), 24), "doc_id").select("quality", statistics_column(F.col("text")).alias("x"))
     d = len(STATISTICS)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,9 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discrim
 
 def score_column(model: Discriminant, text):
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS))
-        return pd.Series(model.score(x))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            x = np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS))
+            yield pd.Series(model.score(x))
+        release()
 
     return score(text)
 
