@@ -15,13 +15,17 @@ others. Of the buckets that then span several components, every pair of texts fr
 against each other; pairs within a component add nothing and are not made. This work is counted first and split into
 ranges of texts by hash, at most ``WORK`` or ``WORK_PER_TEXT`` comparisons a text at once; what one range links is one
 component for the next. Before all ranges, each text outside its bucket's largest component is held against the nearest
-text of another component, which joins most of what can be joined. A comparison first counts the samples that agree (in
-sketches of ``BITS`` bits a sample); pairs far below the similarity end there. Then it counts the bits in which two
-bitmaps of all shingles differ. Bits differ only where shingles do, so under equal weights this bounds the similarity
-from above without error. The second bitmap has bits in proportion to weights (``UNIT`` a bit, rounded at random but
-alike in all texts) and a margin for the rounding. A pair ends there only if both say that it can't reach the
-similarity; texts too long for the bitmaps fill them and pass. The others are verified with exact weights over whole
-texts. Equal texts are one node throughout. Classes are the connected components of verified links.
+text of another component, which joins most of what can be joined. A comparison first counts the bits in which two
+bitmaps of all shingles differ: bits differ only where shingles do, so this bounds the similarity from above without
+error. One bitmap has a bit a shingle, the other a bit for each whole ``UNIT`` of a shingle's weight. A pair ends there only
+if it can reach the similarity under neither weighing; texts too long for the bitmaps fill them and pass. The others are
+verified with exact weights over whole texts. Sketches of ``BITS`` bits a sample spare the bitmaps most of the work: a pair whose
+samples agree as at ``CLOSE`` or less ends there (nine deviations from what 0.8 gives, so no loss is to be expected).
+Equal texts are one node throughout. Classes are the connected components of verified links.
+
+A link is a weighted Jaccard similarity of at least 0.8 under the TF-IDF weights or under equal weights: near copies that differ
+in rare words only are far under the first and close under the second. The bands draw by TF-IDF weights: a pair at 0.8 under
+these meets in a band with probability 0.9998; one that is a link by equal weights alone, at 0.7, with 0.97.
 
 Defined results: texts without words (null, empty, blank) are never linked and are classes of their own; repeated
 rows fall into one class; ``class_id`` is the least doc_id of the class (null if it has none); an empty table gives
@@ -36,7 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -47,12 +51,11 @@ BANDS, ROWS = 28, 6
 IDF_SLOTS = 1 << 16
 #: A sketch holds four bits of every sample. Texts whose samples agree less than at a similarity of ``CLOSE`` are not
 #: verified; those from ``NEAREST`` on may be a text's nearest.
-BITS, CLOSE, NEAREST = 4, 0.66, 0.77
+BITS, CLOSE, NEAREST = 4, 0.5, 0.77
 LONGS = -(-BANDS * ROWS // 64)
 SKETCH = BITS * LONGS
-#: 64-bit words of the bitmaps: all shingles alike, and by weight (``UNIT`` a bit, ``COPIES`` at most). The latter may differ
-#: in ``MARGIN`` times the root of the allowed bits beyond these.
-PLAIN, WEIGHED, UNIT, COPIES, MARGIN = 16, 12, 4.0, 2, 1.5
+#: 64-bit words of the bitmaps: all shingles alike, and by weight (a bit for each whole ``UNIT``, ``COPIES`` at most).
+PLAIN, WEIGHED, UNIT, COPIES = 16, 24, 2.0, 6
 #: Parts of a weight in which a text's total is stored.
 PARTS = 1 << 10
 #: Longs a text: bands, sketch, both bitmaps, number of distinct shingles, total weight.
@@ -115,6 +118,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, ascending, and their weights."""
+    return counted_shingles(words, idf)[:2]
+
+
+def counted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, ascending, their weights and how often each occurs."""
     n = max(1, len(words) - SHINGLE + 1)
     value = idf[words & U64(IDF_SLOTS - 1)]
     h, w = np.zeros(n, U64), np.zeros(n)
@@ -123,7 +131,7 @@ def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
         h = mixed(h ^ words[i : i + n]) if i == 0 else mixed(h * U64(0x9E3779B97F4A7C15) + words[i : i + n])
         w += value[i : i + n]
     found, first, count = np.unique(h, return_index=True, return_counts=True)
-    return found, w[first] / width * count
+    return found, w[first] / width * count, count
 
 
 def alike(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
@@ -156,7 +164,7 @@ class Sampler:
                 self.scores = np.vstack([self.scores, ((np.clip(score, -60, 40) + 60) * ((1 << 32) - 1) / 100).astype(np.uint32)])
         return (np.array([self.tables[x] for x in known.tolist()], np.int64) << 16)[where]
 
-    def bands(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def bands(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, counts: np.ndarray | int = 1) -> np.ndarray:
         """Per text ``WIDTH`` longs: the band hashes, the sketch (``BITS`` planes of one bit for each sample), then ``bitmaps``."""
         offsets = self.rows_of(np.rint(np.log2(weights) * LEVELS_PER_OCTAVE).astype(np.int64))
         flat, low = self.scores.ravel(), hashes & U64(0xFFFFFFFF)
@@ -170,21 +178,27 @@ class Sampler:
             code = mixed(sample)
             for bit in range(BITS):
                 out[BANDS + bit * LONGS + k // 64] |= (code >> U64(bit) & U64(1)) << U64(k % 64)
-        out[BANDS + SKETCH :] = bitmaps(hashes, weights, starts).T
+        out[BANDS + SKETCH :] = bitmaps(hashes, weights, starts, counts).T
         return out.T.view(np.int64)
 
 
-def bitmaps(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Per text: both bitmaps of its shingles, their number and their total weight in ``PARTS``."""
+def bitmaps(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, counts: np.ndarray | int = 1) -> np.ndarray:
+    """Per text: both bitmaps of its shingles, their number and their total weight in ``PARTS``.
+
+    A shingle of unit weight w that occurs n times has n * floor(w / UNIT) bits by weight (``COPIES`` at most): between two texts its
+    bits never differ by more than its weights differ, in units.
+    """
     sizes = np.diff(starts, append=len(hashes))
     owner = np.repeat(np.arange(len(starts)), sizes)
     plain, weighed = np.zeros((len(starts), 64 * PLAIN), bool), np.zeros((len(starts), 64 * WEIGHED), bool)
     plain[owner, (hashes >> U64(20)) % U64(64 * PLAIN)] = True
     draw = mixed(hashes ^ U64(BASE))
-    copies = np.minimum(weights / UNIT, COPIES) + (draw >> U64(32)) / 2.0**32
+    copies = np.minimum(np.floor(weights / counts / UNIT) * counts, COPIES)
     for i in range(COPIES):
-        has = copies >= i + 1
-        weighed[owner[has], (draw[has] >> U64(16 * i) & U64(0xFFFF)) * U64(64 * WEIGHED) >> U64(16)] = True
+        has = copies > i
+        if i:
+            draw = mixed(draw)
+        weighed[owner[has], (draw[has] >> U64(40)) * U64(64 * WEIGHED) >> U64(24)] = True
     packed = [np.packbits(x, axis=1, bitorder="little").view(U64) for x in (plain, weighed)]
     totals = np.rint(np.add.reduceat(weights, starts) * PARTS).astype(U64)
     return np.hstack([*packed, sizes.astype(U64)[:, None], totals[:, None]])
@@ -233,23 +247,24 @@ def sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, idf = Sampler(), shared_idf.value
         for b in slices(batches):
-            rows, bands, hs, ws, starts, held = [], [], [], [], [], 0
+            rows, bands, hs, ws, ns, starts, held = [], [], [], [], [], [], 0
 
             def flush():
-                nonlocal hs, ws, starts, held
+                nonlocal hs, ws, ns, starts, held
                 if starts:
-                    bands.append(sampler.bands(np.concatenate(hs), np.concatenate(ws), np.array(starts)))
-                hs, ws, starts, held = [], [], [], 0
+                    bands.append(sampler.bands(np.concatenate(hs), np.concatenate(ws), np.array(starts), np.concatenate(ns)))
+                hs, ws, ns, starts, held = [], [], [], [], 0
 
             for i, t in enumerate(b.column("text").to_pylist()):
                 words = word_hashes(t)
                 if not len(words):
                     continue
-                h, w = shingles(words, idf)
+                h, w, n = counted_shingles(words, idf)
                 rows.append(i)
                 starts.append(held)
                 hs.append(h)
                 ws.append(w)
+                ns.append(n)
                 held += len(h)
                 if held >= STEP:
                     flush()
@@ -317,10 +332,9 @@ def within_reach(x: str, y: str, similarity: float) -> Column:
     share, at = (1 - similarity) / (1 + similarity) * (1 + 1e-9), BANDS + SKETCH
     count, total = at + PLAIN + WEIGHED, at + PLAIN + WEIGHED + 1
     room = (F.col(x)[total] + F.col(y)[total] + 2) / PARTS * share
-    bits = room / UNIT
     plain = apart(at, PLAIN) <= (F.col(x)[count] + F.col(y)[count]) * share
     totals = F.abs(F.col(x)[total] - F.col(y)[total]) / PARTS <= room + 2 / PARTS
-    return plain | (totals & (apart(at + PLAIN, WEIGHED) <= bits + F.sqrt(bits) * MARGIN))
+    return plain | (totals & (apart(at + PLAIN, WEIGHED) * UNIT <= room))
 
 
 def most_differing(similarity: float) -> int:
@@ -406,19 +420,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class left, its columns unchanged; documents without words all stay."""
+    """``docs`` with one document of each class left, its columns unchanged; documents without words all stay. Of rows that are equal
+    in doc_id and text the one stays whose JSON text is least."""
     cols, null_id = docs.columns, -(1 << 63)
     rows, groups = classes(docs, similarity)
     counted = rows.groupBy("id", "key").agg(F.count("*").alias("n"))
     judged = cut(counted.join(groups, "key").select(F.col("id").alias("_pw_id"), F.col("key").alias("_pw_key"), "n", (F.coalesce(F.col("class_id"), F.lit(null_id)) == F.col("id")).alias("best")))
     losers = judged.where("not best").select("_pw_id", "_pw_key")
+    repeated = judged.where("n > 1 and best").select("_pw_id", "_pw_key")
     held = docs.withColumn("_pw_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id))).withColumn("_pw_key", text_key(docs["text"]))
     held = held.join(small_side(losers, losers.count(), 64), ["_pw_id", "_pw_key"], "left_anti")
-    if not judged.where("n > 1 and best").isEmpty():
-        again = F.row_number().over(Window.partitionBy("_pw_id", "_pw_key").orderBy(F.lit(0)))
-        blank = F.coalesce(F.length(F.trim("text")) == 0, F.lit(True))
-        held = held.withColumn("_pw_n", again).where((F.col("_pw_n") == 1) | blank)
-    return held.select(*cols)
+    if not (again := repeated.count()):
+        return held.select(*cols)
+    twice, row = small_side(repeated, again, 64), F.struct(*[docs[c] for c in cols])
+    one = held.join(twice, ["_pw_id", "_pw_key"], "left_semi").groupBy("_pw_id", "_pw_key").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return held.join(twice, ["_pw_id", "_pw_key"], "left_anti").select(*cols).unionByName(one)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
