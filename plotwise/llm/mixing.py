@@ -5,9 +5,11 @@ prefix sums (bucket totals, then positions within a bucket). A stream is cut int
 schedule has the point frac(k * golden ratio); the cumulative target shares map it to a source, and its rank
 among that source's slots is the block it takes; ranks past the end of a stream start its second round. What the
 low-discrepancy schedule leaves open of a target (a few blocks) follows as tail slots; blocks past it are left out.
+The order of the mix is that of the slots; within a block documents keep the stream's order.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; sizes of 0 take
-nothing; repeated rows are rows of their own; an empty table gives no rows; other columns are ignored.
+nothing and have no slot; repeated rows are rows of their own (rows alike in id, source and size are summed before they are
+placed, so a group of them is one row until the end); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, BUDGET, CAP = (5, 2, 1), 1.5, 2.0
 #: 2**31 divided by the golden ratio, rounded to an odd number: multiples mod 2**31 are the golden-ratio points.
 POINTS, STEP = 1 << 31, 1327217885
+#: Cells of the unit interval in which points meet the sources' intervals, and slots that are ranked together.
+CELLS, CHUNK, BLOCK = 4096, 4096, 1024
 SEED = "mix-1:"
 
 
@@ -52,32 +56,36 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, cap=CAP) -> DataFr
 
 
 def place(docs: DataFrame, sources: DataFrame, bucket_rows: int = 2048) -> DataFrame:
-    """``docs`` (with source, size, key) plus src, source_size, target, goal and ``start``: words of its source before it."""
-    n = docs.count()
-    buckets = max(1, -(-n // bucket_rows))
+    """``docs`` (with source, size, key, n rows alike) plus src, source_size, target, goal and ``start``: words of its source before it."""
+    rows = docs.count()
+    buckets = max(1, -(-rows // bucket_rows))
     at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("long")
     known = sources.withColumnRenamed("source", "_source")
     docs = docs.join(known, docs["source"].eqNullSafe(known["_source"])).drop("_source").withColumn("bucket", at)
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = docs.groupBy("src", "bucket").agg(F.sum("size").alias("own")).withColumn("base", F.coalesce(F.sum("own").over(before), F.lit(0))).select("src", "bucket", "base")
+    words = F.sum(F.col("size") * F.col("n"))
+    sums = docs.groupBy("src", "bucket").agg(words.alias("own")).withColumn("base", F.coalesce(F.sum("own").over(before), F.lit(0))).select("src", "bucket", "base")
     inside = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    run = docs.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    run = docs.withColumn("run", F.coalesce(words.over(inside), F.lit(0)))
     return run.join(sums, ["src", "bucket"]).withColumn("start", F.col("base") + F.col("run")).drop("base", "run", "bucket")
 
 
-def schedule(spark: SparkSession, sources: DataFrame, block: int, chunk: int = 4096) -> DataFrame:
-    """The slots: k (position in the mix), src, rank (block of the source's stream). Only the table of sources is read by the driver."""
-    rows = [r for r in sources.select("src", "target", "goal").orderBy("src").collect() if r.goal > 0]
-    total = sum(r.target for r in rows)
-    if not rows:
-        return spark.range(0).select(F.col("id").alias("k"), F.lit(0).alias("src"), F.lit(0).cast("long").alias("rank"))
-    n, bounds, upto = -(-sum(r.goal for r in rows) // block), [], 0.0
-    for r in rows[:-1]:
-        upto += r.target
-        bounds.append(F.lit(upto / total))
+def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The slots: k (position in the mix), src, rank (block of the source's stream).
+
+    Points and the sources' intervals of the cumulative weights meet on ``CELLS`` cells, so neither side is compared whole.
+    """
+    upto = F.sum("target").over(Window.partitionBy(F.lit(0)).orderBy("src").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("target").over(Window.partitionBy(F.lit(0)))
+    spans = sources.where("goal > 0").select("src", "target", "goal", upto.alias("upto"), total.alias("total"))
+    last = F.lead("src").over(Window.partitionBy(F.lit(0)).orderBy("src")).isNull()
+    from_ = F.lag("upto", 1, 0.0).over(Window.partitionBy(F.lit(0)).orderBy("src")) / F.col("total")
+    spans = spans.select("src", from_.alias("low"), F.when(last, 1.0).otherwise(F.col("upto") / F.col("total")).alias("high"))
+    spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))))
+    n = -(-(sources.agg(F.sum("goal")).first()[0] or 0) // block)
     u = (F.col("id") % POINTS * STEP) % POINTS / F.lit(float(POINTS))
-    which = F.size(F.filter(F.array(*bounds), lambda x: x <= F.col("u"))) if bounds else F.lit(0)
-    slots = spark.range(n).withColumn("u", u).withColumn("src", F.element_at(F.array(*[F.lit(r.src) for r in rows]), which + 1)).withColumn("chunk", F.floor(F.col("id") / chunk))
+    points = spark.range(n).withColumn("u", u).withColumn("cell", F.floor(F.col("u") * CELLS)).withColumn("chunk", F.floor(F.col("id") / CHUNK))
+    slots = points.join(spans, "cell").where((F.col("low") <= F.col("u")) & (F.col("u") < F.col("high"))).select("id", "chunk", "src")
     counts = slots.groupBy("chunk", "src").count()
     before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("chunk", "src", "base")
@@ -90,42 +98,50 @@ def schedule(spark: SparkSession, sources: DataFrame, block: int, chunk: int = 4
     return kept.unionByName(tail)
 
 
-def mix(docs: DataFrame, block: int = 1024, **rule) -> DataFrame:
-    """Per document (doc_id, text, source): doc_id, source, size, source_size, target, start and taken (words the mix takes)."""
+def mix(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
+    """Per document (doc_id, text, source): doc_id, source, size, source_size, target, start, taken (words the mix takes), and
+    first_slot and last_slot (slots of the schedule whose blocks hold its words; null if none is taken)."""
     spark = docs.sparkSession
-    sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("key")))
-    sources = cut(targets(sizes, **rule))
-    placed = place(sizes, sources)
-    slots = schedule(spark, sources, block).select("src", "rank")
+    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    sizes = cut(sizes.withColumn("key", order_key(F.col("doc_id"))))
+    sources = cut(targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")), **rule))
+    placed = place(sizes, sources).withColumn("i", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("start", F.col("start") + F.col("i") * F.col("size"))
+    slots = schedule(spark, sources, block)
     span = placed.where("size > 0").withColumn("round", F.explode(F.array(F.lit(0), F.lit(1))))
     span = span.withColumn("a", F.col("start") + F.col("round") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("goal")))
     blocks = F.when(F.col("a") < F.col("b"), F.expr(f"sequence(a div {block}, (b - 1) div {block})"))
     pieces = span.withColumn("rank", F.explode_outer(blocks))
-    taken = F.when(F.col("hit"), F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)).otherwise(0)
+    taken = F.when(F.col("k").isNotNull(), F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)).otherwise(0)
     keys = ["doc_id", "source", "size", "source_size", "target", "src", "start", "key"]
-    hit = pieces.join(slots.withColumn("hit", F.lit(True)), ["src", "rank"], "left").groupBy(*keys).agg(F.sum(taken).cast("long").alias("taken"))
-    none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
+    hit = pieces.join(slots, ["src", "rank"], "left").groupBy(*keys).agg(F.sum(taken).cast("long").alias("taken"), F.min("k").alias("first_slot"), F.max("k").alias("last_slot"))
+    empty = F.lit(None).cast("long")
+    none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), empty.alias("first_slot"), empty.alias("last_slot"))
     return hit.unionByName(none).drop("key", "src")
 
 
-def repeat_documents(docs: DataFrame, **rule) -> DataFrame:
-    """The mix as rows: every document whose start (or, in the second round, start plus its source's size) lies before
-    its source's target is emitted, once a round, whole. Documents without words are kept once. Columns of ``docs``."""
+def repeat_documents(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
+    """The mix as rows, in its order: a document stands at the slot of the block that holds its first word, once a round, and is
+    emitted whole if that word lies before its source's target (so a source misses its target by less than a document). Documents
+    without words are kept once, at the start. Partitions follow one another by slot. Columns of ``docs``.
+
+    The stream's order is drawn by id and text, so only rows alike in both stand together in it."""
     cols = docs.columns
+    key = F.md5(F.encode(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.encode("text", "utf-8")), F.lit(""))), "utf-8"))
     slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     sources = cut(targets(slim, **rule))
-    packed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("key"), F.struct(*[docs[c] for c in cols]).alias("row"))
-    placed = place(packed, sources)
-    times = F.when(F.col("size") == 0, 1).otherwise((F.col("start") < F.col("goal")).cast("int") + (F.col("start") + F.col("source_size") < F.col("goal")).cast("int"))
-    return placed.withColumn("times", times).where("times > 0").withColumn("n", F.explode(F.expr("sequence(1, times)"))).select("row.*")
+    packed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.lit(1).alias("n"), F.struct(*[docs[c] for c in cols]).alias("row"))
+    at = place(packed, sources).withColumn("a", F.explode(F.expr("CASE WHEN size = 0 THEN array(0L) ELSE array(start, start + source_size) END"))).where("size = 0 OR a < goal")
+    placed = at.withColumn("rank", F.expr(f"a div {block}")).join(schedule(docs.sparkSession, sources, block), ["src", "rank"], "left").withColumn("k", F.when(F.col("size") > 0, F.col("k")).otherwise(-1))
+    return placed.where("k IS NOT NULL").repartitionByRange("k", "key").sortWithinPartitions("k", "src", "a", "key").select("row.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
-#: The same numbers by plain arithmetic: whole rounds of a stream plus what of the next round lies before the goal.
+#: The same numbers by plain arithmetic: whole rounds of a stream plus what of the next round lies before the goal; the slots by
+#: the points one by one.
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
              md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
@@ -135,7 +151,18 @@ lv AS (SELECT max((1.5::DOUBLE * (SELECT sum(ss) FROM w) - coalesce(c, 0)) / ((S
   (SELECT sum(2.0::DOUBLE * ss) OVER o AS c, sum(w) OVER o AS cw FROM w WINDOW o AS (ORDER BY 2.0::DOUBLE * ss / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
 t AS (SELECT source, ss, least(2.0::DOUBLE * ss, lv * w) AS target, round(least(2.0::DOUBLE * ss, lv * w))::BIGINT AS goal FROM w, lv),
 p AS (SELECT d.*, t.ss, t.target, t.goal, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, ss AS source_size, target,
-  (CASE WHEN ss = 0 THEN 0 ELSE size * (goal // ss) + greatest(0, least(size, goal - ss * (goal // ss) - st)) END)::BIGINT AS taken FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT (sum(goal) + 1023)::BIGINT // 1024 AS n FROM t),
+cum AS (SELECT source, goal, (goal + 1023) // 1024 AS blocks, lag(upto, 1, 0.0) OVER o / total AS low, CASE WHEN lead(source_no) OVER o IS NULL THEN 1.0::DOUBLE ELSE upto / total END AS high
+  FROM (SELECT source, goal, row_number() OVER (ORDER BY source NULLS LAST) AS source_no, sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto, sum(target) OVER () AS total FROM t WHERE goal > 0) WINDOW o AS (ORDER BY source_no)),
+pts AS (SELECT k, ((k % 2147483648) * 1327217885 % 2147483648) / 2147483648.0::DOUBLE AS u FROM (SELECT unnest(range(n)) AS k FROM n)),
+given AS (SELECT source, blocks, k, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS rank FROM pts JOIN cum ON low <= u AND u < high),
+slots AS (SELECT source, rank, k FROM given WHERE rank < blocks UNION ALL
+  SELECT source, rank, n + rank FROM (SELECT source, unnest(range(g, blocks)) AS rank FROM (SELECT cum.source, cum.blocks, count(k) AS g FROM cum LEFT JOIN given ON cum.source IS NOT DISTINCT FROM given.source GROUP BY ALL)), n),
+pieces AS (SELECT doc_id, size, source, st, unnest(range(a // 1024, (b - 1) // 1024 + 1)) AS rank FROM
+  (SELECT *, st + r * ss AS a, least(st + r * ss + size, goal) AS b FROM p, (VALUES (0), (1)) v(r) WHERE size > 0) WHERE a < b),
+seen AS (SELECT doc_id, size, pieces.source, st, min(k) AS first_slot, max(k) AS last_slot FROM pieces JOIN slots ON pieces.rank = slots.rank AND pieces.source IS NOT DISTINCT FROM slots.source GROUP BY ALL)
+SELECT p.doc_id, p.size, ss AS source_size, target,
+  (CASE WHEN ss = 0 THEN 0 ELSE p.size * (goal // ss) + greatest(0, least(p.size, goal - ss * (goal // ss) - p.st)) END)::BIGINT AS taken, first_slot, last_slot
+FROM p LEFT JOIN seen ON p.doc_id IS NOT DISTINCT FROM seen.doc_id AND p.source IS NOT DISTINCT FROM seen.source AND p.st = seen.st AND p.size = seen.size
 """
