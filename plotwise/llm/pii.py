@@ -1,10 +1,11 @@
 """PII: format-preserving Feistel pseudonyms. Built-in column functions only.
 
-Kinds, each validated before it is replaced: card (13 to 19 digits that pass the check digit), ssn, phone, ip (each
-part at most 255), date (a real calendar day of ISO form in the permuted range) and email. The value is permuted by a
+Kinds, validated before they are replaced: card (13 to 19 digits that pass the check digit), ssn (area 1 to 899 but not 666, group
+and serial not 0), ip (each part at most 255) and date (a real calendar day of ISO form in the permuted range). Phone numbers and
+emails have nothing to check beyond their form. The value is permuted by a
 keyed Feistel network over its own format: digits stay digits, separators and the country code stay, a card's check
-digit is made anew, a date becomes another date, an address another address; an email's name keeps the class of each character
-and its domain stays. The same value gets the same pseudonym in every document and under every run with the same key;
+digit is made anew, a date becomes another date, an ssn another valid one, an address another address; an email's name keeps the
+class of each ASCII letter and digit, its letters beyond ASCII stay within their sixteen code points, and its domain stays. The same value gets the same pseudonym in every document and under every run with the same key;
 different values of one format get different ones.
 
 Defined results: a null text stays null, an empty one empty; text without a find is unchanged to the byte; a candidate
@@ -33,7 +34,8 @@ ANY = "|".join(PATTERNS.values())
 HINT = r"@|\+\d|\d{3}[-. )]|\d{13}|\d\.\d|\d{4}-"
 #: Days from 1970-01-01 to 1900-01-01; the permuted range is 270 * 271 days, up to 2100-05-01.
 FIRST_DAY, DATE_A, DATE_B = -25567, 270, 271
-ROUNDS, KEY = 8, "plotwise-demo-key"
+#: KEY is public and for tests: operators are given a key, and the queries read it from the session's ``KEY_SETTING``.
+ROUNDS, KEY, KEY_SETTING = 8, "plotwise-demo-key", "spark.plotwise.pseudonym.key"
 
 
 def _round(key: str, kind: str, i: Column, half: Column) -> Column:
@@ -93,6 +95,18 @@ def new_card(x: Column, key: str) -> Column:
     return F.when(check_sum(d, 1) % 10 == 0, refill(x, full)).otherwise(x)
 
 
+def new_ssn(x: Column, key: str) -> Column:
+    """Another valid number: area, group and serial are counted as one number without the areas, groups and serials that are not issued."""
+    d = digits_of(x)
+    area, group, serial = (F.substr(d, F.lit(i), F.lit(n)).cast("long") for i, n in ((1, 3), (4, 2), (6, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    place = area - 1 - (area > 666).cast("long")
+    out = feistel((place * 99 + group - 1) * 9999 + serial - 1, F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"), key, "ssn")
+    first = F.floor(out / (99 * 9999))
+    numbers = ((first + 1 + (first >= 665).cast("long"), 3), (F.pmod(F.floor(out / 9999), F.lit(99)) + 1, 2), (F.pmod(out, F.lit(9999)) + 1, 4))
+    return F.when(valid, refill(x, F.concat(*[F.lpad(c.cast("long").cast("string"), n, "0") for c, n in numbers]))).otherwise(x)
+
+
 def new_phone(x: Column, key: str) -> Column:
     """The last ten digits are permuted; what stands before them stays."""
     d = digits_of(x)
@@ -125,7 +139,10 @@ def new_email(x: Column, key: str) -> Column:
             by = _round(key, "email", i * 1000 + at, other)
             code = F.ascii(c)
             turn = lambda low, n: F.chr((F.lit(low) + F.pmod(code - low + by, F.lit(n))).cast("long"))
-            return F.when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26)).when(code.between(48, 57), turn(48, 10)).otherwise(c)
+            beyond = code.cast("long") - F.pmod(code, F.lit(16)) + F.pmod(code + by, F.lit(16))
+            wide = F.decode(F.unhex(F.lpad(F.hex(beyond), 8, "0")), "UTF-32")
+            out = F.when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26)).when(code.between(48, 57), turn(48, 10))
+            return out.when(code > 127, wide).otherwise(c)
 
         return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -141,29 +158,44 @@ def kind_of(x: Column) -> Column:
     return out.when(x.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip").when(x.rlike(r"^\d{13,19}$|^\d{4}[ -]\d{4}[ -]\d{4}|^\d{4}[ -]\d{6}"), "card").otherwise("phone")
 
 
-def pseudonym(x: Column, key: str = KEY) -> Column:
+def pseudonym(x: Column, key: str) -> Column:
     k = kind_of(x)
-    ssn = refill(x, permuted_digits(digits_of(x), key, "ssn"))
-    return F.when(k == "email", new_email(x, key)).when(k == "ssn", ssn).when(k == "date", new_date(x, key)).when(k == "ip", new_ip(x, key)).when(k == "card", new_card(x, key)).otherwise(new_phone(x, key))
+    return F.when(k == "email", new_email(x, key)).when(k == "ssn", new_ssn(x, key)).when(k == "date", new_date(x, key)).when(k == "ip", new_ip(x, key)).when(k == "card", new_card(x, key)).otherwise(new_phone(x, key))
 
 
-def pseudonymised(text: Column, key: str = KEY) -> Column:
-    """The whole text with every validated find replaced."""
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+def finds(text: Column) -> Column:
+    """The candidates in a text, in order; null if it can't hold any."""
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+
+
+def replaced(text: Column, found: Column, key: str) -> Column:
+    """The text with each of its finds validated and replaced."""
     new = F.concat(F.transform(found, lambda x: pseudonym(x, key)), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.concat(a, b)), "")
-    return F.when(text.rlike(HINT) & text.rlike(ANY), joined).otherwise(text)
+    return F.when(F.size(found) > 0, joined).otherwise(text)
+
+
+def pseudonymised(text: Column, key: str = KEY) -> Column:
+    """The whole text with every validated find replaced."""
+    return replaced(text, finds(text), key)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's setting; without it the public one, so that the queries run as they are."""
+    return spark.conf.get(KEY_SETTING, KEY)
 
 
-def hide_private(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with pseudonyms in ``text`` (and ``n_chars`` to match, if there); its columns otherwise unchanged."""
-    out = docs.withColumn("text", pseudonymised(docs["text"], key))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+def hide_private(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``docs`` with pseudonyms in ``text`` (and ``n_chars`` to match, if there); its columns otherwise unchanged. Without a key, the session's."""
+    found = docs.withColumn("_pw_found", finds(docs["text"]))
+    out = found.withColumn("text", replaced(F.col("text"), F.col("_pw_found"), key or session_key(docs.sparkSession)))
+    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return out.select(*docs.columns)
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, n_found (candidates by pattern), changed (whether the text differs)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
-    found = F.when(F.col("raw").rlike(HINT), F.regexp_count("raw", F.lit(ANY))).otherwise(0)
-    out = docs.select("doc_id", "raw", pseudonymised(F.col("raw")).alias("text"), F.coalesce(found, F.lit(0)).cast("long").alias("n_found"))
+    found = docs.withColumn("found", finds(F.col("raw")))
+    out = found.select("doc_id", "raw", replaced(F.col("raw"), F.col("found"), session_key(spark)).alias("text"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_found"))
     return out.select("doc_id", "text", "n_found", (~F.col("raw").eqNullSafe(F.col("text"))).alias("changed"))
