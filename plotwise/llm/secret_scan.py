@@ -1,9 +1,10 @@
 """Secret scans with structural confirmation.
 
 Base kinds are found by pattern: assign, access, hex. The method adds what it can confirm by structure: candidates
-of base64 or hex are decoded, and reported as ``der`` (nested definite lengths that fill the candidate exactly, of
-the shape of a key), ``ssh`` (an OpenSSH key container or a key blob whose length fields add up) or ``jwt`` (a header
-that is JSON with ``alg``, a payload that is JSON, and a third part); ``pem`` is an armoured block whose body is der or ssh.
+of base64 or hex are decoded, and reported as ``der`` (nested definite lengths that fill the candidate exactly, of the form
+of a private key), ``ssh`` (the container of an OpenSSH private key) or ``jwt`` (a header that is JSON with ``alg``, a payload
+that is JSON, and a third part); ``pem`` is an armoured block whose body is der or ssh. Public keys and certificates have such
+structures too and are no secrets: they are not reported.
 Spans are in code points, end exclusive; a confirmed span may cover a base one, which stays.
 
 Defined results: a null text has no spans (and the digest of the empty string); repeated rows are scanned each;
@@ -74,26 +75,20 @@ def elements(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE of at least two elements that holds an integer, an object identifier or a bit or octet string of 16 bytes or more."""
+    """One SEQUENCE in one of the forms of private keys: a version of 0 or 1, then at least one integer or octet string of 16 bytes or
+    more (RSA, EC, DSA and PKCS 8); or an algorithm and an octet string of as many (an encrypted key)."""
     top = elements(data) if len(data) >= 16 and data[0] == 0x30 else None
-    if not top or len(top) != 1:
+    inner = elements(top[0][1]) if top and len(top) == 1 else None
+    if not inner or len(inner) < 2:
         return False
-    inner = elements(top[0][1]) or []
-    flat = inner + [y for tag, x in inner if tag & 0x20 for y in elements(x) or []]
-    return len(inner) >= 2 and any(tag in (2, 3, 4) and len(x) >= 16 for tag, x in flat)
+    if inner[0] in ((2, b"\0"), (2, b"\1")):
+        return any(tag in (2, 4) and len(x) >= 16 for tag, x in inner[1:])
+    algorithm = elements(inner[0][1]) if inner[0][0] == 0x30 else None
+    return len(inner) == 2 and bool(algorithm) and algorithm[0][0] == 6 and inner[1][0] == 4 and len(inner[1][1]) >= 16
 
 
 def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, parts = 0, []
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return False
-        parts.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(parts) >= 2 and bool(re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{2,60}", parts[0]))
+    return data.startswith(b"openssh-key-v1\0")
 
 
 def is_jwt(token: str) -> bool:
