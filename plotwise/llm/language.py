@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose raw-content dictionary compresses a text best.
 
-Dictionaries: for each language a bounded sample of whole training texts (about ``SAMPLE_DOCS`` documents, taken by
-hash of the id; the first ``DICT_BYTES`` of them joined), normalised like the texts. Prediction: the whole text
+Dictionaries: for each language a bounded sample of whole training texts (about ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS``
+characters, taken by hash of the id; those that fit into ``DICT_BYTES`` together, in that order), normalised like the texts. Prediction: the whole text
 is normalised (lower case, letters only, one space between words) and encoded with every dictionary; the smallest
 frame wins, ties go to the language with more training rows (then by code point). ``score`` is the winner's share of 2**(-bits); ``rejected``
 marks narrow margins (under ``MARGIN`` of the smallest frame's bytes).
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import held_out, release, table
 
 #: Bounds of the sample that dictionaries are made of; the zstandard level; the margin.
-SAMPLE_DOCS, DICT_BYTES, LEVEL, MARGIN = 300, 110_000, 6, 0.01
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL, MARGIN = 300, 20_000, 110_000, 6, 0.01
 LETTERS = re.compile(r"[^\W\d_]+")
 SCHEMA = "lang_pred string, score double, rejected boolean"
 
@@ -34,19 +34,25 @@ def normalised(text: str | None) -> bytes:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """lang -> dictionary, most training rows first. Counts per language come from all training rows; only the sampled texts reach the driver."""
+    """lang -> dictionary, most training rows first. Counts per language come from all training rows; only the sampled texts reach the
+    driver, about ``2 * sample_docs`` of at most ``SAMPLE_CHARS`` characters a language."""
     train = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not counts:
         return {}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 2.0 * sample_docs / n))]), F.col("lang"))
-    rows = train.where(draw < share).select("lang", "doc_id", "text", draw.alias("at")).collect()
+    rows = train.where((draw < share) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "doc_id", "text", draw.alias("at")).collect()
     out = {}
     for lang in sorted(counts, key=lambda k: (-counts[k], k)):
-        texts = [normalised(r.text) for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.at, r.doc_id))[:sample_docs]]
-        if content := b" ".join(x for x in texts if x)[:dict_bytes]:
-            out[lang] = content
+        taken, size = [], 0
+        for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.at, r.doc_id))[:sample_docs]:
+            text = normalised(r.text)
+            if text and size + len(text) < dict_bytes:
+                taken.append(text)
+                size += len(text) + 1
+        if taken:
+            out[lang] = b" ".join(taken)
     return out
 
 
