@@ -4,6 +4,10 @@ HTML is parsed to an ordered array of text and media-reference structs; media ar
 digest of their payload; a join on the digest resolves the references, and the sequence is put together again in its
 order, captions beside their media.
 
+The query makes a page of every document: its lines are paragraphs, and a figure after the first of them refers to the payload by digest
+and is captioned with the number of bytes. Position, caption and the size of the texts around it come from the parsed sequence,
+the payload's figures from the join.
+
 Storage of a payload: bytes are grey samples of 8 bits, 24 to a row and 24 rows (576 bytes) to a tile, as a binary
 portable graymap (P5). Features are computed from the samples read back: tiles, mean, deviation, an eight-bin
 histogram and the 64-bit mean hash of the first tile.
@@ -159,20 +163,34 @@ def features(stored: DataFrame) -> DataFrame:
 
 def resolve(sequences: DataFrame, media: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``items``: the sequence of each row (column ``items``) in its order, media references resolved by digest.
-    ``media`` has ``digest`` and further columns, which become the struct ``media`` of each item (null for texts and the unknown)."""
-    items = sequences.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keys, F.explode_outer("items").alias("item"))
-    items = items.withColumn("digest", F.regexp_extract("item.ref", f"^{REF}([0-9a-f]{{64}})$", 1))
-    known = media.select("digest", F.struct(*[c for c in media.columns if c != "digest"]).alias("media"))
-    joined = items.join(known, "digest", "left")
-    item = F.struct("item.position", "item.kind", "item.text", "item.ref", "item.caption", "media")
-    return joined.groupBy("_row", *keys).agg(F.sort_array(F.collect_list(F.when(F.col("item").isNotNull(), item))).alias("items")).drop("_row")
+    ``media`` has ``digest`` and further columns, which become the struct ``media`` of each item (null for texts and the unknown).
+    Keys may have any name but ``items``. Hot digests are left to Spark's skew join, which splits their rows."""
+    own = F.struct(*[F.col(k) for k in keys])
+    rows = sequences.select(F.monotonically_increasing_id().alias("_row"), own.alias("_own"), "items").select("_row", "_own", F.explode_outer("items").alias("_item"))
+    rows = rows.withColumn("_digest", F.regexp_extract("_item.ref", f"^{REF}([0-9a-f]{{64}})$", 1))
+    known = media.select(F.col("digest").alias("_digest"), F.struct(*[c for c in media.columns if c != "digest"]).alias("media"))
+    item = F.struct("_item.position", "_item.kind", "_item.text", "_item.ref", "_item.caption", "media")
+    together = rows.join(known, "_digest", "left").groupBy("_row").agg(F.first("_own").alias("_own"), F.sort_array(F.collect_list(F.when(F.col("_item").isNotNull(), item))).alias("items"))
+    return together.select("_own.*", "items")
+
+
+def page_of(text: Column) -> Column:
+    """The document (not null) as a page: a paragraph a line, after the first the figure of its payload."""
+    n_bytes = F.octet_length(text)
+    pad = F.greatest(F.lit(1), F.ceil(n_bytes / TILE)) * TILE - n_bytes
+    digest = F.sha2(F.concat(F.encode(text, "utf-8"), F.unhex(F.repeat(F.lit(FILL.hex()), pad.cast("int")))), 256)
+    plain = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    figure = F.concat(F.lit(f'<figure><img src="{REF}'), digest, F.lit('"><figcaption>'), n_bytes.cast("string"), F.lit(" bytes</figcaption></figure>"))
+    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(figure), F.slice(lines, F.lit(2), F.size(lines))), "")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = cut(media_table(docs))
-    measured = cut(features(stored.select("digest", "media")))
-    html = F.concat(F.lit(f'<figure><img src="{REF}'), F.col("digest"), F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>"))
-    pages = cut(stored.select("doc_id", "n_bytes", interleave(html).alias("items")))
-    whole = resolve(pages, measured, ["doc_id", "n_bytes"]).withColumn("m", F.col("items")[0]["media"])
-    return whole.select("doc_id", "n_bytes", "m.*")
+    """The contract's columns, then position (of the media item), n_items, n_text (code points of the text items), caption."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    measured = cut(features(cut(media_table(docs)).select("digest", "media")))
+    pages = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), interleave(page_of(F.col("text"))).alias("all"))
+    sizes = F.aggregate("all", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.length(x["text"]), F.lit(0)))
+    slim = pages.select("doc_id", "n_bytes", F.size("all").cast("long").alias("n_items"), sizes.alias("n_text"), F.filter("all", lambda x: x["kind"] == "media").alias("items"))
+    whole = resolve(slim, measured, ["doc_id", "n_bytes", "n_items", "n_text"]).withColumn("m", F.col("items")[0])
+    return whole.select("doc_id", "n_bytes", "m.media.*", "m.position", "n_items", "n_text", "m.caption")
