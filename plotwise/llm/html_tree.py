@@ -4,7 +4,7 @@ Every page is parsed to element branches (paths of tags with their class words).
 and path, the style tree counts which child-tag styles and which contents occur. Presentation importance of a node is
 the entropy of its styles over pages; content importance of a leaf is one minus the mean share of pages that its contents
 cover, both with logarithms to the base of the host's distinct pages; the two are combined bottom-up. Branches of low
-importance are removed from each page, after the roles that markup declares (navigation, adverts, forms, comments).
+importance, whole and in all their parts, are removed from each page, after the roles that markup declares (navigation, adverts, forms, comments).
 Contents are counted over distinct pages, so copies of a page do not make its article look like a template. Branches inside
 and outside declared article and main elements are scored alike; inside, the bound is lower (``MAIN_PRIOR``). A host of too few
 pages gives no importance: there all text stays that markup does not declare to be noise.
@@ -235,22 +235,25 @@ def branch_table(pages: DataFrame) -> DataFrame:
     return pages.select("host", "html").mapInArrow(run, "host string, page bigint, path string, style bigint, content bigint, has_text boolean")
 
 
-def composite(tree: pd.DataFrame) -> dict[str, float]:
-    """Importance per path of one host: (1 - g**l) * presentation + g**l * (children's mean, or own content)."""
+def composite(tree: pd.DataFrame, low: float = LOW) -> dict[str, tuple[float, bool]]:
+    """Per path of one host its importance, and whether its branch is noise: the path and all below it are of low importance.
+
+    Importance is (1 - g**l) * presentation + g**l * the mean of its parts, with l the number of styles; the parts are the children
+    and the own text (by its content). A path without children has the importance of its content."""
     children: dict[str, list[str]] = {}
     for path in tree["path"]:
-        parent = path.rpartition("/")[0]
-        children.setdefault(parent, []).append(path)
-    rows = tree.set_index("path")
-    value: dict[str, float] = {}
-    for path in sorted(rows.index, key=lambda p: -p.count("/")):
-        r = rows.loc[path]
-        kids = [value[k] for k in children.get(path, []) if k in value]
-        below = ([float(r["content"])] if r["has_text"] else []) + kids
-        inner = max(below) if below else 0.0
-        share = GAMMA ** float(r["styles"])
-        value[path] = max(inner, (1 - share) * float(r["presentation"]) + share * inner) if kids else inner
-    return value
+        children.setdefault(path.rpartition("/")[0], []).append(path)
+    known: dict[str, tuple[float, bool]] = {}
+    for r in tree.iloc[tree["path"].str.count("/").argsort(kind="stable").to_numpy()[::-1]].itertuples():
+        parts = [known[k] for k in children.get(r.path, [])]
+        bar = low * (MAIN_PRIOR if in_main(r.path) else 1)
+        if r.has_text or not parts:
+            text = float(r.content) if r.has_text else 0.0
+            parts.append((text, text < bar))
+        inner, share = sum(v for v, _ in parts) / len(parts), GAMMA ** float(r.styles)
+        value = inner if len(parts) == 1 and not children.get(r.path) else (1 - share) * float(r.presentation) + share * inner
+        known[r.path] = (value, value < bar and all(noise for _, noise in parts))
+    return known
 
 
 def low_branches(pages: DataFrame, low: float = LOW) -> DataFrame:
@@ -267,7 +270,7 @@ def low_branches(pages: DataFrame, low: float = LOW) -> DataFrame:
     tree = tree.select("host", "path", "has_text", "styles", (1 - F.col("clc") / (F.col("pages") * base)).alias("content"), ((F.log(F.col("pages").cast("double")) - F.col("slc") / F.col("pages")) / base).alias("presentation"))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [digest(p) for p, v in composite(pdf).items() if v < low * (MAIN_PRIOR if in_main(p) else 1)]
+        found = [digest(p) for p, (_, noise) in composite(pdf, low).items() if noise]
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "low": [found]})
 
     return tree.groupBy("host").applyInPandas(judge, "host string, low array<bigint>")
@@ -280,8 +283,10 @@ def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
     size = trees.agg(F.count("*"), F.coalesce(F.sum(F.size("low")), F.lit(0))).first()
 
     @F.pandas_udf("string")
-    def text_of(html: pd.Series, low_paths: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, frozenset(x) if x is not None else frozenset()) for h, x in zip(html, low_paths, strict=True)], dtype=object)
+    def text_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for html, low_paths in batches:
+            yield pd.Series([main_text(h, frozenset(x) if x is not None else frozenset()) for h, x in zip(html, low_paths, strict=True)], dtype=object)
+        release()
 
     joined = pages.join(small_side(trees, size[0] * 8 + size[1], 8), "host", "left")
     return joined.select("page_id", "url", text_of("html", "low").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
