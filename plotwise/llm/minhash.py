@@ -55,7 +55,7 @@ BITS, CLOSE, NEAREST = 4, 0.5, 0.77
 LONGS = -(-BANDS * ROWS // 64)
 SKETCH = BITS * LONGS
 #: 64-bit words of the bitmaps: all shingles alike, and by weight (a bit for each whole ``UNIT``, ``COPIES`` at most).
-PLAIN, WEIGHED, UNIT, COPIES = 16, 24, 2.0, 6
+PLAIN, WEIGHED, UNIT, COPIES = 24, 20, 2.0, 6
 #: Parts of a weight in which a text's total is stored.
 PARTS = 1 << 10
 #: Longs a text: bands, sketch, both bitmaps, number of distinct shingles, total weight.

@@ -411,3 +411,309 @@ def test_pipeline_keeps_columns_and_packs(spark):
     for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:4]:
         assert stage(spark, docs, SF).columns == docs.columns, name
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_mixing_follows_its_schedule(spark, docs, monkeypatch):
+    """Slots by the points one by one; another schedule gives other slots, and the stage emits documents by slot."""
+    def rows():
+        return {r.doc_id: (r.start, r.taken, r.first_slot, r.last_slot) for r in mixing.mix(docs, block=64).where("size > 0 and doc_id is not null").collect()}
+
+    before = rows()
+    sources = sorted({(r.source is None, r.source): (r.target, round(r.target), r.source_size) for r in mixing.mix(docs, block=64).collect()}.items())
+    n = -(-sum(goal for _, (_, goal, _) in sources) // 64)
+    upto, bounds = 0.0, []
+    for _, (target, _, _) in sources:
+        upto += target
+        bounds.append(upto)
+    slots = collections.defaultdict(list)
+    for k in range(n):
+        u = k * mixing.STEP % mixing.POINTS / mixing.POINTS
+        slots[next(i for i, b in enumerate(bounds) if u < b / upto or i == len(bounds) - 1)].append(k)
+    for i, (_, (_, goal, _)) in enumerate(sources):
+        blocks = -(-goal // 64)
+        slots[i] = slots[i][:blocks] + [n + rank for rank in range(len(slots[i]), blocks)]
+    at = {key: i for i, (key, _) in enumerate(sources)}
+    for r in docs.where("doc_id is not null").collect():
+        if r.doc_id in before and r.doc_id != 7:
+            i = at[(r.source is None, r.source)]
+            _, goal, whole = sources[i][1]
+            start, taken, first, last = before[r.doc_id]
+            size = len(r.text.split())
+            used = [slots[i][b] for a in (start, start + whole) for b in range(a // 64, (min(a + size, goal) - 1) // 64 + 1) if a < goal]
+            assert (first, last) == ((min(used), max(used)) if used else (None, None))
+    order = [r.doc_id for r in mixing.repeat_documents(docs, block=64).collect() if r.doc_id in before and r.doc_id != 7]
+    first = [x for i, x in enumerate(order) if x not in order[:i]]
+    assert len(first) > 3 and first[0] == min((x for x in before if x != 7 and before[x][2] is not None), key=lambda x: before[x][2])
+    monkeypatch.setattr(mixing, "STEP", 7)
+    assert {k: v[:2] for k, v in rows().items()} == {k: v[:2] for k, v in before.items()} and rows() != before
+
+
+def test_mixing_sums_a_hot_group(spark):
+    """A third of the rows alike in id and size: one row until the end, then rows of their own."""
+    df = spark.createDataFrame([(None, "a b c", "s")] * 300 + [(i, "x " * (i % 9), "s") for i in range(600)], "doc_id long, text string, source string")
+    got = mixing.mix(df, block=16).collect()
+    assert len(got) == 900 and abs(sum(r.taken for r in got) - got[0].target) <= 0.5 and sum(r.doc_id is None for r in got) == 300
+
+
+def plain_email(x, key):
+    name, domain = x.split("@")
+    draw = lambda i, half: int(hashlib.sha256(f"{key}:email:{i}:{half}".encode()).hexdigest()[:12], 16)
+    halves = [name[: len(name) // 2], name[len(name) // 2 :]]
+
+    def turned(text, other, i):
+        out = ""
+        for at, c in enumerate(text):
+            by, n = draw(i * 1000 + at, other), ord(c)
+            low, size = (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (48, 10) if "0" <= c <= "9" else (n - n % 16, 16) if n > 127 else (n, 1)
+            out += chr(low + (n - low + by) % size)
+        return out
+
+    for i in range(4):
+        halves[i % 2] = turned(halves[i % 2], halves[1 - i % 2], i)
+    return "".join(halves) + "@" + domain
+
+
+def plain_pseudonym(x, key=pii.KEY):
+    """One find, in plain Python."""
+    import datetime as dt
+    import re
+
+    d = re.sub(r"\D", "", x)
+    fill = lambda digits: "".join(next(it) if c.isdigit() else c for it in [iter(digits)] for c in x)
+    if "@" in x:
+        return plain_email(x, key)
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", x):
+        a, g, s = map(int, x.split("-"))
+        if not (1 <= a <= 899 and a != 666 and g and s):
+            return x
+        v = plain_feistel(((a - 1 - (a > 666)) * 99 + g - 1) * 9999 + s - 1, 898 * 99, 9999, "ssn", key)
+        first = v // (99 * 9999)
+        return f"{first + 1 + (first >= 665):03d}-{v // 9999 % 99 + 1:02d}-{v % 9999 + 1:04d}"
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", x):
+        try:
+            day = (dt.date.fromisoformat(x) - dt.date(1970, 1, 1)).days - pii.FIRST_DAY
+        except ValueError:
+            return x
+        n = pii.DATE_A * pii.DATE_B
+        return str(dt.date(1970, 1, 1) + dt.timedelta(plain_feistel(day, pii.DATE_A, pii.DATE_B, "date", key) + pii.FIRST_DAY)) if 0 <= day < n else x
+    if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", x):
+        parts = [int(p) for p in x.split(".")]
+        v = plain_feistel(int.from_bytes(bytes(parts), "big"), 65536, 65536, "ip", key) if max(parts) < 256 else None
+        return x if v is None else ".".join(map(str, v.to_bytes(4, "big")))
+    if re.match(r"\d{13,19}$|\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}", x):
+        if not luhn(d):
+            return x
+        n = len(d) - 1
+        body = f"{plain_feistel(int(d[:-1]), 10 ** (n // 2), 10 ** (n - n // 2), 'card', key):0{n}d}"
+        return fill(next(body + c for c in "0123456789" if luhn(body + c)))
+    return fill(d[:-10] + f"{plain_feistel(int(d[-10:]), 10**5, 10**5, 'phone', key):010d}")
+
+
+def test_pseudonyms_against_plain_python(spark):
+    import regex
+
+    draw, texts = random.Random(8), ["ñéü@example.com and Ωmega7@x.gr", "ssn 000-00-0000, 666-12-3456, 123-00-4567, 899-99-9999, 667-01-0001", "on 1900-01-01, 2099-12-31, 2023-02-29", "0.0.0.0 255.255.255.255 256.1.1.1", None, ""]
+    number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    for _ in range(60):
+        body = number(15)
+        card = next(body + c for c in "0123456789" if luhn(body + c))
+        texts.append(f"{prose(5, draw.random())} {draw.choice('Az9')}{number(2)}.{prose(1, draw.random())}@m.example.org, +44 ({number(3)}) {number(3)}-{number(4)}; {number(3)}-{number(2)}-{number(4)} {card} {card[:4]}-{card[4:8]}-{card[8:12]}-{card[12:]}\n{draw.randint(1900, 2099)}-{draw.randint(1, 12):02d}-{draw.randint(1, 31):02d} {draw.randint(0, 300)}.{draw.randint(0, 300)}.1.2 {number(16)}.")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.text for r in pii.hide_private(df).collect()}
+    find = regex.compile(pii.ANY)
+    assert got == {i: t and find.sub(lambda m: plain_pseudonym(m[0]), t) for i, t in enumerate(texts)}
+    assert all(a not in got[0] for a in ("ñéü@", "Ωmega7@"))
+    assert got[1].startswith("ssn 000-00-0000, 666-12-3456, 123-00-4567, ") and got[3].endswith("256.1.1.1")
+
+
+def test_secrets_against_the_contract(spark):
+    """The base kinds by the words of the contract, over all documents."""
+    import re
+
+    def plain(text):
+        out = []
+        for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII):
+            out += [("assign", *m.span())] * (len(m[2]) >= 12)
+        out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = secret_scan.op8_secrets(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(rows) and sum(r.n_assign + r.n_access + r.n_hex for r in got) > 0
+    for r in got:
+        want = plain(rows[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[0] == k for x in want) for k in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r.spans.split(","))
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+def test_secrets_reports_private_structures_only():
+    oid, big = der(6, bytes([42, 134, 72, 134, 247, 13, 1, 1, 1])), der(2, b"\1" * 128)
+    private = [der(0x30, der(2, b"\0") + big + der(2, b"\1\0\1") + big * 6), der(0x30, der(2, b"\1") + der(4, b"k" * 32)), der(0x30, der(2, b"\0") + der(0x30, oid) + der(4, b"k" * 40)), der(0x30, der(0x30, oid) + der(4, b"k" * 40))]
+    public = [der(0x30, big + der(2, b"\1\0\1")), der(0x30, der(0x30, oid + der(5, b"")) + der(3, b"\0" * 140)), der(0x30, der(0x30, big + oid) + der(0x30, oid) + der(3, b"\0" * 128))]
+    kinds = lambda raw: [k for _, _, k in secret_scan.spans(f"k {base64.b64encode(raw).decode()} z")]
+    assert [kinds(x) for x in private] == [["der"]] * 4 and [kinds(x) for x in public] == [[]] * 3
+    blob = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"p" * 32))
+    assert kinds(blob) == [] and kinds(b"openssh-key-v1\0" + b"n" * 40) == ["ssh"]
+    body = base64.b64encode(public[1]).decode()
+    assert secret_scan.spans(f"-----BEGIN PUBLIC KEY-----\n{body}\n-----END PUBLIC KEY-----") == []
+
+
+def test_language_against_plain_zstandard(spark):
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    books = language.learn(docs)
+    assert all(len(b) <= language.DICT_BYTES for b in books.values())
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9), r.rejected) for r in language.op7_language(spark, SF).collect()}
+    for r in docs.collect():
+        raw = language.normalised(r.text)
+        sizes = {k: len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(raw)) for k, b in books.items()}
+        best = min(sizes, key=lambda k: sizes[k])
+        others = [n for k, n in sizes.items() if k != best]
+        want = (best, round(1 / sum(2.0 ** (8 * (sizes[best] - n)) for n in sizes.values()), 9), min(others) - sizes[best] < language.MARGIN * sizes[best])
+        assert got[r.doc_id] == (want if raw else ("und", 0.0, True))
+
+
+def test_quality_against_plain_discriminant(spark):
+    """Shrunk covariances, their determinants and Mahalanobis distances by numpy, without factors."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = [(r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    x = np.array([quality.statistics(texts[i]) for i, _ in known])
+    y = np.array([k for _, k in known])
+    centre, scale, d = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-6)), x.shape[1]
+    parts = []
+    for k in (0, 1):
+        z = (x[y == k] - centre) / scale
+        cov = np.cov(z.T, bias=True)
+        cov = (1 - quality.SHRINKAGE) * cov + (quality.SHRINKAGE * max(np.trace(cov) / d, 1e-3) + 1e-6) * np.eye(d)
+        parts.append((z.mean(0), np.linalg.inv(cov), np.log(np.linalg.det(cov)), np.log((y == k).mean())))
+    for r in quality.op4_quality(spark, "/root/testdata/sf0.01").collect():
+        z = (np.array(quality.statistics(texts[r.doc_id])) - centre) / scale
+        log = [prior - 0.5 * (det + (z - m) @ inv @ (z - m)) for m, inv, det, prior in parts]
+        assert abs(r.score - 1 / (1 + np.exp(min(500, log[0] - log[1])))) < 1e-6
+        assert r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_media_query_against_plain_python(spark):
+    """Payload, stored form, features, and what the parsed sequence tells: position, items, text around it, caption."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = media.op10_media(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        stored = b"P5\n24 %d\n255\n" % (len(payload) // 24) + payload
+        x = np.frombuffer(payload, np.uint8)
+        first = [x[:576].reshape(24, 24)[3 * i : 3 * i + 3, 3 * j : 3 * j + 3].astype(int).sum() for i in range(8) for j in range(8)]
+        bits = sum(int(c * 64 > sum(first)) << (63 - i) for i, c in enumerate(first))
+        hist = [int(((x >= 32 * i) & (x < 32 * i + 32)).sum()) for i in range(8)]
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(stored))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(stored).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
+        assert r.feature == f"tiles={len(x) // 576};mean={x.mean():.4f};std={x.std():.4f};hist={','.join(map(str, hist))};hash={bits:016x}"
+        lines = [" ".join(line.split()) for line in texts[r.doc_id].split("\n")]
+        full = [line for line in lines if line]
+        assert (r.position, r.n_items, r.n_text, r.caption) == (int(bool(lines[0])), len(full) + 1, sum(map(len, full)), f"{len(raw)} bytes")
+
+
+def test_media_resolve_takes_any_key(spark):
+    df = spark.createDataFrame([("k1", "w", "<p>one"), ("k2", None, None)], "digest string, item string, html string").select("digest", "item", media.interleave(F.col("html")).alias("items"))
+    got = media.resolve(df, spark.createDataFrame([], "digest string, size int"), ["digest", "item"]).orderBy("digest").collect()
+    assert [(r.digest, r["item"], [x.text for x in r["items"]]) for r in got] == [("k1", "w", ["one"]), ("k2", None, [])]
+
+
+def test_dedup_stage_blank_and_repeated_rows(spark):
+    rows = [(1, "\t", "a"), (1, "\t", "b"), (2, "x y", "b"), (2, "x y", "a"), (3, None, "a"), (3, None, "a"), (None, "x z", "c"), (None, "x z", "c")]
+    got = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[1], rows[3], rows[4], rows[5], rows[6]], key=str)
+
+
+def test_html_tree_against_plain_python(spark):
+    """Importance of every path of two hosts of pages without main elements, from whole pages, by the published formulas."""
+    import math
+
+    page = lambda h, i: "<body>" + ("<div class=strip><p>Read more</p><p>All rights</p></div>" if i % 5 else "") + f"<div class=list>{'<ul><li>a</ul>' if i % 2 else '<p>b</p>'}</div><div class=story><p>{prose(9, 50 * h + i)}</p><p>{prose(6, 999 * h + i)}</p></div>"
+    rows = [(20 * h + i, f"http://h{h}.example/{i}", page(h, i)) for h in (0, 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    low = {r.host: set(r.low) for r in html_tree.low_branches(df.withColumn("host", html_tree.host_of(F.col("url")))).collect()}
+    for h in (0, 1):
+        seen = collections.defaultdict(dict)
+        for n, _, html_ in rows[10 * h : 10 * h + 10]:
+            merged = collections.defaultdict(lambda: (set(), set()))
+            for path, style, own in html_tree.blocks(html_)[1]:
+                merged[path][0].add(style)
+                merged[path][1].add(own)
+            for path, (styles, own) in merged.items():
+                seen[path][n] = (tuple(sorted(styles)), tuple(sorted(own)))
+
+        def entropy(values):
+            return -sum(c / len(values) * math.log(c / len(values), 10) for c in collections.Counter(values).values())
+
+        def judge(path):
+            styles, own = zip(*seen[path].values())
+            kids = [judge(k) for k in seen if k.rpartition("/")[0] == path]
+            parts, text = [k[:2] for k in kids], any(any(x) for x in own)
+            if text or not kids:
+                content = 1 - sum(math.log(c, 10) * c for c in collections.Counter(own).values()) / len(own) if text else 0.0
+                parts.append((content, content < html_tree.LOW))
+            inner, share = sum(p[0] for p in parts) / len(parts), html_tree.GAMMA ** len(set(styles))
+            value = (1 - share) * entropy(styles) + share * inner if kids else inner
+            return value, value < html_tree.LOW and all(p[1] for p in parts)
+
+        want = {html_tree.digest(p) for p in seen if judge(p)[1]}
+        assert want and low[f"h{h}.example"] == want
+    got = {r.page_id: r.text for r in html_tree.extract(df).collect()}
+    assert all("Read more" not in t and prose(9, n + 30 * (n // 20)) in t for n, t in got.items())
+
+
+def test_pipeline_stages_against_plain_python(spark):
+    """Every stage on its own input, small: the discriminant's verdict, classes by all pairs, plain pseudonyms, plain streams, plain ids."""
+    import regex
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages, seen = dict(corpus_pipeline.STAGES), {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/test-{name}"
+        stage(spark, docs, SF).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        seen[name] = docs.collect()
+    assert list(stages) == ["quality", "near_duplicates", "private", "mixing", "packing"]
+    all_docs = spark.read.parquet(f"{SF}/documents.parquet")
+    score = {r.doc_id: r.score for r in quality.op4_quality(spark, SF).collect()}
+    assert {r.doc_id for r in seen["quality"]} == {i for i, x in score.items() if x >= quality.THRESHOLD}
+    rows = sorted(seen["quality"], key=lambda r: r.doc_id)
+    idf = minhash.inverse_frequencies(all_docs.where(F.col("doc_id").isin([r.doc_id for r in rows])))
+    sets = [minhash.shingles(minhash.word_hashes(r.text), idf) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and minhash.alike(sets[i], sets[j]) >= 0.8:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    assert sorted(r.doc_id for r in seen["near_duplicates"]) == [rows[i].doc_id for i in sorted(set(group))]
+    find = regex.compile(pii.ANY)
+    want = {r.doc_id: find.sub(lambda m: plain_pseudonym(m[0]), r.text) for r in seen["near_duplicates"]}
+    assert {r.doc_id: r.text for r in seen["private"]} == want
+    size = {r.doc_id: len(r.text.split()) for r in seen["private"]}
+    count = collections.Counter(r.doc_id for r in seen["mixing"])
+    goals = {r.source: r.goal for r in mixing.targets(spark.createDataFrame([(r.source, size[r.doc_id]) for r in seen["private"]], "source string, size long")).collect()}
+    for source, goal in goals.items():
+        own = [r for r in seen["private"] if r.source == source]
+        order = sorted((r for r in own if size[r.doc_id]), key=lambda r: hashlib.md5(f"{mixing.SEED}{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}".encode()).hexdigest())
+        whole, at = sum(size[r.doc_id] for r in own), 0
+        for r in order:
+            assert count[r.doc_id] == (at < goal) + (at + whole < goal)
+            at += size[r.doc_id]
+    tk = Tokenizer.from_file(packing.vocabulary())
+    tokens = collections.Counter()
+    for r in seen["packing"]:
+        tokens[r.doc_id] += r.length
+    text = {r.doc_id: r.text for r in seen["mixing"]}
+    assert tokens == {i: n * (len(tk.encode(text[i], add_special_tokens=False).ids) + 1) for i, n in count.items()}
