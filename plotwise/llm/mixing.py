@@ -55,8 +55,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, cap=CAP) -> DataFr
     return s.select("source", "src", "source_size", "target", F.round("target").cast("long").alias("goal"))
 
 
-def place(docs: DataFrame, sources: DataFrame, bucket_rows: int = 2048) -> DataFrame:
-    """``docs`` (with source, size, key, n rows alike) plus src, source_size, target, goal and ``start``: words of its source before it."""
+def place(docs: DataFrame, sources: DataFrame, bucket_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (with source, size, key, n rows alike) plus src, bucket, source_size, target, goal and ``start``: words of its source
+    before it; and the buckets (src, bucket, base: words before it, own: its words)."""
     rows = docs.count()
     buckets = max(1, -(-rows // bucket_rows))
     at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("long")
@@ -64,10 +65,11 @@ def place(docs: DataFrame, sources: DataFrame, bucket_rows: int = 2048) -> DataF
     docs = docs.join(known, docs["source"].eqNullSafe(known["_source"])).drop("_source").withColumn("bucket", at)
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     words = F.sum(F.col("size") * F.col("n"))
-    sums = docs.groupBy("src", "bucket").agg(words.alias("own")).withColumn("base", F.coalesce(F.sum("own").over(before), F.lit(0))).select("src", "bucket", "base")
+    sums = docs.groupBy("src", "bucket").agg(words.alias("own")).withColumn("base", F.coalesce(F.sum("own").over(before), F.lit(0)))
     inside = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     run = docs.withColumn("run", F.coalesce(words.over(inside), F.lit(0)))
-    return run.join(sums, ["src", "bucket"]).withColumn("start", F.col("base") + F.col("run")).drop("base", "run", "bucket")
+    sums = cut(sums)
+    return run.join(sums.drop("own"), ["src", "bucket"]).withColumn("start", F.col("base") + F.col("run")).drop("base", "run"), sums
 
 
 def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -105,7 +107,7 @@ def mix(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
     sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     sizes = cut(sizes.withColumn("key", order_key(F.col("doc_id"))))
     sources = cut(targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")), **rule))
-    placed = place(sizes, sources).withColumn("i", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("start", F.col("start") + F.col("i") * F.col("size"))
+    placed = place(sizes, sources)[0].withColumn("i", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("start", F.col("start") + F.col("i") * F.col("size"))
     slots = schedule(spark, sources, block)
     span = placed.where("size > 0").withColumn("round", F.explode(F.array(F.lit(0), F.lit(1))))
     span = span.withColumn("a", F.col("start") + F.col("round") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("goal")))
@@ -130,9 +132,20 @@ def repeat_documents(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
     slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     sources = cut(targets(slim, **rule))
     packed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.lit(1).alias("n"), F.struct(*[docs[c] for c in cols]).alias("row"))
-    at = place(packed, sources).withColumn("a", F.explode(F.expr("CASE WHEN size = 0 THEN array(0L) ELSE array(start, start + source_size) END"))).where("size = 0 OR a < goal")
-    placed = at.withColumn("rank", F.expr(f"a div {block}")).join(schedule(docs.sparkSession, sources, block), ["src", "rank"], "left").withColumn("k", F.when(F.col("size") > 0, F.col("k")).otherwise(-1))
-    return placed.where("k IS NOT NULL").repartitionByRange("k", "key").sortWithinPartitions("k", "src", "a", "key").select("row.*")
+    placed, buckets = place(packed, sources)
+    # A bucket's words are consecutive, and so are the blocks that hold them: each round's slots are one array, which joins rows where
+    # they lie, so that texts are not dealt out again.
+    spans = buckets.join(sources.select("src", "source_size", "goal"), "src").withColumn("round", F.explode(F.array(F.lit(0), F.lit(1))))
+    spans = spans.withColumn("a", F.col("base") + F.col("round") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("own"), F.col("goal"))).where("a < b")
+    ranks = spans.withColumn("rank", F.explode(F.expr(f"sequence(a div {block}, (b - 1) div {block})"))).join(schedule(docs.sparkSession, sources, block), ["src", "rank"])
+    rounds = ranks.groupBy("src", "bucket", "round").agg(F.min("rank").alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "k"))), lambda x: x["k"]).alias("ks"))
+    slots = cut(rounds.groupBy("src", "bucket").agg(F.map_from_entries(F.collect_list(F.struct("round", F.struct("first", "ks")))).alias("slots")))
+    starts = F.when(F.col("size") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    at = placed.join(slots, ["src", "bucket"], "left").withColumn("round", F.explode(starts)).withColumn("a", F.col("start") + F.col("round") * F.col("source_size"))
+    here = F.col("slots")[F.col("round")]
+    k = F.when(F.col("size") == 0, F.lit(-1)).otherwise(F.get(here["ks"], (F.expr(f"a div {block}") - here["first"]).cast("int")))
+    kept = at.where((F.col("size") == 0) | (F.col("a") < F.col("goal"))).select(k.alias("k"), "src", "a", "key", "row")
+    return kept.repartitionByRange("k", "key").sortWithinPartitions("k", "src", "a", "key").select("row.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
