@@ -30,6 +30,21 @@ def all_digits(c: Column) -> Column:
     return c.rlike("^[0-9]+$")
 
 
+def month_start(at: Column) -> Column:
+    """Midnight of the first of the month, in the session's time zone."""
+    return F.date_trunc("month", at)
+
+
+def day_text(c: Column) -> Column:
+    """A day as people read it: 5 Mar 2024."""
+    return F.date_format(c, "d MMM yyyy")
+
+
+def fixed(c: Column, places: int) -> Column:
+    """A number with so many decimals, as text."""
+    return F.format_string(f"%.{places}f", c.cast("double"))
+
+
 def dashed(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit("-"))
 

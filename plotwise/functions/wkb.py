@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCHEMA = "kind string, parts array<array<array<struct<x: double, y: double>>>>"
+SCHEMA = "kind string, srid int, parts array<array<array<struct<x: double, y: double>>>>"
 #: The geometry codes of the format.
 NAMES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
 
@@ -53,20 +53,23 @@ def _read(data: bytes, at: int, depth: int = 0) -> tuple[str, list, int]:
 
 
 def decode(data: bytes | None) -> dict | None:
-    """kind and polygon parts; null for null or unreadable bytes."""
+    """kind, polygon parts and, if the bytes tell it, srid; null for null or unreadable bytes."""
     if not data:
         return None
     try:
         kind, parts, _ = _read(bytes(data), 0)
     except (struct.error, KeyError, IndexError):
         return None
-    return {"kind": kind, "parts": parts}
+    order = "<" if data[0] == 1 else ">"
+    (code,) = struct.unpack_from(order + "I", data, 1)
+    srid = struct.unpack_from(order + "i", data, 5)[0] if code & 0x20000000 else None
+    return {"kind": kind, "parts": parts} if srid is None else {"kind": kind, "parts": parts, "srid": srid}
 
 
 def decoded(wkb: Column) -> Column:
     @F.pandas_udf(SCHEMA)
     def run(series: pd.Series) -> pd.DataFrame:
         rows = [decode(x) or {"kind": None, "parts": None} for x in series]
-        return pd.DataFrame({"kind": [r["kind"] for r in rows], "parts": [r["parts"] for r in rows]})
+        return pd.DataFrame({"kind": [r["kind"] for r in rows], "srid": pd.array([r.get("srid") for r in rows], "Int32"), "parts": [r["parts"] for r in rows]})
 
     return run(wkb)

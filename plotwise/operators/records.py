@@ -18,11 +18,12 @@ def dedup_by_key(records: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def owners(records: DataFrame, survey: str | None = None) -> DataFrame:
-    """Cases of both sources (column rank: the preferred one first; pos within it), one per acknowledgement number."""
+    """Cases of both sources (column rank: the preferred one first; pos within it), one per acknowledgement number; of these, the cases of
+    a survey base if one is given. A number whose preferred case has another base is left out, whatever its other cases say."""
     r = records.withColumns({c: text.no_null(F.col(c)) for c in ("Ack_No", "Survey_no", "surnoc", "hissano")})
-    if survey:
-        r = r.where(text.survey_base(F.col("Survey_no")) == survey.split("/")[0].strip())
     one = dedup_by_key(r, "Ack_No", ["rank", "pos"])
+    if survey:
+        one = one.where(text.survey_base(F.col("Survey_no")) == survey.split("/")[0].strip())
     number = F.concat_ws("/", "Survey_no", text.dashed(F.col("surnoc")), text.dashed(F.col("hissano")))
     return one.select(F.col("Ack_No").alias("ack_no"), number.alias("survey_no"), F.col("ownername").alias("owner"), F.col("Case_Status").alias("status"), "rank", "pos")
 
@@ -50,7 +51,9 @@ def project(rows: DataFrame, user: str, id_: str) -> DataFrame:
     return rows.where((F.col("user_id") == user) & (F.col("id") == id_)).limit(2)
 
 
-def project_stats(rows: DataFrame, since) -> DataFrame:
-    """total, complete, needs_review and this_month (created at or after ``since``) in one pass."""
+def project_stats(rows: DataFrame, since=None) -> DataFrame:
+    """total, complete, needs_review and this_month (created at or after ``since``: without it, the first of this month at midnight in
+    the session's time zone) in one pass."""
+    since = text.month_start(F.current_timestamp()) if since is None else since
     status = F.when(F.col("status").isin(COMPLETE, REVIEW), F.col("status")).otherwise(REVIEW)
     return rows.agg(F.count("*").alias("total"), F.count_if(status == COMPLETE).alias("complete"), F.count_if(status == REVIEW).alias("needs_review"), F.count_if(F.col("created_at") >= since).alias("this_month"))

@@ -49,6 +49,27 @@ def village_search(names: DataFrame, with_data: DataFrame, q: str, limit: int =
     return out.orderBy("village_name", "pos").limit(limit).drop("pos")
 
 
+def first_of_base(features: DataFrame, survey: str, order: list[str]) -> DataFrame:
+    """The first feature, in the given order, whose survey number has the base of ``survey``."""
+    return same_base(features, survey).orderBy(*order).limit(1)
+
+
+def in_loaded(results: DataFrame, loaded: DataFrame, **codes: str | None) -> DataFrame:
+    """Search results whose survey base is among those loaded and whose codes are those of the loaded village, as far as given; one of
+    those alike in number and codes."""
+    base = lambda df: df.withColumn("_base", text.survey_base(F.col("survey_no")))
+    own = base(results).join(base(loaded).select("_base").distinct(), "_base", "left_semi").drop("_base")
+    for level, code in codes.items():
+        if code:
+            own = own.where(F.col(level) == code)
+    return own.dropDuplicates(["survey_no", *HIERARCHY])
+
+
+def not_loaded(results: DataFrame, current: DataFrame) -> DataFrame:
+    """The other results: those without a row alike in number and codes in ``in_loaded``."""
+    return results.join(current, ["survey_no", *HIERARCHY], "left_anti")
+
+
 def inset_search(loaded: DataFrame, q: str) -> DataFrame:
     """Distinct bases of the loaded parcels that begin with the query, in text order."""
     base = text.survey_base(F.col("survey_no"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from . import overlay
 
 HIERARCHY = ["dist", "taluk", "hobli", "vlg"]
 
@@ -77,49 +78,38 @@ def stitch(segments: list[tuple[float, float, float, float]]) -> list[list[list[
     return [[[{"x": x, "y": y} for x, y in r] for r in (shell, *holes)] for shell, holes in shells]
 
 
-def meets(segments: list[tuple[float, float, float, float]]) -> bool:
-    """Whether two of the segments cross, or one ends inside another, or two overlap along a line: a sweep by the lesser x."""
-    side = lambda ax, ay, bx, by, x, y: (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-    active: list[tuple[float, float, float, float]] = []
-    for s in sorted((a if a[:2] <= a[2:] else (*a[2:], *a[:2])) for a in segments):
-        active = [o for o in active if o[2] >= s[0]]
-        for o in active:
-            if min(o[1], o[3]) > max(s[1], s[3]) or min(s[1], s[3]) > max(o[1], o[3]):
-                continue
-            p, q = side(*o, *s[:2]), side(*o, *s[2:])
-            u, v = side(*s, *o[:2]), side(*s, *o[2:])
-            shared = {s[:2], s[2:]} & {o[:2], o[2:]}
-            if p * q < 0 and u * v < 0:
-                return True
-            if p == q == u == v == 0:
-                along = sorted((s, o))
-                if along[1][:2] < along[0][2:]:
-                    return True
-            elif not shared and p * q <= 0 and u * v <= 0:
-                return True
-        active.append(s)
-    return False
-
-
 def dissolve(parcels: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, mpoly, exact): the union of each group's polygons. ``exact`` is false where its area differs from the parcels' sum or
-    what is left of the borders meets itself, as with overlaps and unequal borders; such a boundary is not to be trusted. A group is one village, so its segments fit a task."""
+    """(keys, mpoly, exact): the union of each group's polygons.
+
+    Where neighbours share their borders vertex by vertex these cancel, and what is left is the union: ``exact``. Groups whose areas do
+    not add up, or whose remaining borders meet, hold overlaps, unequal borders or polygons that cross themselves; their union is made by an
+    overlay of the edges and ``exact`` is false. Only the border is put together in one task a group (a village)."""
     types = ", ".join(f"{k} {parcels.schema[k].dataType.simpleString()}" for k in keys)
 
     def rings(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         segments = list(pdf[["ax", "ay", "bx", "by"]].itertuples(index=False, name=None))
-        return pd.DataFrame([[*key, stitch(segments), meets(segments)]], columns=[*keys, "mpoly", "meets"])
+        return pd.DataFrame([[*key, stitch(segments)]], columns=[*keys, "mpoly"])
 
-    whole = outer_segments(parcels, keys).groupBy(*keys).applyInPandas(rings, f"{types}, mpoly array<array<array<struct<x: double, y: double>>>>, meets boolean")
+    def closed(segments: DataFrame) -> DataFrame:
+        return segments.groupBy(*keys).applyInPandas(rings, f"{types}, mpoly array<array<array<struct<x: double, y: double>>>>")
+
+    outer = outer_segments(parcels, keys)
     sums = parcels.groupBy(*keys).agg(F.sum(geo.area(F.col("mpoly"))).alias("parcel_area"))
     gap = F.abs(geo.area(F.col("mpoly")) - F.col("parcel_area"))
-    return whole.join(sums, keys).withColumn("exact", (gap <= 1e-6 * F.greatest(F.lit(1e-12), F.col("parcel_area"))) & ~F.col("meets")).drop("parcel_area", "meets")
+    plain = sums.join(closed(outer), keys, "left").join(overlay.meeting(outer, keys).withColumn("meets", F.lit(True)), keys, "left")
+    even = gap <= 1e-6 * F.greatest(F.lit(1e-12), F.col("parcel_area"))
+    plain = plain.withColumn("exact", F.coalesce(even, F.lit(False)) & F.col("meets").isNull())
+    rough = plain.where("not exact").select(*keys)
+    other = closed(overlay.border(parcels.join(rough, keys, "left_semi"), keys)).withColumn("exact", F.lit(False))
+    return plain.where("exact").select(*keys, "mpoly", "exact").unionByName(other)
 
 
 def boundaries(parcels: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
     """Per village: keys, village_name, has_data, mpoly. Villages of the name list without any parcel follow with has_data false.
-    A village whose parcels yield no polygon appears in neither part."""
-    first = parcels.groupBy(*keys).agg(F.min_by("village_name", "survey_no").alias("own_name"))
+    A village whose parcels yield no polygon appears in neither part. A village that the list does not name has the name in the first
+    row of its first file (columns path and pos, as far as there are; else by survey number)."""
+    order = [c for c in ("path", "pos") if c in parcels.columns] or ["survey_no"]
+    first = parcels.groupBy(*keys).agg(F.min_by(text.no_null(F.col("village_name")), F.struct(*order)).alias("own_name"))
     own = dissolve(parcels.where(F.size("mpoly") > 0), keys).join(first, keys).join(names.select(*keys, "name"), keys, "left")
     have = own.select(*keys, F.coalesce(F.nullif("name", F.lit("")), F.nullif("own_name", F.lit("")), F.lit("")).alias("village_name"), F.lit(True).alias("has_data"), "mpoly")
     none = names.join(parcels.select(*keys).distinct(), keys, "left_anti").select(*keys, F.col("name").alias("village_name"), F.lit(False).alias("has_data"))
@@ -128,7 +118,8 @@ def boundaries(parcels: DataFrame, names: DataFrame, keys: list[str]) -> DataFra
 
 def enrich(villages: DataFrame, roster: DataFrame, names: DataFrame, with_data: DataFrame) -> DataFrame:
     """Villages with their codes by the roster (last row of a code wins), else by squashed name if the roster is empty
-    (first key wins); match_method says which. has_data tells whether the lake has the village."""
+    (first key wins); match_method says which. has_data tells whether the lake has the village. A village without a name takes the
+    list's name of its codes, else ''. Other columns of ``villages``, as its geometry, stay."""
     last = roster.groupBy("lgd_code").agg(F.max_by(F.struct(*HIERARCHY), "pos").alias("h")).select("lgd_code", "h.*")
     if roster.isEmpty():
         by_name = names.where("level = 'vlg'").withColumn("k", text.squashed(F.col("name"))).groupBy("k").agg(F.min_by(F.struct(*HIERARCHY), "pos").alias("h")).select("k", "h.*")
@@ -136,7 +127,10 @@ def enrich(villages: DataFrame, roster: DataFrame, names: DataFrame, with_data:
     else:
         out = villages.join(last, "lgd_code", "left").withColumn("match_method", F.when(F.col("vlg").isNotNull(), "roster"))
     have = with_data.select(*HIERARCHY).distinct().withColumn("d", F.lit(True))
-    return out.join(have, HIERARCHY, "left").withColumn("has_data", F.coalesce("d", F.lit(False))).drop("d")
+    listed = names.where("level = 'vlg'").groupBy(*HIERARCHY).agg(F.min_by("name", "pos").alias("_listed"))
+    out = out.join(have, HIERARCHY, "left").join(listed, HIERARCHY, "left")
+    name = F.coalesce(F.nullif(text.no_null(F.col("village_name")), F.lit("")), "_listed", F.lit(""))
+    return out.withColumns({"has_data": F.coalesce("d", F.lit(False)), "village_name": name}).drop("d", "_listed")
 
 
 def nearby(places: DataFrame, lat: float, lng: float, km: float = 5.0, id_: str = "lgd_code") -> DataFrame:
@@ -148,14 +142,27 @@ def nearby(places: DataFrame, lat: float, lng: float, km: float = 5.0, id_: str
     return box.withColumn("km", geo.haversine_km(F.lit(lat), F.lit(lng), *at)).where(F.col("km") <= km).orderBy("km", id_)
 
 
-def nearby_batch(points: DataFrame, places: DataFrame, km: float, max_lat: float = 60.0) -> DataFrame:
-    """All pairs within ``km``, by an equi-join on grid cells: each point is dealt to the cells its radius spans (latitudes up to ``max_lat``)."""
+def nearby_batch(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
+    """All pairs within ``km``, anywhere on the globe, by an equi-join on grid cells.
+
+    Latitude is cut into bands as high as the radius. Each band is cut into as many cells as the longest reach in longitude of a pair
+    that touches it allows, around the whole circle, so cells also meet across 180 degrees and a band at a pole is one cell. A place
+    lies in one cell; a point asks the three nearest cells of its own band and of both bands beside it."""
+    half = math.sin(km / geo.EARTH_KM / 2)
     dlat = math.degrees(km / geo.EARTH_KM) * 1.0001
-    dlng = math.degrees(math.asin(min(1.0, math.sin(km / geo.EARTH_KM) / math.cos(math.radians(max_lat))))) * 1.0001
-    cell = lambda c, size: F.floor(F.col(c) / size)
-    around = lambda c: F.array(*[F.col(c) + i for i in (-1, 0, 1)])
-    left = points.withColumns({"cx": cell("lng", dlng), "cy": cell("lat", dlat)}).withColumn("cx", F.explode(around("cx"))).withColumn("cy", F.explode(around("cy")))
-    right = places.withColumns({"cx": cell("centroid_lng", dlng), "cy": cell("centroid_lat", dlat)})
+
+    def cells(band: Column) -> Column:
+        edge = F.least(F.lit(90.0), F.greatest(F.abs(band * dlat), F.abs((band + 1) * dlat)) + dlat)
+        reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(half) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))))) * 1.0001
+        return F.greatest(F.lit(1.0), F.floor(360 / reach)).cast("long")
+
+    at = lambda lng, band: F.pmod(F.floor((F.col(lng) + 180) / 360 * cells(band)).cast("long"), cells(band))
+    band = F.floor(F.col("lat") / dlat)
+    left = points.withColumn("cy", F.explode(F.array(band - 1, band, band + 1)))
+    near = F.array_distinct(F.array(*[F.pmod(at("lng", F.col("cy")) + i, cells(F.col("cy"))) for i in (-1, 0, 1)]))
+    left = left.withColumn("cx", F.explode(near))
+    right = places.where(geo.valid_coordinate(F.col("centroid_lat"), F.col("centroid_lng"))).withColumn("cy", F.floor(F.col("centroid_lat") / dlat))
+    right = right.withColumn("cx", at("centroid_lng", F.col("cy")))
     both = left.join(right, ["cx", "cy"]).withColumn("km", geo.haversine_km(F.col("lat"), F.col("lng"), F.col("centroid_lat"), F.col("centroid_lng")))
     return both.where(F.col("km") <= km).drop("cx", "cy")
 

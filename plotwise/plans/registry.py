@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import records, search, space
+from ..operators import builds, features, records, search, space
 from ..sources import lake, tables
 
 T = Callable[[str], DataFrame]
@@ -30,6 +30,11 @@ def s(c: str):
     return F.col(c).cast("string")
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """Adds ``place``, where each row stands in a sorted result, so that the order is compared too."""
+    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+
+
 def lat_of(k: str):
     return F.lit(11.5) + (F.col(k) * 7919 % 7000) / F.lit(1000.0)
 
@@ -93,10 +98,10 @@ def hierarchy_filter(t: T) -> DataFrame:
     return lake.scoped(villages(t), dist="2", taluk=str(first), hobli="", vlg=None).select("lgd_code", "village_name")
 
 
-@query("SELECT k::VARCHAR AS code, CASE WHEN k < 20 THEN (SELECT n_name FROM nation WHERE n_nationkey = k) ELSE k::VARCHAR END AS name FROM (SELECT DISTINCT c_nationkey AS k FROM customer)")
+@query("SELECT *, row_number() OVER (ORDER BY name, code::BIGINT) AS place FROM (SELECT k::VARCHAR AS code, CASE WHEN k < 20 THEN (SELECT n_name FROM nation WHERE n_nationkey = k) ELSE k::VARCHAR END AS name FROM (SELECT DISTINCT c_nationkey AS k FROM customer))")
 def list_level(t: T) -> DataFrame:
     listed = t("nation").where("n_nationkey < 20").select(s("n_nationkey").alias("taluk"), F.col("n_name").alias("name"))
-    return search.list_level(villages(t).select("taluk"), listed, ["taluk"], "taluk")
+    return in_order(search.list_level(villages(t).select("taluk"), listed, ["taluk"], "taluk"))
 
 
 @query("""SELECT 'vlg' AS level, n_regionkey::VARCHAR AS dist, n_nationkey::VARCHAR AS taluk, '1' AS hobli, k::VARCHAR AS vlg, 'v' || min(c) AS name FROM
@@ -123,20 +128,20 @@ def survey_index(t: T) -> DataFrame:
     return search.survey_index(surveys(t))
 
 
-@query(f"WITH {SURVEYS} SELECT survey_no, village_name, dist, taluk, hobli, vlg FROM (SELECT DISTINCT ON (survey_no, village_name, dist, taluk, hobli, vlg) * FROM s WHERE left(survey_no, 2) = '30') ORDER BY l_orderkey, village_name, survey_no, dist, taluk, hobli, vlg LIMIT 25")
+@query(f"WITH {SURVEYS} SELECT survey_no, village_name, dist, taluk, hobli, vlg, row_number() OVER (ORDER BY l_orderkey, village_name, survey_no, dist, taluk, hobli, vlg) AS place FROM (SELECT DISTINCT ON (survey_no, village_name, dist, taluk, hobli, vlg) * FROM s WHERE left(survey_no, 2) = '30') ORDER BY l_orderkey, village_name, survey_no, dist, taluk, hobli, vlg LIMIT 25")
 def survey_prefix_search(t: T) -> DataFrame:
-    return search.survey_search(search.survey_index(surveys(t)), " 30/7")
+    return in_order(search.survey_search(search.survey_index(surveys(t)), " 30/7"))
 
 
-@query("SELECT DISTINCT l_orderkey::VARCHAR AS survey_no FROM lineitem WHERE l_suppkey = 7 AND l_orderkey::VARCHAR LIKE '1%'")
+@query("SELECT survey_no, row_number() OVER (ORDER BY survey_no) AS place FROM (SELECT DISTINCT l_orderkey::VARCHAR AS survey_no FROM lineitem WHERE l_suppkey = 7 AND l_orderkey::VARCHAR LIKE '1%')")
 def inset_prefix_search(t: T) -> DataFrame:
-    return search.inset_search(surveys(t).where("village_code = '7'"), "1")
+    return in_order(search.inset_search(surveys(t).where("village_code = '7'"), "1"))
 
 
-@query("SELECT c_name AS village_name, r_name AS dist_name, n_name AS taluk_name, r_regionkey::VARCHAR AS dist, n_nationkey::VARCHAR AS taluk, n_nationkey || 'h' AS hobli, c_custkey::VARCHAR AS vlg FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_custkey % 2 = 0) AND substr(lower(c_name), 1, 16) = 'customer#0000001' ORDER BY c_name, c_custkey LIMIT 20")
+@query("SELECT c_name AS village_name, r_name AS dist_name, n_name AS taluk_name, r_regionkey::VARCHAR AS dist, n_nationkey::VARCHAR AS taluk, n_nationkey || 'h' AS hobli, c_custkey::VARCHAR AS vlg, row_number() OVER (ORDER BY c_name, c_custkey) AS place FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_custkey % 2 = 0) AND substr(lower(c_name), 1, 16) = 'customer#0000001' ORDER BY c_name, c_custkey LIMIT 20")
 def village_prefix_search(t: T) -> DataFrame:
     have = villages(t).join(t("orders").where("o_custkey % 2 = 0"), F.col("lgd_code") == F.col("o_custkey"), "left_semi")
-    return search.village_search(names(t), have, " CUSTOMER#0000001")
+    return in_order(search.village_search(names(t), have, " CUSTOMER#0000001"))
 
 
 @query("SELECT p_partkey AS parcel_id, p_brand AS survey_no FROM part WHERE p_brand = 'Brand#11' AND p_size BETWEEN 1 AND 30")
@@ -146,18 +151,50 @@ def parcel_filter(t: T) -> DataFrame:
     return search.same_base(search.parcels_of(parcels, "Brand#11"), "Brand#11").select("parcel_id", "survey_no")
 
 
-@query(f"WITH {CELLS} SELECT a.vlg, count(*)::DOUBLE AS area, (4 * count(*) - 2 * ((SELECT count(*) FROM c p JOIN c q ON p.vlg = q.vlg AND p.y = q.y AND q.x = p.x + 1 WHERE p.vlg = a.vlg) + (SELECT count(*) FROM c p JOIN c q ON p.vlg = q.vlg AND p.x = q.x AND q.y = p.y + 1 WHERE p.vlg = a.vlg)))::BIGINT AS perimeter, true AS exact FROM c a WHERE a.vlg < 5 GROUP BY a.vlg")
-def boundary_village(t: T, whole: bool = False) -> DataFrame:
-    own = cells(t) if whole else cells(t).where("vlg < 5")
+@query(f"WITH {CELLS} SELECT a.vlg, count(*)::DOUBLE AS area, (4 * count(*) - 2 * ((SELECT count(*) FROM c p JOIN c q ON p.vlg = q.vlg AND p.y = q.y AND q.x = p.x + 1 WHERE p.vlg = a.vlg) + (SELECT count(*) FROM c p JOIN c q ON p.vlg = q.vlg AND p.x = q.x AND q.y = p.y + 1 WHERE p.vlg = a.vlg)))::BIGINT AS perimeter, true AS exact FROM c a GROUP BY a.vlg")
+def boundary_village(t: T) -> DataFrame:
+    own = cells(t)
     around = space.outer_segments(own, ["vlg"]).groupBy("vlg").agg(F.count("*").alias("perimeter"))
     return space.dissolve(own, ["vlg"]).select("vlg", F.round(geo.area(F.col("mpoly")), 6).alias("area"), "exact").join(around, "vlg")
 
 
-@query(f"WITH {CELLS} SELECT n_nationkey AS vlg, n_name AS village_name, coalesce(k, 0) > 0 AS has_data, k::DOUBLE AS area FROM nation LEFT JOIN (SELECT vlg, count(*) AS k FROM c WHERE vlg < 15 GROUP BY vlg) ON vlg = n_nationkey")
-def boundary_hobli(t: T, whole: bool = False) -> DataFrame:
+#: Regions are listed as villages too: these have no parcels.
+HOBLI = f"WITH {CELLS}, v AS (SELECT n_nationkey AS vlg, n_name AS village_name, k FROM nation LEFT JOIN (SELECT vlg AS own, count(*) AS k FROM c GROUP BY vlg) ON own = n_nationkey UNION ALL SELECT 100 + r_regionkey, r_name, NULL FROM region)"
+
+
+def hobli(t: T) -> DataFrame:
     listed = t("nation").select(F.col("n_nationkey").alias("vlg"), F.col("n_name").alias("name"))
-    out = space.boundaries(cells(t) if whole else cells(t).where("vlg < 15"), listed, ["vlg"])
-    return out.select("vlg", "village_name", "has_data", F.round(geo.area(F.col("mpoly")), 6).alias("area"))
+    listed = listed.unionByName(t("region").select((F.col("r_regionkey") + 100).alias("vlg"), F.col("r_name").alias("name")))
+    return space.boundaries(cells(t), listed, ["vlg"])
+
+
+@query(f"{HOBLI} SELECT vlg, village_name, k IS NOT NULL AS has_data, k::DOUBLE AS area, row_number() OVER (ORDER BY k IS NULL, vlg) AS place FROM v")
+def boundary_hobli(t: T) -> DataFrame:
+    return in_order(hobli(t).select("vlg", "village_name", "has_data", F.round(geo.area(F.col("mpoly")), 6).alias("area")))
+
+
+@query(f"{HOBLI} SELECT vlg, village_name, vlg::VARCHAR AS code, (k IS NOT NULL)::VARCHAR AS has_data, k IS NOT NULL AS drawn FROM v")
+def boundary_features(t: T) -> DataFrame:
+    got = features.boundary_features(hobli(t))
+    part = lambda k: F.get_json_object("feature", f"$.properties.{k}")
+    return got.select("vlg", part("village_name").alias("village_name"), part("village_code").alias("code"), part("has_data").alias("has_data"), F.coalesce(F.get_json_object("feature", "$.geometry.type").isin("Polygon", "MultiPolygon"), F.lit(False)).alias("drawn"))
+
+
+@query("SELECT c_nationkey AS vlg, count(DISTINCT (c_custkey % 40 + i) * 1000000 + c_custkey // 40 + j)::DOUBLE AS area FROM customer, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) GROUP BY 1")
+def boundary_overlap(t: T) -> DataFrame:
+    """Squares two units wide overlap their neighbours."""
+    k = F.col("c_custkey")
+    own = t("customer").select(F.col("c_nationkey").alias("vlg"), cell((k % 40).cast("double"), F.floor(k / 40).cast("double"), 2.0, 2.0).alias("mpoly"))
+    return space.dissolve(own, ["vlg"]).select("vlg", F.round(geo.area(F.col("mpoly")), 6).alias("area"))
+
+
+SQUARE = """'{"type":"Polygon","coordinates":[[[' || x || ',' || y || '],[' || (x + 1) || ',' || y || '],[' || (x + 1) || ',' || (y + 1) || '],[' || x || ',' || (y + 1) || '],[' || x || ',' || y || ']]]}'"""
+
+
+@query(f"""SELECT vlg, '{{"type":"FeatureCollection","features":[' || string_agg('{{"type":"Feature","geometry":' || {SQUARE} || ',"properties":{{"parcel_id":' || k || ',"vlg":' || vlg || ',"village_name":"' || c_name || '","survey_no":"' || k || '"}}}}', ',' ORDER BY k) || ']}}' AS collection
+FROM (SELECT c_custkey AS k, c_nationkey AS vlg, c_name, (c_custkey % 40)::DOUBLE AS x, (c_custkey // 40)::DOUBLE AS y FROM customer) GROUP BY vlg""")
+def parcel_collections(t: T) -> DataFrame:
+    return features.parcel_collection(cells(t).withColumn("kind", F.lit("Polygon")), ["vlg"], ["pos"])
 
 
 @query(f"SELECT (c_custkey % 400) AS lgd_code, arg_max(c_name, c_custkey) AS village_name, round(max(c_custkey) % 40 + 0.5, 6)::DOUBLE AS centroid_lng, round(max(c_custkey) // 40 + 0.5, 6)::DOUBLE AS centroid_lat FROM customer WHERE c_nationkey = 3 GROUP BY 1")
@@ -193,17 +230,83 @@ def flagged(t: T) -> DataFrame:
     return space.enrich(v.select("lgd_code", "village_name", "centroid_lat", "centroid_lng"), roster, names(t), v.where("lgd_code % 3 = 0"))
 
 
-@query(f"WITH {NEAR} SELECT lgd_code, village_name, taluk::VARCHAR AS taluk, round(km, 4) AS km, has_data FROM near WHERE km <= 50")
+@query(f"WITH {NEAR} SELECT lgd_code, village_name, taluk::VARCHAR AS taluk, round(km, 4) AS km, has_data, row_number() OVER (ORDER BY near.km, lgd_code) AS place FROM near WHERE near.km <= 50")
 def nearby(t: T) -> DataFrame:
-    return space.nearby(flagged(t), 12.9716, 77.5946, 50.0).select("lgd_code", "village_name", "taluk", F.round("km", 4).alias("km"), "has_data")
+    return in_order(space.nearby(flagged(t), 12.9716, 77.5946, 50.0).select("lgd_code", "village_name", "taluk", F.round("km", 4).alias("km"), "has_data"))
+
+
+@query(f"""WITH {NEAR}, f AS (SELECT *, lgd_code AS k, lgd_code % 7 = 0 AS lost, (lgd_code % 40)::DOUBLE AS x, (lgd_code // 40)::DOUBLE AS y FROM near WHERE km <= 50)
+SELECT lgd_code, '{{"type":"Feature","geometry":' || CASE WHEN k % 2 = 0 THEN {SQUARE} ELSE 'null' END || ',"properties":{{"lgd_code":' || k || ',"village_name":"' || CASE WHEN k % 5 = 0 AND lost THEN '' ELSE village_name END || '","has_data":' || (has_data AND NOT lost) || ',"dist":' ||
+ CASE WHEN lost THEN 'null,"taluk":null,"hobli":null,"vlg":null' ELSE '"' || n_regionkey || '","taluk":"' || taluk || '","hobli":"' || taluk || 'h","vlg":"' || k || '"' END || '}}}}' AS feature, row_number() OVER (ORDER BY km, lgd_code) AS place FROM f JOIN nation ON n_nationkey = taluk""")
+def nearby_features(t: T) -> DataFrame:
+    """Every fifth village has no name of its own, every seventh is not on the roster, every second has a stored geometry."""
+    v, k = villages(t), F.col("lgd_code")
+    stored = F.when(k % 2 == 0, geo.geojson(cell((k % 40).cast("double"), F.floor(k / 40).cast("double"))))
+    own = v.select("lgd_code", F.when(k % 5 == 0, " ").otherwise(F.col("village_name")).alias("village_name"), "centroid_lat", "centroid_lng", stored.alias("geom_geojson"))
+    roster = v.where("lgd_code % 7 <> 0").select("lgd_code", "dist", "taluk", "hobli", "vlg", "pos")
+    near = space.nearby(space.enrich(own, roster, names(t), v.where("lgd_code % 3 = 0")), 12.9716, 77.5946, 50.0)
+    return in_order(features.place_features(near).select("lgd_code", "feature"))
+
+
+@query("SELECT count(*) AS rows, (count(*) FILTER (c_custkey % 7 <> 0))::BIGINT AS mapped, (count(*) FILTER (c_custkey % 7 <> 0 AND c_custkey % 3 = 0))::BIGINT AS with_data FROM customer")
+def load_counts(t: T) -> DataFrame:
+    v = villages(t)
+    roster = v.where("lgd_code % 7 <> 0").select("lgd_code", "dist", "taluk", "hobli", "vlg", "pos")
+    return builds.load_counts(space.enrich(v.select("lgd_code", "village_name"), roster, names(t), v.where("lgd_code % 3 = 0")))
+
 
+GROUPS = "CASE WHEN l_linenumber >= 6 THEN 'n' || l_linenumber ELSE 's' || l_suppkey END"
 
-@query(f"WITH p AS (SELECT s_suppkey AS id, {LAT.format(k='s_suppkey * 13')} AS la, {LNG.format(k='s_suppkey * 13')} AS ln FROM supplier WHERE s_suppkey <= 100), q AS (SELECT c_custkey AS lgd_code, {LAT.format(k='c_custkey')} AS lb, {LNG.format(k='c_custkey')} AS lm FROM customer) SELECT id AS point_id, lgd_code, round({KM.format(a='la', b='lb', c='ln', d='lm')}, 4) AS km FROM p, q WHERE {KM.format(a='la', b='lb', c='ln', d='lm')} <= 20")
-def nearby_batch(t: T, whole: bool = False) -> DataFrame:
-    points = (t("supplier") if whole else t("supplier").where("s_suppkey <= 100")).withColumn("k", F.col("s_suppkey") * 13).select(F.col("s_suppkey").alias("point_id"), lat_of("k").alias("lat"), lng_of("k").alias("lng"))
+
+@query(f"SELECT {GROUPS} AS part, count(*) AS n, count(*) <= 500 AS tooltips, count(*) <= 1500 AS labels, count(*) || ' parcel(s) loaded' || CASE WHEN count(*) > 500 THEN ' (hover tooltips hidden above 500)' ELSE '' END AS status FROM lineitem GROUP BY 1")
+def feature_counts(t: T) -> DataFrame:
+    part = F.when(F.col("l_linenumber") >= 6, F.concat(F.lit("n"), s("l_linenumber"))).otherwise(F.concat(F.lit("s"), s("l_suppkey")))
+    return features.counted(t("lineitem").select(part.alias("part")), ["part"])
+
+
+@query("SELECT l_orderkey || '/' || min(l_linenumber) || '/*' AS survey_no FROM lineitem WHERE l_orderkey = 7 GROUP BY l_orderkey")
+def first_of_base(t: T) -> DataFrame:
+    return search.first_of_base(surveys(t).withColumn("pos", F.split_part("survey_no", F.lit("/"), F.lit(2)).cast("int")), "7/9", ["pos"]).select("survey_no")
+
+
+@query(f"WITH {SURVEYS} SELECT DISTINCT survey_no, dist, taluk, hobli, vlg FROM s WHERE left(survey_no, 2) = '30' AND l_orderkey % 2 = 0 AND taluk = '1'")
+def loaded_results(t: T) -> DataFrame:
+    odd = F.split_part("survey_no", F.lit("/"), F.lit(1)).cast("long") % 2 == 0
+    found, loaded = surveys(t).where(F.col("survey_no").startswith("30")), surveys(t).where(odd).select("survey_no")
+    return search.in_loaded(found, loaded, dist="1", taluk="1", hobli="").select("survey_no", *search.HIERARCHY)
+
+
+@query("SELECT path, row_number() OVER (ORDER BY path, k) AS place FROM (SELECT c_custkey AS k, 'dist_1/taluk_' || c_nationkey || '/hobli_1/vlg_' || c_custkey % 50 || '.parquet' AS path FROM customer)")
+def path_order(t: T) -> DataFrame:
+    path = F.format_string("dist_1/taluk_%d/hobli_1/vlg_%d.parquet", "c_nationkey", F.col("c_custkey") % 50)
+    return in_order(lake.in_path_order(t("customer").select(path.alias("path"), F.col("c_custkey").alias("pos")))).select("path", "place")
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%-d %b %Y') AS day, strftime(o_orderdate, '%Y-%m-01 00:00:00') AS month_start, printf('%.2f', o_totalprice / 7) AS price FROM orders")
+def texts(t: T) -> DataFrame:
+    month = F.date_format(text.month_start(F.col("o_orderdate")), "yyyy-MM-dd HH:mm:ss")
+    return t("orders").select(F.col("o_orderkey").alias("id"), text.day_text(F.col("o_orderdate")).alias("day"), month.alias("month_start"), text.fixed(F.col("o_totalprice") / 7, 2).alias("price"))
+
+
+@query(f"WITH p AS (SELECT s_suppkey AS id, {LAT.format(k='s_suppkey * 13')} AS la, {LNG.format(k='s_suppkey * 13')} AS ln FROM supplier), q AS (SELECT c_custkey AS lgd_code, {LAT.format(k='c_custkey')} AS lb, {LNG.format(k='c_custkey')} AS lm FROM customer) SELECT id AS point_id, lgd_code, round({KM.format(a='la', b='lb', c='ln', d='lm')}, 4) AS km FROM p, q WHERE {KM.format(a='la', b='lb', c='ln', d='lm')} <= 20")
+def nearby_batch(t: T) -> DataFrame:
+    points = t("supplier").withColumn("k", F.col("s_suppkey") * 13).select(F.col("s_suppkey").alias("point_id"), lat_of("k").alias("lat"), lng_of("k").alias("lng"))
     return space.nearby_batch(points, villages(t).select("lgd_code", "centroid_lat", "centroid_lng"), 20.0).select("point_id", "lgd_code", F.round("km", 4).alias("km"))
 
 
+GLOBE = "(({k} * {a} % 18001) / 100.0::DOUBLE - 90)", "(({k} * {b} % 36001) / 100.0::DOUBLE - 180)"
+
+
+@query(f"WITH p AS (SELECT s_suppkey AS id, {GLOBE[0].format(k='s_suppkey', a=7919)} AS la, {GLOBE[1].format(k='s_suppkey', b=104729)} AS ln FROM supplier), q AS (SELECT c_custkey AS lgd_code, {GLOBE[0].format(k='c_custkey', a=6271)} AS lb, {GLOBE[1].format(k='c_custkey', b=15485)} AS lm FROM customer) SELECT id AS point_id, lgd_code, round({KM.format(a='la', b='lb', c='ln', d='lm')}, 4) AS km FROM p, q WHERE {KM.format(a='la', b='lb', c='ln', d='lm')} <= 400")
+def nearby_globe(t: T) -> DataFrame:
+    """Places all over the globe, poles and 180 degrees included."""
+    lat = lambda k, a: (F.col(k) * a % 18001) / F.lit(100.0) - 90
+    lng = lambda k, b: (F.col(k) * b % 36001) / F.lit(100.0) - 180
+    points = t("supplier").select(F.col("s_suppkey").alias("point_id"), lat("s_suppkey", 7919).alias("lat"), lng("s_suppkey", 104729).alias("lng"))
+    places = t("customer").select(F.col("c_custkey").alias("lgd_code"), lat("c_custkey", 6271).alias("centroid_lat"), lng("c_custkey", 15485).alias("centroid_lng"))
+    return space.nearby_batch(points, places, 400.0).select("point_id", "lgd_code", F.round("km", 4).alias("km"))
+
+
 @query(f"WITH {NEAR} SELECT lgd_code FROM near WHERE km <= 50 AND lgd_code <> (SELECT arg_min(lgd_code, km) FROM near)")
 def nearby_exclude(t: T) -> DataFrame:
     near = space.nearby(flagged(t), 12.9716, 77.5946, 50.0)
@@ -217,15 +320,15 @@ def nearest_with_data(t: T) -> DataFrame:
     return space.nearest_with_data(space.nearby(flagged(t), 12.9716, 77.5946, 50.0)).select("lgd_code")
 
 
-def quads(t: T, whole: bool = False) -> DataFrame:
+def quads(t: T) -> DataFrame:
     """Tilted quadrilaterals that overlap, one per part."""
     k = F.col("p_partkey")
     x, y, w = (k * 37 % 997).cast("double"), (k * 91 % 991).cast("double"), (k % 23 + 5).cast("double")
     ring = F.array(geo.point(x, y), geo.point(x + w, y + 2.0), geo.point(x + w + 1.0, y + w), geo.point(x - 1.0, y + w + 3.0), geo.point(x, y))
-    return (t("part") if whole else t("part").where("p_partkey <= 2000")).select(k.alias("parcel_id"), k.alias("pos"), F.array(F.array(ring)).alias("mpoly"))
+    return t("part").select(k.alias("parcel_id"), k.alias("pos"), F.array(F.array(ring)).alias("mpoly"))
 
 
-QUADS = "q AS (SELECT p_partkey AS id, (p_partkey * 37 % 997)::DOUBLE AS x, (p_partkey * 91 % 991)::DOUBLE AS y, (p_partkey % 23 + 5)::DOUBLE AS w FROM part WHERE p_partkey <= 2000)"
+QUADS = "q AS (SELECT p_partkey AS id, (p_partkey * 37 % 997)::DOUBLE AS x, (p_partkey * 91 % 991)::DOUBLE AS y, (p_partkey % 23 + 5)::DOUBLE AS w FROM part)"
 CORNERS = "v AS (SELECT id, 1 AS n, x AS vx, y AS vy FROM q UNION ALL SELECT id, 2, x + w, y + 2 FROM q UNION ALL SELECT id, 3, x + w + 1, y + w FROM q UNION ALL SELECT id, 4, x - 1, y + w + 3 FROM q)"
 
 
@@ -233,20 +336,20 @@ CORNERS = "v AS (SELECT id, 1 AS n, x AS vx, y AS vy FROM q UNION ALL SELECT id,
 p AS (SELECT s_suppkey AS pid, (s_suppkey * 53 % 997)::DOUBLE + 0.37 AS px, (s_suppkey * 29 % 991)::DOUBLE + 0.41 AS py FROM supplier),
 h AS (SELECT pid, id FROM p, e WHERE ((e.ay > py) != (e."by" > py)) AND px < (e.bx - e.ax) * (py - e.ay) / (e."by" - e.ay) + e.ax GROUP BY pid, id HAVING count(*) % 2 = 1)
 SELECT pid AS point_id, arg_min(h.id, struct_pack(a := (w + 2) * (w + 3), i := h.id)) AS parcel_id FROM h JOIN q ON h.id = q.id GROUP BY pid""")
-def point_in_polygon(t: T, whole: bool = False) -> DataFrame:
+def point_in_polygon(t: T) -> DataFrame:
     k = F.col("s_suppkey")
     points = t("supplier").select(k.alias("point_id"), ((k * 53 % 997).cast("double") + 0.37).alias("x"), ((k * 29 % 991).cast("double") + 0.41).alias("y"))
-    return space.parcels_under(points, quads(t, whole), 16.0)
+    return space.parcels_under(points, quads(t), 16.0)
 
 
 @query(f"WITH {QUADS}, {CORNERS} SELECT id AS parcel_id, min(vx) AS min_x, min(vy) AS min_y, max(vx) AS max_x, max(vy) AS max_y FROM v GROUP BY id")
-def bbox(t: T, whole: bool = False) -> DataFrame:
-    return quads(t, whole).select("parcel_id", geo.bbox(F.col("mpoly")).alias("b")).select("parcel_id", "b.*")
+def bbox(t: T) -> DataFrame:
+    return quads(t).select("parcel_id", geo.bbox(F.col("mpoly")).alias("b")).select("parcel_id", "b.*")
 
 
 @query(f"WITH {QUADS}, {CORNERS} SELECT id AS parcel_id, round((sum(vx) + sum(vx) FILTER (n = 1)) / 5, 6) AS x, round((sum(vy) + sum(vy) FILTER (n = 1)) / 5, 6) AS y FROM v GROUP BY id")
-def vertex_mean(t: T, whole: bool = False) -> DataFrame:
-    m = quads(t, whole).select("parcel_id", geo.vertex_mean(F.col("mpoly")).alias("m"))
+def vertex_mean(t: T) -> DataFrame:
+    m = quads(t).select("parcel_id", geo.vertex_mean(F.col("mpoly")).alias("m"))
     return m.select("parcel_id", F.round("m.x", 6).alias("x"), F.round("m.y", 6).alias("y"))
 
 
@@ -254,8 +357,8 @@ def vertex_mean(t: T, whole: bool = False) -> DataFrame:
 t AS (SELECT id, unnest([2, 3]) AS i, xs, ys FROM r),
 g AS (SELECT id, (xs[1] + xs[i] + xs[i + 1]) / 3 AS cx, (ys[1] + ys[i] + ys[i + 1]) / 3 AS cy, ((xs[i] - xs[1]) * (ys[i + 1] - ys[1]) - (xs[i + 1] - xs[1]) * (ys[i] - ys[1])) / 2 AS a FROM t)
 SELECT id AS parcel_id, round(sum(cx * a) / sum(a), 6) AS x, round(sum(cy * a) / sum(a), 6) AS y, round(sum(a), 6) AS area FROM g GROUP BY id""")
-def centroid(t: T, whole: bool = False) -> DataFrame:
-    m = quads(t, whole).select("parcel_id", geo.centroid(F.col("mpoly")).alias("m"), geo.area(F.col("mpoly")).alias("area"))
+def centroid(t: T) -> DataFrame:
+    m = quads(t).select("parcel_id", geo.centroid(F.col("mpoly")).alias("m"), geo.area(F.col("mpoly")).alias("area"))
     return m.select("parcel_id", F.round("m.x", 6).alias("x"), F.round("m.y", 6).alias("y"), F.round("area", 6).alias("area"))
 
 
@@ -302,9 +405,19 @@ def payload_parse(t: T) -> DataFrame:
 k AS (SELECT ack, arg_min(event_id, rank * 1000000000 + event_id) AS event_id FROM r WHERE ack <> '' GROUP BY ack UNION ALL SELECT ack, event_id FROM r WHERE ack = '')
 SELECT k.ack AS ack_no, k.event_id AS pos, r.event_type AS status, (r.event_id % 9) || '/' || CASE WHEN r.event_id % 2 = 0 THEN '-' ELSE 'x' END || '/-' AS survey_no FROM k JOIN r ON r.event_id = k.event_id""")
 def rtc_owners(t: T) -> DataFrame:
+    return records.owners(cases(t)).select("ack_no", "pos", "status", "survey_no")
+
+
+def cases(t: T) -> DataFrame:
     ack = F.when(F.col("user_id") % 10 == 0, "").otherwise(s("user_id"))
     one = lambda kind, rank: t("events").where(F.col("event_type") == kind).select(ack.alias("Ack_No"), (F.col("event_id") % 9).cast("string").alias("Survey_no"), F.when(F.col("event_id") % 2 == 0, "").otherwise("x").alias("surnoc"), F.lit(None).cast("string").alias("hissano"), F.lit("o").alias("ownername"), F.col("event_type").alias("Case_Status"), F.lit(rank).alias("rank"), F.col("event_id").alias("pos"))
-    return records.owners(one("click", 0).unionByName(one("view", 1))).select("ack_no", "pos", "status", "survey_no")
+    return one("click", 0).unionByName(one("view", 1))
+
+
+@query(f"SELECT * FROM ({_queries['rtc_owners'][1]}) WHERE split_part(survey_no, '/', 1) = '3'")
+def rtc_owners_survey(t: T) -> DataFrame:
+    """Only numbers whose preferred case has the base; 3 is another one than 13."""
+    return records.owners(cases(t), "3/1").select("ack_no", "pos", "status", "survey_no")
 
 
 @query("SELECT c_custkey::VARCHAR AS mr_number, c_mktsegment AS kind, c_name AS survey_numbers FROM customer WHERE contains(c_name, '13')")
@@ -328,9 +441,9 @@ def project_rows(t: T) -> DataFrame:
     return t("orders").select(s("o_orderkey").alias("id"), s("o_custkey").alias("user_id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("location"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
 
 
-@query("SELECT o_orderkey::VARCHAR AS id, CASE o_orderstatus WHEN 'F' THEN 'complete' ELSE 'needs-review' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '' END AS location FROM orders WHERE o_custkey = 7")
+@query("SELECT o_orderkey::VARCHAR AS id, CASE o_orderstatus WHEN 'F' THEN 'complete' ELSE 'needs-review' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '' END AS location, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey::VARCHAR) AS place FROM orders WHERE o_custkey = 7")
 def projects_list(t: T) -> DataFrame:
-    return records.projects(project_rows(t), "7").select("id", "status", "location")
+    return in_order(records.projects(project_rows(t), "7").select("id", "status", "location"))
 
 
 @query("SELECT count(*) AS total, sum((o_orderstatus = 'F')::INT)::BIGINT AS complete, sum((o_orderstatus <> 'F')::INT)::BIGINT AS needs_review, sum((o_orderdate >= TIMESTAMP '1998-03-01')::INT)::BIGINT AS this_month FROM orders")
@@ -364,14 +477,6 @@ def counts(t: T) -> DataFrame:
     return out.withColumn("label", F.when(F.col("n") > 65, "many").when(F.col("n") > 55, "some").otherwise("few"))
 
 
-#: Queries whose SQL takes part of a table, and the words that do so. Each is registered over the whole table too, as NAME_whole.
-PARTIAL = {"boundary_village": " WHERE a.vlg < 5", "boundary_hobli": " WHERE vlg < 15", "nearby_batch": " WHERE s_suppkey <= 100"}
-PARTIAL |= dict.fromkeys(("point_in_polygon", "bbox", "vertex_mean", "centroid"), " WHERE p_partkey <= 2000")
-for _name, _words in PARTIAL.items():
-    _part, _sql = _queries[_name]
-    _queries[f"{_name}_whole"] = (lambda t, f=_part: f(t, whole=True), _sql.replace(_words, ""))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: lambda spark, sf_dir, f=f: f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")) for name, (f, _) in _queries.items()}
 

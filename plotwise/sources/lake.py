@@ -9,6 +9,8 @@ from ..functions import geo, text, wkb
 
 LEVELS = ("dist", "taluk", "hobli", "vlg")
 PARCELS = "survey_no string, village_name string, village_code string, geometry binary"
+#: The identifiers of longitude and latitude, and of zone 43 north.
+WGS84, UTM43N = 4326, 32643
 
 
 def with_hierarchy(df: DataFrame, path: str = "path") -> DataFrame:
@@ -17,13 +19,19 @@ def with_hierarchy(df: DataFrame, path: str = "path") -> DataFrame:
     return out.where(F.expr(" and ".join(f"{k} <> ''" for k in LEVELS)))
 
 
-def scan(spark: SparkSession, root: str, schema: str | None = PARCELS) -> DataFrame:
+def scan(spark: SparkSession, root: str, schema: str | None = PARCELS, placed: bool = False) -> DataFrame:
     """All village files as one lazy scan; corrupt files are skipped. A filter on a code prunes files by their path.
-    ``schema`` None merges whatever columns the files have (by name, missing ones null)."""
+    ``schema`` None merges whatever columns the files have (by name, missing ones null). ``placed`` adds path and pos (the row in the
+    file): ordered by these, rows stand as in the files by name."""
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("pathGlobFilter", "vlg_*.parquet")
     reader = reader.schema(schema) if schema else reader.option("mergeSchema", "true")
-    df = reader.parquet(root)
-    return with_hierarchy(df.withColumn("path", F.col("_metadata.file_path"))).drop("path")
+    df = reader.parquet(root).select("*", F.col("_metadata.file_path").alias("path"), *([F.col("_metadata.row_index").alias("pos")] if placed else []))
+    return with_hierarchy(df) if placed else with_hierarchy(df).drop("path")
+
+
+def in_path_order(df: DataFrame) -> DataFrame:
+    """Rows of a placed scan by file name as text (vlg_10 before vlg_2), then by their place in the file."""
+    return df.orderBy("path", "pos")
 
 
 def scoped(df: DataFrame, **codes: str | None) -> DataFrame:
@@ -34,10 +42,20 @@ def scoped(df: DataFrame, **codes: str | None) -> DataFrame:
     return df
 
 
-def polygons(df: DataFrame) -> DataFrame:
-    """Decodes ``geometry`` and keeps polygons: columns kind and mpoly (longitude, latitude)."""
+def polygons(df: DataFrame, srid: int | None = UTM43N, exchanged: bool = True) -> DataFrame:
+    """Decodes ``geometry`` and keeps polygons: columns kind, srid (always WGS84 after this) and mpoly (longitude, latitude).
+
+    ``srid`` is the input's reference system; an identifier in the geometry goes before it. None tells by the values: what
+    lies within 180 and 90 is taken as degrees, the rest as zone 43N. Other systems raise an error. ``exchanged`` says that grid coordinates have
+    their axes exchanged, as the parcel lake's have; degrees never have."""
     got = df.withColumn("_g", wkb.decoded(F.col("geometry"))).where(F.col("_g.kind").isin("Polygon", "MultiPolygon", "GeometryCollection") & (F.size("_g.parts") > 0))
-    return got.withColumn("kind", F.when(F.size("_g.parts") == 1, "Polygon").otherwise("MultiPolygon")).withColumn("mpoly", geo.to_wgs84(F.col("_g.parts"))).drop("_g", "geometry")
+    box = geo.bbox(F.col("_g.parts"))
+    degrees = (box["min_x"] >= -180) & (box["max_x"] <= 180) & (box["min_y"] >= -90) & (box["max_y"] <= 90)
+    own = F.coalesce(F.col("_g.srid"), F.lit(srid) if srid else F.when(degrees, WGS84).otherwise(UTM43N))
+    utm = geo.to_wgs84(F.col("_g.parts")) if exchanged else geo.map_points(F.col("_g.parts"), lambda p: geo.utm43n_inverse(p["x"], p["y"]))
+    known = F.when(own == WGS84, F.col("_g.parts")).when(own == UTM43N, utm)
+    mpoly = F.coalesce(known, F.raise_error(F.concat(F.lit("no conversion from reference system "), own.cast("string"))).cast(got.schema["_g"].dataType["parts"].dataType))
+    return got.withColumn("kind", F.when(F.size("_g.parts") == 1, "Polygon").otherwise("MultiPolygon")).withColumn("srid", F.lit(WGS84)).withColumn("mpoly", mpoly).drop("_g", "geometry")
 
 
 def list_codes(df: DataFrame, level: str) -> DataFrame:
@@ -51,6 +69,11 @@ def rewrite(df: DataFrame, to: str) -> None:
 
 
 def read_rewritten(spark: SparkSession, path: str) -> DataFrame:
-    """Codes stay text."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return spark.read.parquet(path)
+    """Codes stay text: the session's setting is put back as soon as the table is resolved."""
+    name = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(name, before)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from .lake import polygons
 
 NAMES = "Vlglist array<struct<vlgcode: string, vlgname: string>>"
 LEVELS = ("vlg", "hobli", "taluk", "dist")
@@ -37,18 +38,34 @@ def last_wins(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), pos).alias("_r")).select(*keys, "_r.*")
 
 
+def of_state(raw: DataFrame, state: int | None) -> DataFrame:
+    """The rows of a state; all if the column does not exist or no state is asked for."""
+    return raw.where(F.col("state_lgd") == state) if state is not None and "state_lgd" in raw.columns else raw
+
+
+def village_rows(raw: DataFrame) -> DataFrame:
+    """The columns of ``load_villages`` for every row, with pos and ``ok``: whether it has a code and a valid centroid."""
+    name = text.no_null(F.col("vilname11")) if "vilname11" in raw.columns else F.lit("")
+    code = F.col("vil_lgd").try_cast("bigint") if "vil_lgd" in raw.columns else F.lit(None).cast("bigint")
+    c = geo.centroid(F.col("mpoly"))
+    rows = raw.select(code.alias("lgd_code"), name.alias("village_name"), c["y"].alias("centroid_lat"), c["x"].alias("centroid_lng"), geo.geojson(F.col("mpoly")).alias("geom_geojson"), "pos")
+    return rows.withColumn("ok", F.col("lgd_code").isNotNull() & geo.valid_coordinate(F.col("centroid_lat"), F.col("centroid_lng")))
+
+
 def load_villages(raw: DataFrame, state: int | None = None) -> DataFrame:
     """(lgd_code, village_name, centroid_lat, centroid_lng, geom_geojson) from vil_lgd, vilname11, state_lgd, mpoly, pos.
     The last row of a code wins; rows without a code or a centroid are left out; the state filter holds if the column exists."""
-    if state is not None and "state_lgd" in raw.columns:
-        raw = raw.where(F.col("state_lgd") == state)
-    name = text.no_null(F.col("vilname11")) if "vilname11" in raw.columns else F.lit("")
-    c = geo.centroid(F.col("mpoly"))
-    rows = raw.select(F.col("vil_lgd").try_cast("bigint").alias("lgd_code"), name.alias("village_name"), c["y"].alias("centroid_lat"), c["x"].alias("centroid_lng"), geo.geojson(F.col("mpoly")).alias("geom_geojson"), "pos")
-    rows = rows.where(F.col("lgd_code").isNotNull() & geo.valid_coordinate(F.col("centroid_lat"), F.col("centroid_lng")))
+    rows = village_rows(of_state(raw, state)).where("ok").drop("ok")
     return last_wins(rows, ["lgd_code"], "pos").drop("pos")
 
 
+def read_villages(spark: SparkSession, path: str, srid: int | None = None) -> DataFrame:
+    """The raw columns of ``load_villages`` from a file of villages with geometry as well-known binary, in degrees or in the lake's grid
+    without its exchange of axes; ``pos`` is the order of the rows in the file."""
+    raw = spark.read.parquet(path).withColumn("pos", F.struct("_metadata.file_path", "_metadata.row_index"))
+    return polygons(raw, srid=srid, exchanged=False)
+
+
 def payload_records(raw: DataFrame, schema: str, body: str = "body", status: str = "status") -> DataFrame:
     """Records of captured answers: other columns of ``raw``, pos, and the record's fields.
     Only status 200 with a list under ``data`` counts; the body may be a text of JSON within JSON; 'nodata' and the rest give no rows."""

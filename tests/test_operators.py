@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotwise.functions import geo, text, wkb
-from plotwise.operators import records, search, space
+from plotwise.operators import builds, features, records, search, space
 from plotwise.sources import lake, tables
 
 
@@ -98,6 +98,41 @@ def test_dissolve_flags_overlap(spark):
         assert not space.dissolve(squares(spark, boxes), ["k"]).first().exact
 
 
+@pytest.mark.parametrize(("boxes", "area", "parts", "holes"), [
+    ([(0, 0, 2), (1, 1, 2)], 7, 1, 0),
+    ([(0, 0, 2), (2, 0, 1)], 5, 1, 0),
+    ([(0, 0, 2), (0, 0, 1)], 4, 1, 0),
+    ([(0, 0, 2), (0, 0, 2)], 4, 1, 0),
+    ([(0, 0, 3), (2, 0, 3), (0, 2, 3), (2, 2, 3), (9, 9, 1)], 26, 2, 0),
+    ([(x, y, 1.5) for x in range(0, 6, 1) for y in range(0, 6, 1) if x in (0, 5) or y in (0, 5)], 6.5 * 6.5 - 3.5 * 3.5, 1, 1),
+])
+def test_dissolve_makes_the_union(spark, boxes, area, parts, holes):
+    got = space.dissolve(squares(spark, boxes), ["k"]).withColumn("area", geo.area(F.col("mpoly"))).collect()
+    assert len(got) == 1 and not got[0].exact and abs(got[0].area - area) < 1e-9
+    assert len(got[0].mpoly) == parts and sum(len(p) - 1 for p in got[0].mpoly) == holes
+
+
+def test_dissolve_tilted_and_bow_tie(spark):
+    """Against areas by a fine grid of points."""
+    import random
+
+    draw, shapes = random.Random(2), []
+    for _ in range(12):
+        x, y = draw.uniform(0, 6), draw.uniform(0, 6)
+        ring = [(x, y), (x + draw.uniform(1, 3), y + draw.uniform(-1, 1)), (x + draw.uniform(1, 3), y + draw.uniform(1.5, 3)), (x + draw.uniform(-1, 0.5), y + draw.uniform(1, 3))]
+        shapes.append(ring)
+    shapes.append([(10, 0), (12, 2), (12, 0), (10, 2)])
+    rows = [("k", [[[{"x": float(a), "y": float(b)} for a, b in [*r, r[0]]]]]) for r in shapes]
+    df = spark.createDataFrame(rows, "k string, mpoly array<array<array<struct<x: double, y: double>>>>")
+    got = space.dissolve(df, ["k"]).withColumn("area", geo.area(F.col("mpoly"))).first()
+    n, step = 0, 0.02
+    for i in range(int(14 / step)):
+        for j in range(int(12 / step)):
+            x, y = -1.5 + (i + 0.503) * step, -1.5 + (j + 0.507) * step
+            n += any(space._inside([*r, r[0]], x, y) for r in shapes)
+    assert not got.exact and abs(got.area - n * step * step) < 0.15
+
+
 def test_point_in_hole_hits_and_smaller_box_wins(spark):
     df = squares(spark, [(0, 0, 4), (1, 1, 2)]).withColumn("parcel_id", F.monotonically_increasing_id()).coalesce(1).withColumn("pos", F.col("parcel_id"))
     df = df.withColumn("parcel_id", F.when(F.size("mpoly") > 0, geo.area(F.col("mpoly"))))
@@ -120,6 +155,12 @@ def test_owners_keep_empty_numbers_and_prefer_first_source(spark):
     assert {r.owner for r in records.owners(df, "3/9").collect()} == {"y", "z"}
 
 
+def test_owners_drop_repeats_before_the_survey(spark):
+    rows = [("a", "9", None, "", "first", "s", 0, 1), ("a", "3", None, "", "second", "s", 1, 1), ("b", "3/1", None, "", "third", "s", 1, 2)]
+    df = spark.createDataFrame(rows, "Ack_No string, Survey_no string, surnoc string, hissano string, ownername string, Case_Status string, rank int, pos int")
+    assert [r.owner for r in records.owners(df, "3").collect()] == ["third"]
+
+
 def test_mutations_substring_and_exact(spark):
     df = spark.createDataFrame([("1", "t", "13, 4", "s", "a"), ("2", "t", "3/1,9", "s", "a"), ("3", "t", None, "s", "a")], "MRNumber string, TypeofTransaction string, SurveyNumbers string, status string, applicant string")
     assert records.mutations(df, "3").count() == 2
@@ -145,3 +186,73 @@ def test_projects(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "p"))
     assert records.projects(rows, "u").first().location == "" and records.project(rows, "u", "2").isEmpty()
     assert records.project_stats(rows, dt.datetime(2024, 1, 1)).first().this_month == 1
+
+
+def test_nearby_batch_at_the_poles_and_across_180(spark):
+    import math
+
+    at = [(80.0, 10.0), (80.0, 10.9), (0.0, 179.95), (0.0, -179.95), (89.99, 0.0), (89.99, 180.0), (-89.9, -90.0), (-89.95, 45.0), (12.0, 77.0), (60.5, 180.0), (60.5, -180.0), (90.0, 5.0)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "point_id int, lat double, lng double")
+    places = spark.createDataFrame([(i, *p) for i, p in enumerate(at)] + [(99, None, 1.0), (98, float("nan"), 1.0)], "lgd_code int, centroid_lat double, centroid_lng double")
+
+    def km(p, q):
+        a, b, c, d = map(math.radians, (*p, *q))
+        return 2 * geo.EARTH_KM * math.asin(math.sqrt(min(1, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    for radius in (0.5, 20.0, 2000.0):
+        got = sorted((r.point_id, r.lgd_code) for r in space.nearby_batch(points, places, radius).collect())
+        assert got == [(i, j) for i, p in enumerate(at) for j, q in enumerate(at) if km(p, q) <= radius]
+
+
+def test_reference_systems(spark):
+    grid = [(781481.0203, 1435426.4069), (781482.0203, 1435426.4069), (781482.0203, 1435427.4069), (781481.0203, 1435426.4069)]
+    degrees = [(77.5946, 12.9716), (77.5947, 12.9716), (77.5947, 12.9717), (77.5946, 12.9716)]
+    marked = struct.pack("<BIi", 1, 3 | 0x20000000, 4326) + ring_wkb(degrees)[5:]
+    rows = [("lake", ring_wkb([(y, x) for x, y in grid])), ("grid", ring_wkb(grid)), ("degrees", ring_wkb(degrees)), ("marked", marked)]
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "k string, geometry binary")
+    read = lambda k, **how: lake.polygons(df.where(F.col("k") == k), **how).first()
+    for got in (read("lake"), read("grid", srid=None, exchanged=False), read("degrees", srid=4326), read("degrees", srid=None), read("marked")):
+        assert got.srid == 4326 and abs(got.mpoly[0][0][0].x - 77.5946) < 1e-6 and abs(got.mpoly[0][0][0].y - 12.9716) < 1e-6
+    with pytest.raises(Exception, match="reference system"):
+        lake.polygons(df, srid=3857).collect()
+
+
+def test_builds_and_their_counters(spark, tmp_path):
+    cols = "survey_no string, village_name string, village_code string, dist string, taluk string, hobli string, vlg string"
+    df = spark.createDataFrame([(f"{n}/1" if n else None, "v", "c", "1", "1", "1", str(n % 3)) for n in range(400)], cols)
+    to = str(tmp_path / "index")
+    assert tuple(builds.build_survey_index(df, to).first()) == (399, 3)
+    assert tuple(builds.build_survey_index(df.limit(0), to).first()) == (399, 3)
+    assert [r.survey_no for r in search.survey_search(spark.read.parquet(to), "39").collect()] == ["39/1", *[f"{n}/1" for n in range(390, 400)]]
+    assert "PushedFilters: [IsNotNull(survey_key), StringStartsWith(survey_key,39)]" in search.survey_search(spark.read.parquet(to), "39")._jdf.queryExecution().toString()
+    assert tuple(builds.build_survey_index(df.where("vlg = '1'"), to + "2", rebuild=True).first()) == (133, 1)
+    raw = squares(spark, [(0, 0, 1), (2, 2, 2), (9, 9, 1), (300, 0, 1)]).withColumn("pos", F.col("mpoly")[0][0][0]["x"]).withColumns({"vil_lgd": F.when(F.col("pos") == 9, "x").otherwise("7"), "vilname11": F.lit("n"), "state_lgd": F.lit(29)})
+    assert tuple(builds.build_villages(raw, str(tmp_path / "lgd"), 29).first()) == (4, 1, 2)
+    assert [(r.lgd_code, r.centroid_lng) for r in spark.read.parquet(str(tmp_path / "lgd")).collect()] == [(7, 3.0)]
+    assert builds.village_counts(raw.drop("vil_lgd"), 29).first().errors == 4
+    raw.select(F.col("vil_lgd").alias("vil_lgd"), "vilname11", F.lit(bytearray(ring_wkb([(0, 0), (1, 0), (1, 1), (0, 0)]))).alias("geometry")).write.parquet(str(tmp_path / "raw"))
+    assert tables.load_villages(tables.read_villages(spark, str(tmp_path / "raw"))).count() == 1
+
+
+def test_collections(spark):
+    none = squares(spark, []).withColumns({"kind": F.lit("Polygon"), "pos": F.lit(1)})
+    assert features.parcel_collection(none, [], ["pos"]).first().collection == '{"type":"FeatureCollection","features":[]}'
+    df = squares(spark, [(0, 0, 1), (5, 0, 1)]).withColumns({"kind": F.lit("Polygon"), "pos": -F.col("mpoly")[0][0][0]["x"], "survey_no": F.lit("7")})
+    got = json.loads(features.parcel_collection(df, ["k"], ["pos"], "7").first().collection)
+    assert [f["geometry"]["coordinates"][0][0][0] for f in got["features"]] == [5.0, 0.0] and got["features"][0]["properties"] == {"k": "k", "survey_no": "7"}
+    assert features.parcel_collection(df, ["k"], ["pos"], "7/1").count() == 0
+
+
+def test_lake_in_path_order(spark, tmp_path):
+    for v in ("2", "10"):
+        p = tmp_path / "dist_1" / "taluk_9" / "hobli_3"
+        p.mkdir(parents=True, exist_ok=True)
+        spark.createDataFrame([(f"{v}a", "A", "9", bytearray(b"x")), (f"{v}b", "A", "9", bytearray(b"x"))], lake.PARCELS).toPandas().to_parquet(p / f"vlg_{v}.parquet")
+    got = lake.in_path_order(lake.scan(spark, str(tmp_path), placed=True)).collect()
+    assert [(r.survey_no, r.pos) for r in got] == [("10a", 0), ("10b", 1), ("2a", 0), ("2b", 1)]
+
+
+def test_first_name_of_the_first_file(spark):
+    df = squares(spark, [(0, 0, 1), (1, 0, 1)]).withColumns({"pos": F.col("mpoly")[0][0][0]["x"], "survey_no": -F.col("mpoly")[0][0][0]["x"], "village_name": F.when(F.col("mpoly")[0][0][0]["x"] == 0, "first").otherwise("second")})
+    listed = spark.createDataFrame([("k", ""), ("none", "N")], "k string, name string")
+    assert [(r.village_name, r.has_data) for r in space.boundaries(df, listed, ["k"]).collect()] == [("first", True), ("N", False)]
