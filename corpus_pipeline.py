@@ -15,22 +15,27 @@ from plotwise.llm.shared import shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant rejects go; null and empty texts are scored as empty ones."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays, the one of least id; documents without words all stay, of repeated rows one."""
     return drop_near_duplicates(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Validated identifiers in the text become pseudonyms; null and empty texts stay as they are."""
     return hide_private(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out by their source's target, in the order of the schedule; those without words stand once, first."""
     return repeat_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 ids; a null or empty text is its end id."""
     return pack(docs)
 
 
