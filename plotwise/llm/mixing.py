@@ -102,7 +102,7 @@ def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK) -> Dat
 
 def mix(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
     """Per document (doc_id, text, source): doc_id, source, size, source_size, target, start, taken (words the mix takes), and
-    first_slot and last_slot (slots of the schedule whose blocks hold its words; null if none is taken)."""
+    first_slot and last_slot (slots of the schedule whose blocks hold its words; -1 if none is taken)."""
     spark = docs.sparkSession
     sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     sizes = cut(sizes.withColumn("key", order_key(F.col("doc_id"))))
@@ -115,8 +115,8 @@ def mix(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
     pieces = span.withColumn("rank", F.explode_outer(blocks))
     taken = F.when(F.col("k").isNotNull(), F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)).otherwise(0)
     keys = ["doc_id", "source", "size", "source_size", "target", "src", "start", "key"]
-    hit = pieces.join(slots, ["src", "rank"], "left").groupBy(*keys).agg(F.sum(taken).cast("long").alias("taken"), F.min("k").alias("first_slot"), F.max("k").alias("last_slot"))
-    empty = F.lit(None).cast("long")
+    hit = pieces.join(slots, ["src", "rank"], "left").groupBy(*keys).agg(F.sum(taken).cast("long").alias("taken"), F.coalesce(F.min("k"), F.lit(-1)).alias("first_slot"), F.coalesce(F.max("k"), F.lit(-1)).alias("last_slot"))
+    empty = F.lit(-1).cast("long")
     none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), empty.alias("first_slot"), empty.alias("last_slot"))
     return hit.unionByName(none).drop("key", "src")
 
@@ -176,6 +176,6 @@ pieces AS (SELECT doc_id, size, source, st, unnest(range(a // 1024, (b - 1) // 1
   (SELECT *, st + r * ss AS a, least(st + r * ss + size, goal) AS b FROM p, (VALUES (0), (1)) v(r) WHERE size > 0) WHERE a < b),
 seen AS (SELECT doc_id, size, pieces.source, st, min(k) AS first_slot, max(k) AS last_slot FROM pieces JOIN slots ON pieces.rank = slots.rank AND pieces.source IS NOT DISTINCT FROM slots.source GROUP BY ALL)
 SELECT p.doc_id, p.size, ss AS source_size, target,
-  (CASE WHEN ss = 0 THEN 0 ELSE p.size * (goal // ss) + greatest(0, least(p.size, goal - ss * (goal // ss) - p.st)) END)::BIGINT AS taken, first_slot, last_slot
+  (CASE WHEN ss = 0 THEN 0 ELSE p.size * (goal // ss) + greatest(0, least(p.size, goal - ss * (goal // ss) - p.st)) END)::BIGINT AS taken, coalesce(first_slot, -1)::BIGINT AS first_slot, coalesce(last_slot, -1)::BIGINT AS last_slot
 FROM p LEFT JOIN seen ON p.doc_id IS NOT DISTINCT FROM seen.doc_id AND p.source IS NOT DISTINCT FROM seen.source AND p.st = seen.st AND p.size = seen.size
 """

@@ -440,10 +440,10 @@ def test_mixing_follows_its_schedule(spark, docs, monkeypatch):
             start, taken, first, last = before[r.doc_id]
             size = len(r.text.split())
             used = [slots[i][b] for a in (start, start + whole) for b in range(a // 64, (min(a + size, goal) - 1) // 64 + 1) if a < goal]
-            assert (first, last) == ((min(used), max(used)) if used else (None, None))
+            assert (first, last) == ((min(used), max(used)) if used else (-1, -1))
     order = [r.doc_id for r in mixing.repeat_documents(docs, block=64).collect() if r.doc_id in before and r.doc_id != 7]
     first = [x for i, x in enumerate(order) if x not in order[:i]]
-    assert len(first) > 3 and first[0] == min((x for x in before if x != 7 and before[x][2] is not None), key=lambda x: before[x][2])
+    assert len(first) > 3 and first[0] == min((x for x in before if x != 7 and before[x][2] >= 0), key=lambda x: before[x][2])
     monkeypatch.setattr(mixing, "STEP", 7)
     assert {k: v[:2] for k, v in rows().items()} == {k: v[:2] for k, v in before.items()} and rows() != before
 
