@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,10 +66,12 @@ def stitch(segments: list[tuple[float, float, float, float]]) -> list[list[list[
                 rings.append(ring)
     rings.sort(key=lambda r: -abs(_signed(r)))
     shells: list[tuple[list, list]] = []
+    low, high = (np.array([f(r, axis=0) for r in rings]).reshape(-1, 2) for f in (np.min, np.max))
     for i, ring in enumerate(rings):
         (ax, ay), (bx, by) = ring[0], ring[1]
         mid = ((ax + bx) / 2, (ay + by) / 2)
-        depth = sum(_inside(other, *mid) for other in rings[:i])
+        boxed = np.flatnonzero(((low[:i] <= mid) & (mid <= high[:i])).all(1))
+        depth = sum(_inside(rings[j], *mid) for j in boxed)
         if depth % 2:
             holder = next((s for s in reversed(shells) if _inside(s[0], *mid)), None)
             if holder:
