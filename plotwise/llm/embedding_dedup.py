@@ -1,10 +1,11 @@
 """Near-duplicate vectors: a forest of random-projection trees with spill, compared within leaves, verified and united.
 
 Fit: each tree splits a bounded sample (``SAMPLE`` distinct vectors, by hash) at random directions near the median,
-as deep as the number of vectors asks for (leaves of about ``LEAF`` rows; the sample bounds the depth). A row within
-``SPILL`` quantiles of a split goes down both sides. A split must not part a dense group (rows linked to ``DENSE`` of the node's
+as deep as the number of vectors asks for (leaves of about ``LEAF`` rows; the sample bounds the depth). Leaves that hold more than
+``BLOCK`` rows are split again by a tree fitted on their own rows (about ``LEAF_SAMPLE``), until they are small or can't be split, so
+leaves don't grow with the table. A row within ``SPILL`` quantiles of a split goes down both sides. A split must not part a dense group (rows linked to ``DENSE`` of the node's
 sample): other places and directions are tried, and if all part it the node stays a leaf. Every vector is routed down every tree.
-Leaves are compared whole; a leaf of more than ``BLOCK`` rows is compared block by block, all blocks against all, so no task holds
+Leaves are compared whole; a leaf that stays over ``BLOCK`` rows is compared block by block, all blocks against all, so no task holds
 more than two blocks. A pair counts in the first leaf that holds both, so a task gives one row for each linked vector, not for each pair.
 Cosines are computed in double precision; links below the threshold are never reported. Equal vectors are one node.
 
@@ -16,6 +17,7 @@ their own; component_id is the least vec_id (null if none); an empty table gives
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,7 @@ from .components import components
 from .shared import cut, table
 
 COSINE = 0.95
-TREES, LEAF, SPILL, SAMPLE, BLOCK = 8, 512, 0.05, 20_000, 4096
+TREES, LEAF, SPILL, SAMPLE, BLOCK, LEAF_SAMPLE = 8, 512, 0.05, 20_000, 4096, 2048
 #: A group is dense from this share of a node's sample; a split may part so much of its links; rows of the sample looked at; directions tried.
 DENSE, PARTED, PROBE, TRIES = 0.05, 0.05, 512, 4
 
@@ -126,10 +128,10 @@ def forest(sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, see
     return [grow(sample, depth, draw, counter, cosine=cosine) for _ in range(trees)]
 
 
-def shared_before(earlier: list[bytes]) -> np.ndarray:
+def shared_before(earlier: list[np.ndarray]) -> np.ndarray:
     """Bits per row of the earlier leaves that it shares with another row of the block."""
-    ids = np.frombuffer(b"".join(earlier), "<i4")
-    row = np.repeat(np.arange(len(earlier)), [len(e) // 4 for e in earlier])
+    ids = np.concatenate(earlier).astype("int64")
+    row = np.repeat(np.arange(len(earlier)), [len(e) for e in earlier])
     _, column, count = np.unique(ids, return_inverse=True, return_counts=True)
     column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column] if len(ids) else column
     bits = np.zeros((len(earlier), max(1, int((count > 1).sum()))), bool)
@@ -150,6 +152,54 @@ def contract(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+#: A row in a leaf; ``earlier`` has its leaves of lower numbers.
+PLACED = "leaf bigint, key binary, v binary, m bigint, earlier array<bigint>"
+
+
+def split_again(placed: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """The rows in their final leaves, and per leaf its number of blocks. A leaf over ``BLOCK`` rows gets a tree from its own sample, fitted
+    in a task for each leaf, and its rows meet that tree block by block; leaves that can't be split stay."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        leaf, n = int(pdf["leaf"].iloc[0]), int(pdf["n"].iloc[0])
+        tree = grow(unit(pdf["v"].tolist()), np.ceil(np.log2(n / LEAF)), np.random.default_rng(leaf % (1 << 63)), [0], cosine=cosine)
+        return pd.DataFrame({"leaf": [leaf], "tree": [pickle.dumps(tree) if isinstance(tree, Split) else None]})
+
+    def move(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        moved = rows.iloc[:0].assign(part=0)
+        if len(rows):
+            found = route(pickle.loads(trees["tree"].iloc[0]), unit(rows["v"].tolist()), np.arange(len(rows)))
+            moved = pd.concat([rows.iloc[at].assign(part=part) for part, at in found])
+        return moved[["leaf", "part", "key", "v", "m"]]
+
+    whole, again = None, False
+    while True:
+        sizes = cut(placed.groupBy("leaf").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+        big = sizes.where("blocks > 1")
+        big = big if whole is None else big.join(whole, "leaf", "left_anti")
+        part = (F.lit(float(1 << 30)) * LEAF_SAMPLE / F.col("n")).cast("long")
+        sample = placed.join(big, "leaf").where(F.pmod(F.xxhash64("leaf", "key"), F.lit(1 << 30)) < part).select("leaf", "n", "key", "v")
+        fitted = cut(sample.groupBy("leaf").applyInPandas(fit, "leaf bigint, tree binary"))
+        trees = fitted.where("tree is not null").join(sizes.select("leaf", "blocks"), "leaf")
+        if trees.isEmpty():
+            break
+        again = True
+        stay = fitted.where("tree is null").select("leaf")
+        whole = stay if whole is None else cut(whole.unionByName(stay))
+        rows = placed.select("leaf", "key", "v", "m").join(trees.select("leaf", "blocks"), "leaf")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+        trees = trees.select("leaf", "tree", F.explode(F.expr("sequence(0, blocks - 1)")).alias("own"))
+        moved = rows.groupBy("leaf", "own").cogroup(trees.groupBy("leaf", "own")).applyInPandas(move, "leaf bigint, part int, key binary, v binary, m bigint")
+        moved = moved.withColumn("leaf", F.xxhash64("leaf", "part")).drop("part")
+        rest = placed.join(fitted.where("tree is not null"), "leaf", "left_anti").select("leaf", "key", "v", "m")
+        placed = cut(rest.unionByName(moved))
+    if again:
+        of = placed.groupBy("key").agg(F.collect_list("leaf").alias("leaves"))
+        placed = cut(placed.join(of, "key").select("leaf", "key", "v", "m", F.filter("leaves", lambda x: x < F.col("leaf")).alias("earlier")))
+    return placed, sizes.select("leaf", "blocks")
+
+
 def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per leaf block and row that is linked in it: a (its key), b (the key of its component within the block, if another), others (rows
     behind its linked vectors, each pair counted in the first leaf that holds both). ``nodes``: key, v, m."""
@@ -169,19 +219,16 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
             for b in batches:
                 if b.num_rows:
                     x = unit(b.column("v").to_pylist())
-                    before = [b""] * len(x)
+                    before: list[list[int]] = [[] for _ in range(len(x))]
                     for tree in trees.value:
                         for leaf, rows in route(tree, x, np.arange(len(x))):
                             take = pa.array(rows)
-                            earlier = [before[r] for r in rows]
-                            own = leaf.to_bytes(4, "little")
+                            earlier = pa.array([before[r] for r in rows], pa.list_(pa.int64()))
                             for r in rows:
-                                before[r] += own
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, "int32")), b.column("key").take(take), b.column("v").take(take), b.column("m").take(take), pa.array(earlier, pa.binary())], ["leaf", "key", "v", "m", "earlier"])
+                                before[r].append(leaf)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf)), b.column("key").take(take), b.column("v").take(take), b.column("m").take(take), earlier], ["leaf", "key", "v", "m", "earlier"])
 
-        placed = cut(same.select("key", "v", "m").mapInArrow(leaves, "leaf int, key binary, v binary, m bigint, earlier binary"))
-        sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        sizes = cut(sizes)
+        placed, sizes = split_again(cut(same.select("key", "v", "m").mapInArrow(leaves, PLACED)), cosine)
         dealt = placed.join(sizes, "leaf").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         dealt = dealt.select("leaf", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "v", "m", "earlier")

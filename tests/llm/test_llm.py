@@ -240,6 +240,33 @@ def test_vectors_of_a_dense_group_against_brute_force(spark, monkeypatch):
     assert {got[i].component_id for i in range(1000) if want[i]} == {0}
 
 
+def test_large_leaves_are_split_again(spark, monkeypatch):
+    """A forest far too shallow for its rows: leaves are split until small, but for a dense group; links are still counted once, and found."""
+    for name, value in (("SAMPLE", 400), ("LEAF", 64), ("BLOCK", 150), ("LEAF_SAMPLE", 100)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    seen = []
+    split_again = embedding_dedup.split_again
+
+    def watched(placed, cosine):
+        out = split_again(placed, cosine)
+        seen.append((placed.groupBy("leaf").count().agg(F.max("count")).first()[0], sorted(r["count"] for r in out[0].groupBy("leaf").count().collect())))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "split_again", watched)
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(4000, 32))
+    x[2000:] = x[:2000] + 0.15 * draw.normal(size=(2000, 32))
+    x[:300] = x[0] + 0.1 * draw.normal(size=(300, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in near_vectors(df.repartition(3)).collect()}
+    found = np.array([got[i].n_links for i in range(4000)])
+    before, after = seen[0]
+    assert before > 400 and np.mean([n <= 150 for n in after]) > 0.9
+    assert (found <= want).all() and found[:300].sum() >= 0.95 * want[:300].sum() and found[300:].sum() >= 0.9 * want[300:].sum() > 1000
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}
