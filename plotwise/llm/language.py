@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose raw-content dictionary compresses a text best.
 
 Dictionaries: for each language a bounded sample of whole training texts (about ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS``
-characters, taken by hash of the id; those that fit into ``DICT_BYTES`` together, in that order), normalised like the texts. Prediction: the whole text
+characters, taken by hash of the id, repeated rows once; those that fit into ``DICT_BYTES`` together, in that order), normalised like the texts. Prediction: the whole text
 is normalised (lower case, letters only, one space between words) and encoded with every dictionary; the smallest
 frame wins, ties go to the language with more training rows (then by code point). ``score`` is the winner's share of 2**(-bits); ``rejected``
 marks narrow margins (under ``MARGIN`` of the smallest frame's bytes).
@@ -42,11 +42,11 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DIC
         return {}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 2.0 * sample_docs / n))]), F.col("lang"))
-    rows = train.where((draw < share) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "doc_id", "text", draw.alias("at")).collect()
+    rows = train.where((draw < share) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "doc_id", "text", draw.alias("at")).distinct().collect()
     out = {}
     for lang in sorted(counts, key=lambda k: (-counts[k], k)):
         taken, size = [], 0
-        for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.at, r.doc_id))[:sample_docs]:
+        for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.at, r.doc_id, r.text))[:sample_docs]:
             text = normalised(r.text)
             if text and size + len(text) < dict_bytes:
                 taken.append(text)

@@ -280,6 +280,14 @@ def test_language_edges(spark, docs):
     assert language.learn(docs.limit(0)) == {}
 
 
+def test_language_repeated_rows_teach_once(spark):
+    rows = [(i, "en", f"the words of document {i} are few") for i in range(40)] + [(1, "en", "a hot row")] * 100 + [(i, "fr", f"les mots du document {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language.learn(docs)
+    assert list(got) == ["en", "fr"] and got["en"].count(b"a hot row") <= 1
+    assert got == language.learn(docs.union(docs))
+
+
 def test_secrets_base_and_structure():
     token = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256"}, {"sub": "1"})) + ".c2ln"
     body = bytes([2, 1, 0, 2, 33]) + bytes(33)
