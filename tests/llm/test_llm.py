@@ -39,7 +39,7 @@ def docs(spark):
 
 
 def test_all_queries_are_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_mixing_matches_sql(spark):
