@@ -191,6 +191,8 @@ def line_index(docs: DataFrame, text: str = "text", least: int = DOCUMENTS) -> t
 def shared(h: np.ndarray, shards: int, of: Callable[[int], Shard | None], least: int) -> np.ndarray:
     """Which of the hashes ``least`` documents have. They are asked shard by shard."""
     out = np.zeros(len(h), bool)
+    if not len(h):
+        return out
     at = shard_of(h[:, 0], shards)
     order = np.argsort(at, kind="stable")
     names, starts = np.unique(at[order], return_index=True)
@@ -255,6 +257,8 @@ def probe_far(docs: DataFrame, text: str, keep: list[str], index: DataFrame, sha
             for i, t in enumerate(b.column("_text").cast(pa.binary()).to_pylist()):
                 keys = set(keys_of(t))
                 keys.discard(b"")
+                if not keys:
+                    continue
                 h = hashes_of(list(keys))
                 at = shard_of(h[:, 0], shards)
                 order = np.argsort(at, kind="stable")
