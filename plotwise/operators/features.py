@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .search import HIERARCHY, parcels_of
+from .valid import make_valid
 
 #: Up to so many features a client shows hover texts, and permanent labels.
 TOOLTIPS, LABELS = 500, 1500
@@ -27,11 +28,13 @@ def collect(features: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return features.groupBy(*keys).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), text, F.lit("]}")).alias("collection"))
 
 
-def parcel_collection(parcels: DataFrame, keys: list[str], order: list[str], survey: str | None = None) -> DataFrame:
+def parcel_collection(parcels: DataFrame, keys: list[str], order: list[str], survey: str | None = None, repair: list[str] | None = None) -> DataFrame:
     """Parcels of polygon kinds (columns kind, mpoly and attributes), of one survey number if given, as collections in ``order``.
-    Properties are all other columns but those of the order."""
+    Properties are all other columns but those of the order. ``repair`` names a parcel; if given, invalid geometries are made valid."""
     shown = [c for c in parcels.columns if c not in ("kind", "mpoly", *[o for o in order if o not in HIERARCHY])]
     own = parcels_of(parcels, survey)
+    if repair:
+        own = make_valid(own, repair).drop("repaired")
     return collect(own.select(*dict.fromkeys([*keys, *order]), feature_text(geo.geojson(F.col("mpoly")), F.struct(*shown)).alias("feature")), keys, order)
 
 

@@ -18,10 +18,10 @@ def list_level(codes: DataFrame, names: DataFrame, keys: list[str], level: str)
     return out.orderBy("name", F.col("code").cast("bigint"))
 
 
-def survey_index(parcels: DataFrame) -> DataFrame:
-    """survey_no, survey_no_norm (its base), village_name, village_code and codes; rows without a number are left out."""
+def survey_index(parcels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """survey_no, survey_no_norm (its base), village_name, village_code and codes, and columns ``keep``; rows without a number are left out."""
     t = {c: text.no_null(F.col(c)) for c in ("survey_no", "village_name", "village_code")}
-    out = parcels.select(*[v.alias(k) for k, v in t.items()], *HIERARCHY).withColumn("survey_no_norm", text.survey_base(F.col("survey_no")))
+    out = parcels.select(*[v.alias(k) for k, v in t.items()], *HIERARCHY, *keep).withColumn("survey_no_norm", text.survey_base(F.col("survey_no")))
     return out.where("survey_no <> ''").withColumn("survey_key", F.lower("survey_no_norm"))
 
 

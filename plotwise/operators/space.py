@@ -4,107 +4,51 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from . import overlay
+from ..sources.shared import written
+from . import overlay, quadtree, rings
 
 HIERARCHY = ["dist", "taluk", "hobli", "vlg"]
 
 
 def outer_segments(parcels: DataFrame, keys: list[str], snap: int = 9) -> DataFrame:
-    """Segments (keys, ax, ay, bx, by) that only one ring of the group has: shared borders cancel. Partial counts go before the shuffle."""
-    rings = parcels.where(F.col("mpoly").isNotNull()).select(*keys, F.explode(F.flatten("mpoly")).alias("ring"))
+    """Segments (keys, ax, ay, bx, by) that only one ring of the group has, with the polygon on their left: shared borders cancel. Partial
+    counts go before the shuffle."""
+    each = parcels.where(F.col("mpoly").isNotNull()).select(*keys, F.explode("mpoly").alias("poly")).select(*keys, F.posexplode("poly").alias("i", "ring"))
     snapped = F.transform("ring", lambda p: geo.point(F.round(p["x"], snap), F.round(p["y"], snap)))
-    edges = rings.select(*keys, snapped.alias("r")).select(*keys, F.explode(F.arrays_zip(F.slice("r", F.lit(1), F.size("r") - 1).alias("a"), F.slice("r", F.lit(2), F.size("r") - 1).alias("b"))).alias("e"))
-    ordered = edges.select(*keys, F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).where("a <> b")
-    once = ordered.groupBy(*keys, "a", "b").count().where("count = 1")
-    return once.select(*keys, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
-
-
-def _signed(ring: list[tuple[float, float]]) -> float:
-    return sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False)) / 2
-
-
-def _inside(ring: list[tuple[float, float]], x: float, y: float) -> bool:
-    hit = False
-    for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False):
-        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
-            hit = not hit
-    return hit
-
-
-def stitch(segments: list[tuple[float, float, float, float]]) -> list[list[list[dict]]]:
-    """Closed rings out of loose segments, turning as sharply right as can be at corners that two rings share; holes go to the smallest ring around them."""
-    near: dict[tuple[float, float], list[tuple[float, float]]] = {}
-    for ax, ay, bx, by in sorted(segments):
-        near.setdefault((ax, ay), []).append((bx, by))
-        near.setdefault((bx, by), []).append((ax, ay))
-    rings = []
-    for start in sorted(near):
-        while near[start]:
-            ring, here, back = [start], start, None
-            while True:
-                options = near[here]
-                if not options:
-                    break
-                if back is None or len(options) == 1:
-                    step = options[0]
-                else:
-                    heading = math.atan2(back[1] - here[1], back[0] - here[0])
-                    step = min(options, key=lambda p: (math.atan2(p[1] - here[1], p[0] - here[0]) - heading) % (2 * math.pi) or 7)
-                near[here].remove(step)
-                near[step].remove(here)
-                ring.append(step)
-                here, back = step, here
-                if here == start:
-                    break
-            if len(ring) >= 4 and ring[0] == ring[-1]:
-                rings.append(ring)
-    rings.sort(key=lambda r: -abs(_signed(r)))
-    shells: list[tuple[list, list]] = []
-    low, high = (np.array([f(r, axis=0) for r in rings]).reshape(-1, 2) for f in (np.min, np.max))
-    for i, ring in enumerate(rings):
-        (ax, ay), (bx, by) = ring[0], ring[1]
-        mid = ((ax + bx) / 2, (ay + by) / 2)
-        boxed = np.flatnonzero(((low[:i] <= mid) & (mid <= high[:i])).all(1))
-        depth = sum(_inside(rings[j], *mid) for j in boxed)
-        if depth % 2:
-            holder = next((s for s in reversed(shells) if _inside(s[0], *mid)), None)
-            if holder:
-                holder[1].append(ring if _signed(ring) < 0 else ring[::-1])
-                continue
-        shells.append((ring if _signed(ring) > 0 else ring[::-1], []))
-    return [[[{"x": x, "y": y} for x, y in r] for r in (shell, *holes)] for shell, holes in shells]
-
-
-def dissolve(parcels: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, mpoly, exact): the union of each group's polygons.
-
-    Where neighbours share their borders vertex by vertex these cancel, and what is left is the union: ``exact``. Groups whose areas do
-    not add up, or whose remaining borders meet, hold overlaps, unequal borders or polygons that cross themselves; their union is made by an
-    overlay of the edges and ``exact`` is false. Only the border is put together in one task a group (a village)."""
-    types = ", ".join(f"{k} {parcels.schema[k].dataType.simpleString()}" for k in keys)
+    turned = each.select(*keys, snapped.alias("r"), ((geo.signed_area(F.col("ring")) > 0) == (F.col("i") == 0)).alias("left"))
+    edges = turned.select(*keys, "left", F.explode(F.arrays_zip(F.slice("r", F.lit(1), F.size("r") - 1).alias("a"), F.slice("r", F.lit(2), F.size("r") - 1).alias("b"))).alias("e")).where("e.a <> e.b")
+    ordered = edges.select(*keys, F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b"), ((F.col("e.a") < F.col("e.b")) == F.col("left")).alias("up"))
+    once = ordered.groupBy(*keys, "a", "b").agg(F.count("*").alias("_n"), F.max("up").alias("up")).where("_n = 1")
+    one, two = F.when(F.col("up"), F.col("a")).otherwise(F.col("b")), F.when(F.col("up"), F.col("b")).otherwise(F.col("a"))
+    return once.select(*keys, one.alias("p"), two.alias("q")).select(*keys, F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
 
-    def rings(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        segments = list(pdf[["ax", "ay", "bx", "by"]].itertuples(index=False, name=None))
-        return pd.DataFrame([[*key, stitch(segments)]], columns=[*keys, "mpoly"])
 
-    def closed(segments: DataFrame) -> DataFrame:
-        return segments.groupBy(*keys).applyInPandas(rings, f"{types}, mpoly array<array<array<struct<x: double, y: double>>>>")
+def dissolve(parcels: DataFrame, keys: list[str], tile: int = rings.TILE) -> DataFrame:
+    """(keys, mpoly, exact): the union of each group's polygons.
 
-    outer = outer_segments(parcels, keys)
-    sums = parcels.groupBy(*keys).agg(F.sum(geo.area(F.col("mpoly"))).alias("parcel_area"))
-    gap = F.abs(geo.area(F.col("mpoly")) - F.col("parcel_area"))
-    plain = sums.join(closed(outer), keys, "left").join(overlay.meeting(outer, keys).withColumn("meets", F.lit(True)), keys, "left")
-    even = gap <= 1e-6 * F.greatest(F.lit(1e-12), F.col("parcel_area"))
-    plain = plain.withColumn("exact", F.coalesce(even, F.lit(False)) & F.col("meets").isNull())
-    rough = plain.where("not exact").select(*keys)
-    other = closed(overlay.border(parcels.join(rough, keys, "left_semi"), keys)).withColumn("exact", F.lit(False))
-    return plain.where("exact").select(*keys, "mpoly", "exact").unionByName(other)
+    Where neighbours share their borders vertex by vertex these cancel, and what is left is the union: ``exact``. Groups whose rings do not
+    nest as shells and holes do, do not close, or whose remaining borders meet, hold overlaps, unequal borders or polygons that cross
+    themselves; their union is made by an overlay of the edges and ``exact`` is false. Borders are put together in many tasks (``rings``);
+    a group is one row only in the result."""
+    outer = written(outer_segments(parcels, keys))
+    own = written(rings.nested(rings.rings_of(outer, keys, tile), keys))
+    nests = F.when(F.col("area") > 0, F.col("within") == 0).otherwise(F.col("within") == 1)
+    told = own.groupBy(*keys).agg(F.min(nests).alias("nests"), F.sum(F.size("ring") - 1).alias("closed"))
+    given = parcels.groupBy(*keys).agg(F.count("*").alias("parcels")).join(outer.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "left")
+    meets = overlay.meeting(overlay.undirected(outer, keys), keys).withColumn("meets", F.lit(True))
+    judged = given.join(told, keys, "left").join(meets, keys, "left").select(*keys, F.coalesce(F.col("nests") & (F.col("closed") == F.col("_n")) & F.col("meets").isNull(), F.lit(False)).alias("exact"))
+    judged = written(judged)
+    plain = rings.polygons(own.join(judged.where("exact"), keys, "left_semi"), keys).withColumn("exact", F.lit(True))
+    rough = judged.where("not exact")
+    if not rough.limit(1).count():
+        return plain
+    border = written(overlay.border(parcels.join(rough, keys, "left_semi"), keys))
+    other = rings.polygons(rings.nested(rings.rings_of(border, keys, tile), keys), keys)
+    return plain.unionByName(other.withColumn("exact", F.lit(False)))
 
 
 def boundaries(parcels: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,12 +127,10 @@ def nearest_with_data(near: DataFrame, id_: str = "lgd_code") -> DataFrame:
     return near.where(F.col("vlg").isNotNull()).orderBy(F.col("has_data").desc(), "km", id_).limit(1)
 
 
-def parcels_under(points: DataFrame, parcels: DataFrame, cell: float) -> DataFrame:
-    """Per point (point_id, x, y) the parcel whose box is smallest of those that hold it (first by pos on a tie).
-    Both sides meet on grid cells of side ``cell``; a parcel is dealt to all cells of its box."""
-    boxed = parcels.withColumn("box", geo.bbox(F.col("mpoly")))
-    span = lambda a, b: F.expr(f"sequence(cast(floor(box.{a} / {cell}) as bigint), cast(floor(box.{b} / {cell}) as bigint))")
-    dealt = boxed.withColumn("cx", F.explode(span("min_x", "max_x"))).withColumn("cy", F.explode(span("min_y", "max_y")))
-    at = points.withColumns({"cx": F.floor(F.col("x") / cell).cast("long"), "cy": F.floor(F.col("y") / cell).cast("long")})
-    hits = at.join(dealt, ["cx", "cy"]).where(F.col("x").between(F.col("box.min_x"), F.col("box.max_x")) & F.col("y").between(F.col("box.min_y"), F.col("box.max_y"))).where(geo.contains(F.col("mpoly"), F.col("x"), F.col("y")))
-    return hits.groupBy("point_id").agg(F.min_by("parcel_id", F.struct(geo.box_area(F.col("box")), "pos")).alias("parcel_id"))
+def parcels_under(points: DataFrame, parcels: DataFrame) -> DataFrame:
+    """Per point (point_id, x, y) the parcel whose box is smallest of those that hold it (first by pos on a tie). A parcel holds what the
+    outer ring of any of its parts does, so a point in a hole is a hit. Both sides meet on cells of a quadtree."""
+    parts = parcels.where(F.size("mpoly") > 0).withColumn("_area", geo.box_area(geo.bbox(F.col("mpoly")))).select("parcel_id", "pos", "_area", F.explode("mpoly").alias("part"))
+    cells = written(quadtree.covers(parts.select("parcel_id", "pos", "_area", F.slice("part", 1, 1).alias("rings")), ["parcel_id", "pos", "_area"]))
+    hits = quadtree.held_by(points.select("point_id", "x", "y"), cells, "x", "y")
+    return hits.groupBy("point_id").agg(F.min_by("parcel_id", F.struct("_area", "pos")).alias("parcel_id"))

@@ -5,14 +5,16 @@ Region, nation, customer and order stand for district, taluk, hobli and village;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import builds, features, records, search, space
+from ..operators import builds, features, records, search, space, valid
 from ..sources import lake, tables
+from ..sources.shared import folder, numbered_as_is
 
 T = Callable[[str], DataFrame]
 _queries: dict[str, tuple[Callable[[T], DataFrame], str]] = {}
@@ -32,7 +34,7 @@ def s(c: str):
 
 def in_order(df: DataFrame) -> DataFrame:
     """Adds ``place``, where each row stands in a sorted result, so that the order is compared too."""
-    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+    return numbered_as_is(df, "place")
 
 
 def lat_of(k: str):
@@ -128,6 +130,19 @@ def survey_index(t: T) -> DataFrame:
     return search.survey_index(surveys(t))
 
 
+@query(f"WITH {SURVEYS} SELECT survey_no, village_name, village_code, dist, taluk, hobli, vlg, l_orderkey::VARCHAR AS survey_no_norm, l_orderkey::VARCHAR AS survey_key FROM s")
+def survey_index_resumed(t: T) -> DataFrame:
+    """Line items as files of parcels: a build that stops after two batches of three files, and a second one that takes in the rest."""
+    spark = t("lineitem").sparkSession
+    root = f"{folder(spark)}/{uuid.uuid4().hex}"
+    surveys(t).repartition(9, "vlg").write.parquet(f"{root}/lake")
+    read = lambda paths: search.survey_index(spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("file")), ("file",))
+    listed = lake.files(spark, f"{root}/lake", "*.parquet")
+    builds.build_in_batches(listed, f"{root}/index", read, per_batch=3, batches=2)
+    builds.build_in_batches(listed, f"{root}/index", read, per_batch=3)
+    return builds.read_index(spark, f"{root}/index").drop("file")
+
+
 @query(f"WITH {SURVEYS} SELECT survey_no, village_name, dist, taluk, hobli, vlg, row_number() OVER (ORDER BY l_orderkey, village_name, survey_no, dist, taluk, hobli, vlg) AS place FROM (SELECT DISTINCT ON (survey_no, village_name, dist, taluk, hobli, vlg) * FROM s WHERE left(survey_no, 2) = '30') ORDER BY l_orderkey, village_name, survey_no, dist, taluk, hobli, vlg LIMIT 25")
 def survey_prefix_search(t: T) -> DataFrame:
     return in_order(search.survey_search(search.survey_index(surveys(t)), " 30/7"))
@@ -188,6 +203,22 @@ def boundary_overlap(t: T) -> DataFrame:
     return space.dissolve(own, ["vlg"]).select("vlg", F.round(geo.area(F.col("mpoly")), 6).alias("area"))
 
 
+@query("""SELECT c_custkey AS parcel_id, CASE c_custkey % 6 WHEN 0 THEN 2 WHEN 3 THEN 2 ELSE 1 END::INT AS parts, CASE c_custkey % 6 WHEN 5 THEN 1 ELSE 0 END::INT AS holes,
+CASE c_custkey % 6 WHEN 0 THEN w * w / 2 WHEN 3 THEN w * w + 1 WHEN 5 THEN w * w - 1 ELSE w * w END AS area, c_custkey % 6 <> 4 AND c_custkey % 6 <> 5 AS repaired FROM (SELECT c_custkey, (c_custkey % 9 + 4)::DOUBLE AS w FROM customer)""")
+def parcels_made_valid(t: T) -> DataFrame:
+    """Bow ties, repeated points, spikes, holes outside their shell; plain squares and squares with a hole stay."""
+    k = F.col("c_custkey")
+    x, y, w = (k % 40 * 50).cast("double"), (F.floor(k / 40) * 50).cast("double"), (k % 9 + 4).cast("double")
+    p = lambda dx, dy: geo.point(x + dx, y + dy)
+    o = F.lit(0.0)
+    square = F.array(p(o, o), p(w, o), p(w, w), p(o, w), p(o, o))
+    small_ = lambda d: F.array(*[geo.point(x + d + i, y + 1.0 + j) for i, j in ((0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0), (0.0, 0.0))])
+    rings = [F.array(F.array(p(o, o), p(w, w), p(w, o), p(o, w), p(o, o))), F.array(F.array(p(o, o), p(w, o), p(w, o), p(w, w), p(o, w), p(o, o))), F.array(F.array(p(o, o), p(w, o), p(w + 9.0, o), p(w, o), p(w, w), p(o, w), p(o, o))), F.array(square, small_(w + 3.0)), F.array(square), F.array(square, small_(F.lit(1.0)))]
+    mpoly = F.coalesce(*[F.when(k % 6 == i, F.array(r)) for i, r in enumerate(rings)])
+    made = valid.make_valid(t("customer").select(k.alias("parcel_id"), mpoly.alias("mpoly")), ["parcel_id"])
+    return made.select("parcel_id", F.size("mpoly").alias("parts"), F.aggregate("mpoly", F.lit(0), lambda n, q: n + F.size(q) - 1).alias("holes"), F.round(geo.area(F.col("mpoly")), 6).alias("area"), "repaired")
+
+
 SQUARE = """'{"type":"Polygon","coordinates":[[[' || x || ',' || y || '],[' || (x + 1) || ',' || y || '],[' || (x + 1) || ',' || (y + 1) || '],[' || x || ',' || (y + 1) || '],[' || x || ',' || y || ']]]}'"""
 
 
@@ -339,7 +370,7 @@ SELECT pid AS point_id, arg_min(h.id, struct_pack(a := (w + 2) * (w + 3), i := h
 def point_in_polygon(t: T) -> DataFrame:
     k = F.col("s_suppkey")
     points = t("supplier").select(k.alias("point_id"), ((k * 53 % 997).cast("double") + 0.37).alias("x"), ((k * 29 % 991).cast("double") + 0.41).alias("y"))
-    return space.parcels_under(points, quads(t), 16.0)
+    return space.parcels_under(points, quads(t))
 
 
 @query(f"WITH {QUADS}, {CORNERS} SELECT id AS parcel_id, min(vx) AS min_x, min(vy) AS min_y, max(vx) AS max_x, max(vy) AS max_y FROM v GROUP BY id")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, wkb
 
 LEVELS = ("dist", "taluk", "hobli", "vlg")
+#: The columns without which a file is no village file to the survey index.
+NEEDED = ("survey_no", "village_name", "village_code")
 PARCELS = "survey_no string, village_name string, village_code string, geometry binary"
 #: The identifiers of longitude and latitude, and of zone 43 north.
 WGS84, UTM43N = 4326, 32643
@@ -19,16 +27,56 @@ def with_hierarchy(df: DataFrame, path: str = "path") -> DataFrame:
     return out.where(F.expr(" and ".join(f"{k} <> ''" for k in LEVELS)))
 
 
-def scan(spark: SparkSession, root: str, schema: str | None = PARCELS, placed: bool = False) -> DataFrame:
+def scan(spark: SparkSession, root: str, schema: str | None = PARCELS, placed: bool = False, needed: tuple[str, ...] = ()) -> DataFrame:
     """All village files as one lazy scan; corrupt files are skipped. A filter on a code prunes files by their path.
     ``schema`` None merges whatever columns the files have (by name, missing ones null). ``placed`` adds path and pos (the row in the
-    file): ordered by these, rows stand as in the files by name."""
+    file): ordered by these, rows stand as in the files by name. ``needed`` names columns without which a file is left out: footers are read
+first, in many tasks, and the scan gets the list of the files that have them all."""
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("pathGlobFilter", "vlg_*.parquet")
     reader = reader.schema(schema) if schema else reader.option("mergeSchema", "true")
-    df = reader.parquet(root).select("*", F.col("_metadata.file_path").alias("path"), *([F.col("_metadata.row_index").alias("pos")] if placed else []))
+    paths = [r.path for r in having(files(spark, root), needed).select("path").collect()] if needed else [root]
+    if not paths:
+        return scan(spark, root, schema, placed).where(F.lit(False))
+    df = reader.parquet(*paths).select("*", F.col("_metadata.file_path").alias("path"), *([F.col("_metadata.row_index").alias("pos")] if placed else []))
     return with_hierarchy(df) if placed else with_hierarchy(df).drop("path")
 
 
+def files(spark: SparkSession, root: str, names: str = "vlg_*.parquet") -> DataFrame:
+    """(path, file, length, changed) of all files below ``root`` with such names; contents are not read. ``file`` is the path as
+    ``_metadata.file_path`` of a scan has it."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
+    return found.select("path", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_modification_time").alias("changed"))
+
+
+def having(listed: DataFrame, columns: tuple[str, ...] = NEEDED) -> DataFrame:
+    """Of ``files`` those whose Parquet footer has all ``columns`` and some row. Tasks read footers only; a file that can't be read is left out."""
+    kept, wanted = listed.columns, set(columns)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[footer_has(p, wanted) for p in pdf["path"]]]
+
+    # A footer takes one round trip, whatever its file's size: a few files a task, so that many are asked at once.
+    spread = listed.repartition(max(1, min(listed.sparkSession.sparkContext.defaultParallelism * 4, 4096)))
+    return spread.select(*kept).mapInPandas(read, listed.schema)
+
+
+def footer_has(path: str, wanted: set[str]) -> bool:
+    uri = re.sub("^file:/+", "/", path)
+    store, where = fs.FileSystem.from_uri(path) if uri == path and "://" in path else (fs.LocalFileSystem(), uri)
+    try:
+        footer = pq.read_metadata(where, filesystem=store)
+    except (OSError, ValueError):
+        return False
+    return footer.num_rows > 0 and wanted <= set(footer.schema.to_arrow_schema().names)
+
+
+def read_files(spark: SparkSession, paths: list[str], schema: str = PARCELS) -> DataFrame:
+    """The parcels of these files with ``file`` and the codes of their paths."""
+    df = spark.read.option("ignoreCorruptFiles", "true").schema(schema).parquet(*paths).select("*", F.col("_metadata.file_path").alias("file"))
+    return with_hierarchy(df, "file")
+
+
 def in_path_order(df: DataFrame) -> DataFrame:
     """Rows of a placed scan by file name as text (vlg_10 before vlg_2), then by their place in the file."""
     return df.orderBy("path", "pos")

@@ -137,7 +137,7 @@ def test_point_in_hole_hits_and_smaller_box_wins(spark):
     df = squares(spark, [(0, 0, 4), (1, 1, 2)]).withColumn("parcel_id", F.monotonically_increasing_id()).coalesce(1).withColumn("pos", F.col("parcel_id"))
     df = df.withColumn("parcel_id", F.when(F.size("mpoly") > 0, geo.area(F.col("mpoly"))))
     points = spark.createDataFrame([(1, 1.5, 1.5), (2, 0.5, 0.5), (3, 9.0, 9.0)], "point_id int, x double, y double")
-    assert {r.point_id: r.parcel_id for r in space.parcels_under(points, df, 2.0).collect()} == {1: 4.0, 2: 16.0}
+    assert {r.point_id: r.parcel_id for r in space.parcels_under(points, df).collect()} == {1: 4.0, 2: 16.0}
 
 
 def test_geojson_round_trip(spark):
