@@ -62,6 +62,34 @@ def cells_of(edges: np.ndarray) -> Iterator[tuple[int, int, int, float, float, b
             yield level, cx, cy, px, py, inside, edges[near]
 
 
+def plain_cells(many: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(which, level, cx, cy, anchor x and y, inside, number of edges) as arrays, and all edges, of the cells of polygons that need no split: the
+    four cells of each are looked at together."""
+    sizes = np.array([len(e) for e in many])
+    e, starts = np.concatenate(many), np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(many)), sizes)
+    ends = [np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2]), np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])]
+    low_x, high_x, low_y, high_y = (f.reduceat(v, starts) for f, v in zip((np.minimum, np.maximum) * 2, ends, strict=True))
+    level = np.ceil(np.log2(np.maximum(np.maximum(high_x - low_x, high_y - low_y), 1e-12)))
+    side = 2.0**level
+    cx, cy = np.floor(low_x / side) + np.array([[0], [0], [1], [1]]), np.floor(low_y / side) + np.array([[0], [1], [0], [1]])
+    x, y = cx * side, cy * side
+    px, py = x + ANCHOR[0] * side, y + ANCHOR[1] * side
+    at = lambda v: v[..., owner]
+    near = (ends[0] <= at(x + side)) & (ends[1] >= at(x)) & (ends[2] <= at(y + side)) & (ends[3] >= at(y))
+    ax, ay, bx, by = e.T
+    over = (ay > at(py)) != (by > at(py))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        over &= at(px) < (bx - ax) * (at(py) - ay) / (by - ay) + ax
+    inside = np.add.reduceat(over, starts, axis=1, dtype=np.int64) % 2 == 1
+    touched = np.add.reduceat(near, starts, axis=1, dtype=np.int64)
+    keep = (cx <= np.floor(high_x / side)) & (cy <= np.floor(high_y / side)) & (inside | (touched > 0))
+    which = np.broadcast_to(np.arange(len(many)), keep.shape)
+    levels = np.broadcast_to(level, keep.shape)
+    _, rows = np.nonzero(near & at(keep))
+    return which[keep], levels[keep].astype(np.int32), cx[keep].astype(np.int64), cy[keep].astype(np.int64), px[keep], py[keep], inside[keep], touched[keep], e[rows]
+
+
 def edges_of(rings: pa.ListArray) -> list[np.ndarray]:
     """Per row of rings (lists of lists of points) its edges (n, 4), read from the flat coordinates; rings are closed if they are not."""
     inner = rings.flatten()
@@ -87,25 +115,26 @@ def covers(polygons: DataFrame, keep: list[str], rings: str = "rings") -> DataFr
     """The columns ``keep`` and a row for each cell (columns of ``CELL``) of each row's rings, inside by the even-odd rule over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.struct([(k, pa.float64()) for k in ("ax", "ay", "bx", "by")])
+        kind = pa.struct([(k, pa.float64()) for k in ("ax", "ay", "bx", "by")])
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                owner, rows, sizes, near = [], [], [], []
-                for i, edges in enumerate(edges_of(b.column(rings))):
-                    for level, cx, cy, px, py, inside, e in cells_of(edges):
-                        owner.append(i)
-                        rows.append((level, cx, cy, px, py, inside))
-                        sizes.append(len(e))
-                        near.append(e)
-                if not rows:
-                    continue
-                level, cx, cy, px, py, inside = zip(*rows, strict=True)
-                flat = np.concatenate(near)
-                items = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(4)], fields=list(schema))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), items)
-                took = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(took) for c in keep), pa.array(level, pa.int32()), pa.array(cx, pa.int64()), pa.array(cy, pa.int64()), pa.array(px), pa.array(py), pa.array(inside), lists], [*keep, "level", "cx", "cy", "px", "py", "inside", "edges"])
+                edges = edges_of(b.column(rings))
+                plain = [i for i, e in enumerate(edges) if 0 < len(e) <= EDGES]
+                made = []
+                if plain:
+                    which, *rest = plain_cells([edges[i] for i in plain])
+                    made.append((np.array(plain)[which], *rest))
+                wide = [(i, *c) for i, e in enumerate(edges) if len(e) > EDGES for c in cells_of(e)]
+                if wide:
+                    *columns, near = zip(*wide, strict=True)
+                    made.append((*(np.array(c) for c in columns), np.array([len(e) for e in near]), np.concatenate(near)))
+                for which, level, cx, cy, px, py, inside, sizes, flat in made:
+                    items = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(4)], fields=list(kind))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), items)
+                    took = pa.array(which)
+                    numbers = [pa.array(level.astype(np.int32)), pa.array(cx.astype(np.int64)), pa.array(cy.astype(np.int64)), pa.array(px), pa.array(py), pa.array(inside)]
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(took) for c in keep), *numbers, lists], [*keep, "level", "cx", "cy", "px", "py", "inside", "edges"])
 
     given = polygons.select(*keep, rings)
     return given.mapInArrow(run, StructType([*(given.schema[c] for c in keep), *StructType.fromDDL(CELL)]))
