@@ -19,13 +19,14 @@ text of another component, which joins most of what can be joined. A comparison
 bitmaps of all shingles differ: bits differ only where shingles do, so this bounds the similarity from above without
 error. One bitmap has a bit a shingle, the other a bit for each whole ``UNIT`` of a shingle's weight. A pair ends there only
 if it can reach the similarity under neither weighing; texts too long for the bitmaps fill them and pass. The others are
-verified with exact weights over whole texts. Sketches of ``BITS`` bits a sample spare the bitmaps most of the work: a pair whose
-samples agree as at ``CLOSE`` or less ends there (nine deviations from what 0.8 gives, so no loss is to be expected).
-Equal texts are one node throughout. Classes are the connected components of verified links.
+verified with exact weights over whole texts. Sketches of ``BITS`` bits a sample spare the bitmaps most of the work: a pair ends there
+only if its samples agree as at ``CLOSE`` or less under the TF-IDF weights (nine deviations from what 0.8 gives) and as at ``EQUAL_CLOSE``
+or less under equal ones (seven). Equal texts are one node throughout. Classes are the connected components of verified links.
 
-A link is a weighted Jaccard similarity of at least 0.8 under the TF-IDF weights or under equal weights: near copies that differ
-in rare words only are far under the first and close under the second. The bands draw by TF-IDF weights: a pair at 0.8 under
-these meets in a band with probability 0.9998; one that is a link by equal weights alone, at 0.7, with 0.97.
+One rule holds for sampling, filtering and verifying: a link is a weighted Jaccard similarity of at least 0.8 under the TF-IDF weights or
+under equal weights, for near copies that differ in rare words only are far under the first and close under the second. So
+besides the bands drawn by TF-IDF weights there are ``EQUAL_BANDS`` of ``EQUAL_ROWS`` samples of all shingles alike (one hash a shingle, least
+of its bin). A pair at 0.8 meets in a band of its weighing with probability 0.9998 (TF-IDF) or 0.998 (equal).
 
 Defined results: texts without words (null, empty, blank) are never linked and are classes of their own; repeated
 rows fall into one class; ``class_id`` is the least doc_id of the class (null if it has none); an empty table gives
@@ -58,8 +59,16 @@ SKETCH = BITS * LONGS
 PLAIN, WEIGHED, UNIT, COPIES = 24, 20, 2.0, 6
 #: Parts of a weight in which a text's total is stored.
 PARTS = 1 << 10
-#: Longs a text: bands, sketch, both bitmaps, number of distinct shingles, total weight.
-WIDTH = BANDS + SKETCH + PLAIN + WEIGHED + 2
+#: Bands and rows of the samples under equal weights; longs of their sketch, and how little they may agree.
+EQUAL_BANDS, EQUAL_ROWS, EQUAL_CLOSE = 16, 5, 0.45
+BINS = EQUAL_BANDS * EQUAL_ROWS
+EQUAL_LONGS = -(-BINS // 64)
+EQUAL_SKETCH = BITS * EQUAL_LONGS
+#: Where in a text's longs the bands end, and its sketches.
+ALL = BANDS + EQUAL_BANDS
+REST = ALL + SKETCH + EQUAL_SKETCH
+#: Longs a text: bands, sketches, both bitmaps, number of distinct shingles, total weight.
+WIDTH = REST + PLAIN + WEIGHED + 2
 #: Comparisons between two merges: this many, or this many a text if that is more.
 WORK, WORK_PER_TEXT, SLOTS = 20_000_000, 200, 1 << 15
 LEVELS_PER_OCTAVE = 4
@@ -165,7 +174,7 @@ class Sampler:
         return (np.array([self.tables[x] for x in known.tolist()], np.int64) << 16)[where]
 
     def bands(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, counts: np.ndarray | int = 1) -> np.ndarray:
-        """Per text ``WIDTH`` longs: the band hashes, the sketch (``BITS`` planes of one bit for each sample), then ``bitmaps``."""
+        """Per text ``WIDTH`` longs: the band hashes under both weighings, their sketches (``BITS`` planes of one bit for each sample), then ``bitmaps``."""
         offsets = self.rows_of(np.rint(np.log2(weights) * LEVELS_PER_OCTAVE).astype(np.int64))
         flat, low = self.scores.ravel(), hashes & U64(0xFFFFFFFF)
         out = np.zeros((WIDTH, len(starts)), U64)
@@ -177,11 +186,36 @@ class Sampler:
             band[:] = mixed(band * U64(0x9E3779B97F4A7C15) + sample)
             code = mixed(sample)
             for bit in range(BITS):
-                out[BANDS + bit * LONGS + k // 64] |= (code >> U64(bit) & U64(1)) << U64(k % 64)
-        out[BANDS + SKETCH :] = bitmaps(hashes, weights, starts, counts).T
+                out[ALL + bit * LONGS + k // 64] |= (code >> U64(bit) & U64(1)) << U64(k % 64)
+        for k, sample in enumerate(equal_samples(hashes, starts).T):
+            band = out[BANDS + k // EQUAL_ROWS]
+            band[:] = mixed(band * U64(0x9E3779B97F4A7C15) + sample)
+            code = mixed(sample)
+            for bit in range(BITS):
+                out[ALL + SKETCH + bit * EQUAL_LONGS + k // 64] |= (code >> U64(bit) & U64(1)) << U64(k % 64)
+        out[REST:] = bitmaps(hashes, weights, starts, counts).T
         return out.T.view(np.int64)
 
 
+def equal_samples(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per text ``BINS`` samples of its shingles, all of the same weight: each shingle falls into one bin, whose least is its sample. An empty
+    bin takes that of another one, by a sequence of draws that is the same for all texts."""
+    draw, none = mixed(hashes * U64(BASE) + U64(1)), U64(0xFFFFFFFFFFFFFFFF)
+    owner = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(hashes)))
+    out = np.full((len(starts), BINS), none, U64)
+    np.minimum.at(out, (owner, ((draw >> U64(32)) * U64(BINS) >> U64(32)).astype(np.int64)), mixed(draw) >> U64(1))
+    full, tries = out != none, 1
+    given = out.copy()
+    while not (done := out != none).all():
+        text, bin_ = np.nonzero(~done)
+        # After many draws any bin that has one will do: the next to the right.
+        other = (mixed((bin_ + BINS * tries).astype(U64) * U64(BASE)) >> U64(40)).astype(np.int64) % BINS if tries < 4 * BINS else (bin_ + tries) % BINS
+        has = full[text, other]
+        out[text[has], bin_[has]] = given[text[has], other[has]]
+        tries += 1
+    return out
+
+
 def bitmaps(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, counts: np.ndarray | int = 1) -> np.ndarray:
     """Per text: both bitmaps of its shingles, their number and their total weight in ``PARTS``.
 
@@ -316,10 +350,16 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(buckets.select("band", "value", "major"), ["band", "value"]).select("band", "value", "key", (F.col("component") != F.col("major")).alias("minor"))
 
 
-def differing(x: str, y: str) -> Column:
-    """The number of samples in which the sketches in two columns of band lists differ."""
-    planes = lambda i: [F.col(x)[BANDS + bit * LONGS + i].bitwiseXOR(F.col(y)[BANDS + bit * LONGS + i]) for bit in range(BITS)]
-    return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, planes(i))) for i in range(LONGS)])
+def differing(x: str, y: str, start: int = ALL, longs: int = LONGS) -> Column:
+    """The number of samples in which the sketches in two columns of band lists differ: by weight, or of the sketch that begins at ``start``."""
+    planes = lambda i: [F.col(x)[start + bit * longs + i].bitwiseXOR(F.col(y)[start + bit * longs + i]) for bit in range(BITS)]
+    return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, planes(i))) for i in range(longs)])
+
+
+def close(x: str, y: str, least: float | None = None) -> Column:
+    """Whether the samples under either weighing agree enough: as at ``CLOSE`` and ``EQUAL_CLOSE``, or at ``least`` under both."""
+    by_weight = differing(x, y) <= most_differing(CLOSE if least is None else least)
+    return by_weight | (differing(x, y, ALL + SKETCH, EQUAL_LONGS) <= most_differing(EQUAL_CLOSE if least is None else least, BINS))
 
 
 def within_reach(x: str, y: str, similarity: float) -> Column:
@@ -329,7 +369,7 @@ def within_reach(x: str, y: str, similarity: float) -> Column:
         bits = F.zip_with(F.slice(x, start + 1, longs), F.slice(y, start + 1, longs), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
         return F.aggregate(bits, F.lit(0), lambda n, more: n + more)
 
-    share, at = (1 - similarity) / (1 + similarity) * (1 + 1e-9), BANDS + SKETCH
+    share, at = (1 - similarity) / (1 + similarity) * (1 + 1e-9), REST
     count, total = at + PLAIN + WEIGHED, at + PLAIN + WEIGHED + 1
     room = (F.col(x)[total] + F.col(y)[total] + 2) / PARTS * share
     plain = apart(at, PLAIN) <= (F.col(x)[count] + F.col(y)[count]) * share
@@ -337,12 +377,12 @@ def within_reach(x: str, y: str, similarity: float) -> Column:
     return plain | (totals & (apart(at + PLAIN, WEIGHED) * UNIT <= room))
 
 
-def most_differing(similarity: float) -> int:
+def most_differing(similarity: float, samples: int = BANDS * ROWS) -> int:
     """The samples expected to differ at a similarity."""
-    return int((1 - similarity) * (1 - 2.0**-BITS) * BANDS * ROWS)
+    return int((1 - similarity) * (1 - 2.0**-BITS) * samples)
 
 
-def across(units: DataFrame, found: DataFrame, similarity: float, low: int = 0, high: int = SLOTS, least: float = CLOSE) -> DataFrame:
+def across(units: DataFrame, found: DataFrame, similarity: float, low: int = 0, high: int = SLOTS, least: float | None = None) -> DataFrame:
     """Pairs (x, key) of keys of different components that may reach ``similarity`` and whose first shared bucket is this one.
 
     One of each such pair is a minor member, so minor members are held against their bucket; the largest component is
@@ -353,9 +393,10 @@ def across(units: DataFrame, found: DataFrame, similarity: float, low: int = 0,
     ask = now.where(F.col("minor") & (slot >= low) & (slot < high))
     ask = ask.select("band", "value", F.col("key").alias("x"), F.col("component").alias("cx"), F.col("bands").alias("bx"))
     apart = (F.col("cx") != F.col("component")) & (~F.col("minor") | (F.col("x") < F.col("key")))
-    near = ask.join(now, ["band", "value"]).where(apart & (differing("bx", "bands") <= most_differing(least)))
-    first = F.array_position(F.zip_with(F.slice("bx", 1, BANDS), F.slice("bands", 1, BANDS), lambda p, q: p == q), True)
-    return near.where(first == F.col("band") + 1).where(within_reach("bx", "bands", similarity)).select("x", "key", differing("bx", "bands").alias("differ"))
+    near = ask.join(now, ["band", "value"]).where(apart & close("bx", "bands", least))
+    first = F.array_position(F.zip_with(F.slice("bx", 1, ALL), F.slice("bands", 1, ALL), lambda p, q: p == q), True)
+    differ = F.least(differing("bx", "bands") / (BANDS * ROWS), differing("bx", "bands", ALL + SKETCH, EQUAL_LONGS) / BINS)
+    return near.where(first == F.col("band") + 1).where(within_reach("bx", "bands", similarity)).select("x", "key", differ.alias("differ"))
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
@@ -380,7 +421,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     idf = inverse_frequencies(slim)
     signed = cut(sign(slim, idf))
     texts = cut(signed.groupBy("key").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != null_id, F.col("id"))).alias("least"), F.first("bands").alias("bands")))
-    entries = texts.select("key", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "value"))
+    entries = texts.select("key", F.posexplode(F.slice("bands", 1, ALL)).alias("band", "value"))
     shared = entries.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("key").alias("hub")).where("n > 1")
     shared = cut(shared.select("band", "value", "hub"))
     members = cut(entries.join(shared, ["band", "value"]).select("band", "value", "hub", "key"))
@@ -389,7 +430,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     n_nodes = nodes.count()
     pool = cut(slim.join(small_side(nodes.select("key", "id"), n_nodes, 64), ["id", "key"]).select("key", "text").dropDuplicates(["key"]))
     bands_of = lambda k: nodes.select(F.col("key").alias(k), F.col("bands").alias(f"bands_{k}"))
-    first = pairs.join(bands_of("a"), "a").join(bands_of("b"), "b").where(differing("bands_a", "bands_b") <= most_differing(CLOSE)).where(within_reach("bands_a", "bands_b", similarity)).select("a", "b")
+    first = pairs.join(bands_of("a"), "a").join(bands_of("b"), "b").where(close("bands_a", "bands_b")).where(within_reach("bands_a", "bands_b", similarity)).select("a", "b")
     found = components(verified(first, pool, idf, similarity))
     units = cut(_open(members, found).join(nodes.select("key", "bands"), "key"))
     per_bucket = units.groupBy("band", "value").agg(F.sum(F.col("minor").cast("long")).alias("m"), F.count("*").alias("n"))
