@@ -101,32 +101,41 @@ def forget() -> None:
         e.words, e.before = {}, {}
 
 
-def token_table(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Per document: part, local_start, doc_tokens (end id included), ids as little-endian 16-bit binary."""
+def token_table(docs: DataFrame, path: str, end_id: int = END_ID, place: tuple[str, str] | None = None) -> DataFrame:
+    """Per document: part and first (which come in the stream's order), local_start, doc_tokens (end id included), ids as little-endian
+    16-bit binary. A part is what one task reads; with ``place`` (a file's name and the row in it) it is a stretch of following rows of one file."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        one, at = encoder(path), 0
+        part, first, row = f"{TaskContext.get().partitionId():012d}", 0, -1
         end = np.array([end_id], "<u2").tobytes()
         for b in slices(batches):
             ids = [(one(t) if t else b"") + end for t in b.column("text").to_pylist()]
-            n = np.array([len(x) // 2 for x in ids], "int64")
-            ends = at + np.cumsum(n)
-            parts = pa.array(np.full(len(ids), part, "int32"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), parts, pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "local_start", "doc_tokens", "ids"])
-            at = int(ends[-1]) if len(ends) else at
+            n = [len(x) // 2 for x in ids]
+            names, rows = (b.column(c).to_pylist() for c in place) if place else ([part] * len(n), range(row + 1, row + 1 + len(n)))
+            told = []
+            for size, name, r in zip(n, names, rows, strict=True):
+                if name != part or r != row + 1:
+                    part, first, at = name, r, 0
+                row = r
+                told.append((part, first, at))
+                at += size
+            parts, firsts, starts = zip(*told, strict=True) if told else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(parts, pa.string()), pa.array(firsts, pa.int64()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "part", "first", "local_start", "doc_tokens", "ids"])
         forget()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {id_type}, part int, local_start bigint, doc_tokens bigint, ids binary")
+    return docs.select("doc_id", "text", *(place or ())).mapInArrow(encode, f"doc_id {id_type}, part string, first bigint, local_start bigint, doc_tokens bigint, ids binary")
 
 
-def pack(docs: DataFrame, path: str | None = None, context: int = CONTEXT, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    tokens = cut(token_table(docs, path or vocabulary(), end_id))
-    totals = cut(tokens.groupBy("part").agg(F.max(F.col("local_start") + F.col("doc_tokens")).alias("n")))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = tokens.join(small_side(bases, totals.count(), 32), "part").select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("local_start")).alias("at"))
+def pack(docs: DataFrame, path: str | None = None, context: int = CONTEXT, end_id: int = END_ID, place: tuple[str, str] | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. The stream runs by partition and row; with ``place``
+    (columns of a file's name and the row in it) by these, whatever tasks read the files."""
+    tokens = cut(token_table(docs, path or vocabulary(), end_id, place))
+    totals = cut(tokens.groupBy("part", "first").agg(F.max(F.col("local_start") + F.col("doc_tokens")).alias("n")))
+    before = Window.partitionBy(F.lit(0)).orderBy("part", "first").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = tokens.join(small_side(bases, totals.count(), 256), ["part", "first"]).select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("local_start")).alias("at"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
