@@ -1,7 +1,8 @@
 """Language identification by compression: the language whose raw-content dictionary compresses a text best.
 
-Dictionaries: for each language a bounded sample of whole training texts (about ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS``
-characters, taken by hash of the id, repeated rows once; those that fit into ``DICT_BYTES`` together, in that order), normalised like the texts. Prediction: the whole text
+Dictionaries: for each language a bounded sample of training texts (about ``SAMPLE_DOCS`` pieces of at most ``SAMPLE_CHARS`` characters, taken
+by hash of the id and the piece's number, repeated rows once; those that fit into ``DICT_BYTES`` together, in that order), normalised like
+the texts. A text is one piece, a longer one is cut into as many as it takes, so every text can be learnt from, however long. Prediction: the whole text
 is normalised (lower case, letters only, one space between words) and encoded with every dictionary; the smallest
 frame wins, ties go to the language with more training rows (then by code point). ``score`` is the winner's share of 2**(-bits); ``rejected``
 marks narrow margins (under ``MARGIN`` of the smallest frame's bytes).
@@ -34,19 +35,24 @@ def normalised(text: str | None) -> bytes:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """lang -> dictionary, most training rows first. Counts per language come from all training rows; only the sampled texts reach the
+    """lang -> dictionary, most training rows first. Counts per language come from all training rows; only the sampled pieces reach the
     driver, about ``2 * sample_docs`` of at most ``SAMPLE_CHARS`` characters a language."""
     train = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    last = F.greatest(F.lit(0), F.floor((F.coalesce(F.length("text"), F.lit(0)) - 1) / SAMPLE_CHARS)).cast("int")
+    told = train.groupBy("lang").agg(F.count("*").alias("n"), F.sum(last + 1).alias("pieces")).collect()
+    counts = {r.lang: r.n for r in told}
     if not counts:
         return {}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 2.0 * sample_docs / n))]), F.col("lang"))
-    rows = train.where((draw < share) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "doc_id", "text", draw.alias("at")).distinct().collect()
+    cut_up = train.select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    mark = F.when(F.col("piece") == 0, F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", "piece"))
+    draw = F.pmod(mark, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sorted(told, key=lambda r: r.lang) for x in (r.lang, min(1.0, 2.0 * sample_docs / r.pieces))]), F.col("lang"))
+    taken = cut_up.where(draw < share).select("lang", "doc_id", F.substring("text", F.col("piece") * SAMPLE_CHARS + 1, F.lit(SAMPLE_CHARS)).alias("text"), draw.alias("at"))
+    rows = taken.distinct().collect()
     out = {}
     for lang in sorted(counts, key=lambda k: (-counts[k], k)):
         taken, size = [], 0
-        for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.at, r.doc_id, r.text))[:sample_docs]:
+        for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.at, r.doc_id, r.text or ""))[:sample_docs]:
             text = normalised(r.text)
             if text and size + len(text) < dict_bytes:
                 taken.append(text)
