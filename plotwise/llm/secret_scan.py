@@ -30,8 +30,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: Greedy runs from a fixed start, so asking for the least length in the pattern finds the same matches as dropping short ones.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
+#: A header is base64 of an open brace and a quote or white space, so it begins with ey or ew.
+JWT_HEAD = re.compile(r"(?<![A-Za-z0-9])e[yw][A-Za-z0-9_-]{6,}(?=\.[A-Za-z0-9_-]{2,}\.)")
+LATER_HEAD = re.compile("(?<=[_-])e[yw]")
+JWT_REST = re.compile(r"\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
 B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
+#: Where a structure can begin inside a run: after one of its marks, with the first characters of a sequence of definite length or of the
+#: container's name. A wrapped body begins like that and has lines of one length.
+INNER = re.compile(r"(?<=[+/_-])(?=M[A-I]|b3BlbnNzaC1rZXktdjE)")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?=M[A-I]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{60,76}(?:\r?\n[A-Za-z0-9+/]{60,76})*\r?\n[A-Za-z0-9+/]{1,76}={0,2}(?![A-Za-z0-9+/=])")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----\s+([A-Za-z0-9+/=\s]{16,}?)\s*-----END \1-----")
 ASSIGN_HINT = re.compile(r"[:=]")
@@ -91,6 +98,46 @@ def is_ssh_key(data: bytes) -> bool:
     return data.startswith(b"openssh-key-v1\0")
 
 
+def der_length(head: bytes) -> int:
+    """The bytes that a sequence takes whole, by its header; 0 if it is none."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    return 2 + head[1] if not k and head[1] < 0x80 else 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else 0
+
+
+def within(run: str) -> tuple[int, int, str] | None:
+    """(start, end, kind) of a structure in a run of base64: the whole run, else what begins at an inner mark and is as long as its header says
+    (the container: up to the run's end)."""
+    if kind := structure(decoded(run)):
+        return 0, len(run), kind
+    for at in (0, *(m.end() for m in INNER.finditer(run))):
+        n = der_length(decoded(run[at : at + 8]) or b"")
+        if n:
+            end = at + (-(-n // 3) * 4 if run[at : at + -(-n // 3) * 4].endswith("=") else -(-n * 4 // 3))
+            ends_there = end >= len(run.rstrip("=")) or run[end] in "+/_-="
+            if end <= len(run) and ends_there and structure(decoded(run[at:end])):
+                return at, end, "der"
+        elif at and (kind := structure(decoded(run[at:]))):
+            return at, len(run), kind
+    return None
+
+
+def tokens(text: str) -> list[tuple[int, int, str]]:
+    """Signed tokens; a header is tried wherever one can begin, also after a mark within a word."""
+    out, done = [], 0
+    for m in JWT_HEAD.finditer(text):
+        if m.start() < done:
+            continue
+        for at in (m.start(), *(m.start() + x.start() for x in LATER_HEAD.finditer(m[0]))):
+            rest = JWT_REST.match(text, m.end())
+            if rest and is_jwt(text[at : rest.end()]):
+                out.append((at, rest.end(), "jwt"))
+                done = rest.end()
+                break
+    return out
+
+
 def is_jwt(token: str) -> bool:
     head, body, _ = token.split(".")
     try:
@@ -113,15 +160,18 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if text.count(".") > 1:
-        out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_jwt(m[0])]
+        out += tokens(text)
     for m in B64.finditer(text):
-        if kind := structure(decoded(m[0])):
-            out.append((m.start(), m.end(), kind))
+        if found := within(m[0]):
+            out.append((m.start() + found[0], m.start() + found[1], found[2]))
     for m in HEX_ANY.finditer(text):
         if kind := structure(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), kind))
     if "-----BEGIN" in text:
         out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if structure(decoded("".join(m[2].split())))]
+    for m in WRAPPED.finditer(text):
+        if (kind := structure(decoded("".join(m[0].split())))) and not any(k == "pem" and a <= m.start() < b for a, b, k in out):
+            out.append((m.start(), m.end(), kind))
     return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
