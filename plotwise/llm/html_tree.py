@@ -9,9 +9,10 @@ Contents are counted over distinct pages, so copies of a page do not make its ar
 and outside declared article and main elements are scored alike; inside, the bound is lower (``MAIN_PRIOR``). A host of too few
 pages gives no importance: there all text stays that markup does not declare to be noise.
 
-Class and id words declare noise too, but never html, body, main or article, nor a branch that holds most of the text which
+Class and id words, and the form element, declare noise too, but never html, body, main or article, nor a branch that holds most of the text which
 tags, roles and hidden elements leave: over ``MOST`` of it, or over ``MOST_BESIDE_MAIN`` where an article or main outside the
-branch has text.
+branch has text. Inside article and main a paragraph, list or other element that holds text itself needs a class word of nothing but noise and
+layout; others (share-price, notice-text) are left to the tree.
 
 Blocks: text between block-level tags; character references decoded, white space folded, empty blocks left out.
 
@@ -45,7 +46,7 @@ RAW = frozenset("script style textarea title noscript xmp iframe noembed noframe
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 SCOPED = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select", "p": "div article section body main td li"}
-NOISE_TAGS = frozenset("nav aside footer header form button select textarea input script style noscript template iframe object embed svg canvas dialog menu head title audio video map math".split())
+NOISE_TAGS = frozenset("nav aside footer header button select textarea input script style noscript template iframe object embed svg canvas dialog menu head title audio video map math".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MAIN = frozenset(("article", "main"))
 WHOLE = MAIN | {"html", "body"}
@@ -55,6 +56,9 @@ NOISE_WORDS = re.compile(
 )
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Elements that hold text themselves: inside article and main a class names them only if all its parts are words of noise or of layout.
+LEAF = frozenset("p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table tr td th figure figcaption span b i em strong a".split())
+LAYOUT = frozenset("box bar block list links link item items wrap wrapper inner container section area row col button buttons icons icon group panel message text-muted post posts article articles content by us now on the to".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -76,9 +80,19 @@ class Node:
         self.tag, self.path, self.noise, self.veil, self.main, self.children, self.own = tag, path, noise, veil, main, [], []
 
 
+def all_noise(names: str) -> bool:
+    """Whether one of the class words consists of words of noise and of layout only: share-buttons, but not share-price."""
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[_-]", re.sub(r"\d+", "", name)) if p]
+        if NOISE_WORDS.search(name) and all(p in LAYOUT or NOISE_WORDS.fullmatch(p) for p in parts):
+            return True
+    return False
+
+
 def is_noise(tag: str, attrs: str, parent: Node) -> tuple[bool, bool, str]:
     """Whether the element is declared to be noise by tag, role or being hidden; by class words; its name with class words (digits left out)."""
-    name, inside, worded = tag, parent.main, False
+    # A form may be the whole page's: like class words, its name does not decide where it holds most of the text.
+    name, inside, worded = tag, parent.main, tag == "form"
     noise = tag in NOISE_TAGS and not (inside and tag == "header")
     if attrs and not attrs.isspace():
         for k, a, b, c in ATTRIBUTE.findall(attrs):
@@ -87,7 +101,8 @@ def is_noise(tag: str, attrs: str, parent: Node) -> tuple[bool, bool, str]:
                 if k == "class":
                     name += "." + ".".join(re.sub(r"\d+", "", v).lower().split())
                 words = NOISE_WORDS.findall(v)
-                worded |= tag not in WHOLE and any(not (inside and w.strip(" _-\t\n").lower() in ("header", "masthead", "banner")) for w in words)
+                found = any(not (inside and w.strip(" _-\t\n").lower() in ("header", "masthead", "banner")) for w in words)
+                worded |= tag not in WHOLE and found and not (inside and tag in LEAF and not all_noise(v))
             elif k == "role":
                 noise |= v.strip().lower() in NOISE_ROLES
             elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and HIDDEN.search(v):
