@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plotwise.llm.minhash import drop_near_duplicates
 from plotwise.llm.mixing import repeat_documents
@@ -35,8 +37,15 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 ids; a null or empty text is its end id."""
-    return pack(docs)
+    """Pieces of sequences of 2048 ids, in the order of the mix; a null or empty text is its end id.
+
+    The stage before wrote its parts in the order of its slots, so the order is that of file names and of rows in them; Spark deals files
+    to tasks by size. Documents that come from no file are packed as they come."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_pw_file"), F.col("_metadata.row_index").alias("_pw_row"))
+    except AnalysisException:
+        return pack(docs)
+    return pack(placed, place=("_pw_file", "_pw_row"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("private", private), ("mixing", mixing), ("packing", packing)]
