@@ -90,20 +90,18 @@ def area(mpoly: Column) -> Column:
 
 
 def centroid(mpoly: Column) -> Column:
-    """Area-weighted plane centroid; holes subtract. Null if the area is 0."""
+    """Area-weighted plane centroid; holes subtract. Null if the area is 0. One fold over a ring gives its area and its moments."""
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    sums_of = lambda s, w, x, y: F.struct((s["w"] + w).alias("w"), (s["x"] + x).alias("x"), (s["y"] + y).alias("y"))
 
-    def ring_sums(ring: Column, sign: Column, acc: Column) -> Column:
-        turn = F.signum(signed_area(ring)) * sign
+    def add(s: Column, e: Column) -> Column:
+        k = e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+        return sums_of(s, k / 2, (e["a"]["x"] + e["b"]["x"]) * k / 6, (e["a"]["y"] + e["b"]["y"]) * k / 6)
 
-        def add(s: Column, e: Column) -> Column:
-            k = (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) * turn
-            return F.struct((s["w"] + k / 2).alias("w"), (s["x"] + (e["a"]["x"] + e["b"]["x"]) * k / 6).alias("x"), (s["y"] + (e["a"]["y"] + e["b"]["y"]) * k / 6).alias("y"))
-
-        return F.aggregate(_edges(ring), acc, add)
-
-    rings = F.flatten(F.transform(mpoly, lambda poly: F.transform(poly, lambda ring, i: F.struct(ring.alias("r"), F.when(i == 0, 1.0).otherwise(-1.0).alias("s")))))
-    sums = F.aggregate(rings, zero, lambda acc, r: ring_sums(r["r"], r["s"], acc))
+    moments = F.flatten(F.transform(mpoly, lambda poly: F.transform(poly, lambda ring, i: F.struct(F.aggregate(_edges(ring), zero, add).alias("m"), F.when(i == 0, 1.0).otherwise(-1.0).alias("s")))))
+    # A ring's moments have the sign of its area, so either direction comes out the same.
+    turn = lambda r: F.signum(r["m"]["w"]) * r["s"]
+    sums = F.aggregate(moments, zero, lambda acc, r: sums_of(acc, turn(r) * r["m"]["w"], turn(r) * r["m"]["x"], turn(r) * r["m"]["y"]))
     return F.when(F.abs(sums["w"]) > 0, point(sums["x"] / sums["w"], sums["y"] / sums["w"]))
 
 
@@ -145,6 +143,23 @@ def valid_coordinate(lat: Column, lng: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def morton(lat: Column, lng: Column) -> Column:
+    """A place's number along a Z-curve over the globe, 2**24 steps a side: places near one another mostly have near numbers. Null
+    without a valid coordinate."""
+
+    def spread(c: Column) -> Column:
+        """The bits of a number under 2**24, each followed by an empty one."""
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    def steps(share: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit((1 << 24) - 1), F.floor(share * (1 << 24)))).cast("long")
+
+    z = F.shiftleft(spread(steps((lat + 90) / 180)), 1).bitwiseOR(spread(steps((lng + 180) / 360)))
+    return F.when(valid_coordinate(lat, lng), z)
+
+
 def geojson(mpoly: Column) -> Column:
     """The GeoJSON text of a geometry: Polygon for one part, MultiPolygon for more, null for none."""
     xy = map_points(mpoly, lambda p: F.array(p["x"], p["y"]))

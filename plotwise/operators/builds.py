@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..sources import lake, tables
 from ..sources.shared import delete, numbered, small, written
 from . import search
@@ -119,11 +120,21 @@ def village_counts(raw: DataFrame, state: int | None = None) -> DataFrame:
 
 
 def build_villages(raw: DataFrame, to: str, state: int | None = None) -> DataFrame:
-    """Deletes and rebuilds the village table (last row of a code wins), sorted by centroid; returns ``village_counts``."""
-    tables.write_index(tables.load_villages(raw, state).repartitionByRange("centroid_lat"), to, ["centroid_lat", "centroid_lng"])
+    """Deletes and rebuilds the village table (last row of a code wins), clustered by centroid; returns ``village_counts``."""
+    write_places(tables.load_villages(raw, state), to)
     return village_counts(raw, state)
 
 
+def write_places(places: DataFrame, to: str, row_group: int | None = None) -> None:
+    """Replaces a table of places (centroid_lat, centroid_lng), in ranges and rows along a Z-curve: minima and maxima of a row group are
+    narrow both in latitude and in longitude, so the box of ``nearby`` reads few of them. ``row_group`` is its size in bytes."""
+    placed = places.withColumn("_z", geo.morton(F.col("centroid_lat"), F.col("centroid_lng"))).repartitionByRange("_z").sortWithinPartitions("_z").drop("_z")
+    writer = placed.write.mode("overwrite")
+    if row_group:
+        writer = writer.option("parquet.block.size", row_group).option("parquet.block.size.row.check.min", 100).option("parquet.page.size.row.check.min", 100)
+    writer.parquet(to)
+
+
 def load_counts(villages: DataFrame) -> DataFrame:
     """One row about enriched villages: rows, mapped, with_data."""
     return villages.agg(F.count("*").alias("rows"), F.count_if(F.col("vlg").isNotNull()).alias("mapped"), F.count_if("has_data").alias("with_data"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -35,6 +35,23 @@ def survey_search(index: DataFrame, q: str, limit: int = SURVEY_LIMIT) -> DataFr
     return found.orderBy("number", "village_name", "survey_no", *HIERARCHY).limit(limit).drop("number")
 
 
+def prefix_dictionary(index: DataFrame, limit: int = SURVEY_LIMIT, least: int = 2) -> DataFrame:
+    """(prefix, rank, survey_no, village_name, codes): what ``survey_search`` answers to every prefix of the index, of at least ``least``
+    characters. Of each prefix a task hands on its first ``limit`` rows only, so a short prefix that most rows have is no hot key."""
+    cols = ["survey_no", "village_name", *HIERARCHY]
+    rows = index.groupBy(*cols, "survey_key").agg(F.min(text.leading_int(F.col("survey_no_norm"))).alias("number"))
+    every = rows.where(F.length("survey_key") >= least).select("*", F.explode(F.transform(F.sequence(F.lit(least), F.length("survey_key")), lambda n: F.substring("survey_key", F.lit(1), n))).alias("prefix"))
+    rank = F.row_number().over(Window.partitionBy("prefix").orderBy("number", *cols[1:2], cols[0], *HIERARCHY))
+    return every.withColumn("rank", rank).where(F.col("rank") <= limit).select("prefix", "rank", *cols)
+
+
+def dictionary_search(dictionary: DataFrame, q: str) -> DataFrame:
+    """The answer to a query from a ``prefix_dictionary``, in order: one filter on a bare column."""
+    base = q.split("/")[0].strip().lower()
+    found = dictionary.where(F.col("prefix") == base) if len(base) >= 2 else dictionary.where(F.lit(False))
+    return found.orderBy("rank").drop("prefix", "rank")
+
+
 def village_search(names: DataFrame, with_data: DataFrame, q: str, limit: int = VILLAGE_LIMIT) -> DataFrame:
     """Villages that have data and whose name begins with the query in any case, with district and taluk names.
     ``names`` has level, the four codes, name and pos."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
@@ -89,31 +89,77 @@ def nearby(places: DataFrame, lat: float, lng: float, km: float = 5.0, id_: str
     return box.withColumn("km", geo.haversine_km(F.lit(lat), F.lit(lng), *at)).where(F.col("km") <= km).orderBy("km", id_)
 
 
-def nearby_batch(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
-    """All pairs within ``km``, anywhere on the globe, by an equi-join on grid cells.
+class Grid:
+    """Cells of the globe for a radius: latitude is cut into bands as high as it, each band into as many cells as the longest reach in
+    longitude of a pair that touches it allows, around the whole circle. So cells also meet across 180 degrees, and a band at a pole is
+    one cell. A place lies in one cell; all places within the radius of a point lie in the three nearest cells of its own band and of both bands beside it."""
 
-    Latitude is cut into bands as high as the radius. Each band is cut into as many cells as the longest reach in longitude of a pair
-    that touches it allows, around the whole circle, so cells also meet across 180 degrees and a band at a pole is one cell. A place
-    lies in one cell; a point asks the three nearest cells of its own band and of both bands beside it."""
-    half = math.sin(km / geo.EARTH_KM / 2)
-    dlat = math.degrees(km / geo.EARTH_KM) * 1.0001
+    def __init__(self, km: float):
+        self.half = math.sin(km / geo.EARTH_KM / 2)
+        self.dlat = math.degrees(km / geo.EARTH_KM) * 1.0001
 
-    def cells(band: Column) -> Column:
-        edge = F.least(F.lit(90.0), F.greatest(F.abs(band * dlat), F.abs((band + 1) * dlat)) + dlat)
-        reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(half) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))))) * 1.0001
+    def cells(self, band: Column) -> Column:
+        edge = F.least(F.lit(90.0), F.greatest(F.abs(band * self.dlat), F.abs((band + 1) * self.dlat)) + self.dlat)
+        reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(self.half) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))))) * 1.0001
         return F.greatest(F.lit(1.0), F.floor(360 / reach)).cast("long")
 
-    at = lambda lng, band: F.pmod(F.floor((F.col(lng) + 180) / 360 * cells(band)).cast("long"), cells(band))
-    band = F.floor(F.col("lat") / dlat)
-    left = points.withColumn("cy", F.explode(F.array(band - 1, band, band + 1)))
-    near = F.array_distinct(F.array(*[F.pmod(at("lng", F.col("cy")) + i, cells(F.col("cy"))) for i in (-1, 0, 1)]))
-    left = left.withColumn("cx", F.explode(near))
-    right = places.where(geo.valid_coordinate(F.col("centroid_lat"), F.col("centroid_lng"))).withColumn("cy", F.floor(F.col("centroid_lat") / dlat))
-    right = right.withColumn("cx", at("centroid_lng", F.col("cy")))
-    both = left.join(right, ["cx", "cy"]).withColumn("km", geo.haversine_km(F.col("lat"), F.col("lng"), F.col("centroid_lat"), F.col("centroid_lng")))
+    def at(self, lng: str, band: Column) -> Column:
+        return F.pmod(F.floor((F.col(lng) + 180) / 360 * self.cells(band)).cast("long"), self.cells(band))
+
+    def lying(self, places: DataFrame) -> DataFrame:
+        """Places that have a coordinate, with their cell (cx, cy)."""
+        known = places.where(geo.valid_coordinate(F.col("centroid_lat"), F.col("centroid_lng"))).withColumn("cy", F.floor(F.col("centroid_lat") / self.dlat))
+        return known.withColumn("cx", self.at("centroid_lng", F.col("cy")))
+
+    def asking(self, points: DataFrame) -> DataFrame:
+        """A row for each cell that a point (lat, lng) asks."""
+        band = F.floor(F.col("lat") / self.dlat)
+        left = points.withColumn("cy", F.explode(F.array(band - 1, band, band + 1)))
+        near = F.array_distinct(F.array(*[F.pmod(self.at("lng", F.col("cy")) + i, self.cells(F.col("cy"))) for i in (-1, 0, 1)]))
+        return left.withColumn("cx", F.explode(near))
+
+
+def nearby_batch(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
+    """All pairs within ``km``, anywhere on the globe, by an equi-join on the cells of ``Grid``."""
+    grid = Grid(km)
+    distance = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("centroid_lat"), F.col("centroid_lng"))
+    both = grid.asking(points).join(grid.lying(places), ["cx", "cy"]).withColumn("km", distance)
     return both.where(F.col("km") <= km).drop("cx", "cy")
 
 
+def nearest(points: DataFrame, places: DataFrame, k: int, id_: str = "lgd_code", widen: float = 3.0, crowd: int = 64) -> DataFrame:
+    """(point_id, rank, id, km): the ``k`` nearest places of each point (point_id, lat, lng), by distance, then id; fewer where there are
+    fewer places, none for a point without a valid coordinate.
+
+    Places are counted on grids of growing radius, from one whose fullest cell has at most ``crowd * k`` places. A round compares only
+    the points that have k places in the cells they ask, and settles those of them that have k within the radius: these are the nearest.
+    The others go on to a radius ``widen`` times as large. So a point meets places of cells that were too poor for it one
+    radius before, and no round lists pairs over the globe unless all the places are so few."""
+    globe = math.pi * geo.EARTH_KM * (1 + 1e-12)
+    slim = written(places.where(geo.valid_coordinate(F.col("centroid_lat"), F.col("centroid_lng"))).select(id_, "centroid_lat", "centroid_lng"))
+    total = slim.count()
+    left = written(points.where(geo.valid_coordinate(F.col("lat"), F.col("lng"))).select("point_id", "lat", "lng"))
+    full = lambda km: Grid(km).lying(slim).groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    km = min(globe, math.sqrt(k * 510e6 / max(1, total)))
+    while km > 0.01 and (full(km).agg(F.max("n")).first()[0] or 0) > crowd * k:
+        km /= widen
+    order = Window.partitionBy("point_id").orderBy("km", id_)
+    out = None
+    while not left.isEmpty():
+        last = km >= globe
+        rich = left if last else Grid(km).asking(left).join(full(km), ["cx", "cy"]).groupBy("point_id", "lat", "lng").agg(F.sum("n").alias("n")).where(F.col("n") >= k).drop("n")
+        pairs = nearby_batch(rich, slim, km).select("point_id", id_, "km").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = written(pairs)
+        done = found.where(F.col("rank") == (min(k, total) if last else k)).select("point_id")
+        out = found.join(done, "point_id", "left_semi") if out is None else out.unionByName(found.join(done, "point_id", "left_semi"))
+        if last:
+            break
+        left = written(left.join(done, "point_id", "left_anti"))
+        km = min(globe, km * widen)
+    empty = nearby_batch(left.limit(0), slim.limit(0), 1.0).select("point_id", id_, "km").withColumn("rank", F.lit(0))
+    return (empty if out is None else out).select("point_id", "rank", id_, "km")
+
+
 def without_village(places: DataFrame, **codes: str) -> DataFrame:
     """All but the given village, compared null-safely on every code given."""
     same = F.lit(True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import builds, features, records, search, space, valid
-from ..sources import lake, tables
+from ..sources import collections, lake, tables
 from ..sources.shared import folder, numbered_as_is
 
 T = Callable[[str], DataFrame]
@@ -130,6 +130,16 @@ def survey_index(t: T) -> DataFrame:
     return search.survey_index(surveys(t))
 
 
+@query("SELECT c_custkey AS parcel_id, '0' || c_nationkey % 5 AS taluk, '0' || c_custkey % 3 AS hobli, (c_custkey % 50)::VARCHAR AS vlg FROM customer WHERE c_nationkey % 5 = 2")
+def rewritten_lake(t: T) -> DataFrame:
+    """Parcels in folders by district, taluk and hobli; codes keep their zeros, and a taluk is read by its folder."""
+    k = F.col("c_custkey")
+    own = t("customer").select(k.alias("parcel_id"), s("c_custkey").alias("survey_no"), F.lit("01").alias("dist"), F.concat(F.lit("0"), (F.col("c_nationkey") % 5).cast("string")).alias("taluk"), F.concat(F.lit("0"), (k % 3).cast("string")).alias("hobli"), (k % 50).cast("string").alias("vlg"))
+    to = f"{folder(own.sparkSession)}/{uuid.uuid4().hex}"
+    lake.rewrite(own, to)
+    return lake.scoped(lake.read_rewritten(own.sparkSession, to), dist="01", taluk="02").select("parcel_id", "taluk", "hobli", "vlg")
+
+
 @query(f"WITH {SURVEYS} SELECT survey_no, village_name, village_code, dist, taluk, hobli, vlg, l_orderkey::VARCHAR AS survey_no_norm, l_orderkey::VARCHAR AS survey_key FROM s")
 def survey_index_resumed(t: T) -> DataFrame:
     """Line items as files of parcels: a build that stops after two batches of three files, and a second one that takes in the rest."""
@@ -148,6 +158,16 @@ def survey_prefix_search(t: T) -> DataFrame:
     return in_order(search.survey_search(search.survey_index(surveys(t)), " 30/7"))
 
 
+@query("""WITH s AS (SELECT DISTINCT p_partkey || '/' || p_size AS survey_no, 'v' || (p_size % 9) AS village_name, '1' AS dist, (p_size % 3)::VARCHAR AS taluk, (p_size % 7)::VARCHAR AS hobli, (p_size % 50)::VARCHAR AS vlg, p_partkey AS number FROM part),
+e AS (SELECT *, unnest(range(2, length(number::VARCHAR) + 1)) AS n FROM s)
+SELECT left(number::VARCHAR, n) AS prefix, row_number() OVER (PARTITION BY left(number::VARCHAR, n) ORDER BY number, village_name, survey_no, dist, taluk, hobli, vlg)::INT AS rank, survey_no, village_name, dist, taluk, hobli, vlg FROM e QUALIFY rank <= 25""")
+def survey_prefixes(t: T) -> DataFrame:
+    """The first 25 answers to every prefix of the parts' keys."""
+    size = lambda n: (F.col("p_size") % n).cast("string")
+    own = t("part").select(F.concat_ws("/", s("p_partkey"), s("p_size")).alias("survey_no"), F.concat(F.lit("v"), size(9)).alias("village_name"), s("p_size").alias("village_code"), F.lit("1").alias("dist"), size(3).alias("taluk"), size(7).alias("hobli"), size(50).alias("vlg"))
+    return search.prefix_dictionary(search.survey_index(own))
+
+
 @query("SELECT survey_no, row_number() OVER (ORDER BY survey_no) AS place FROM (SELECT DISTINCT l_orderkey::VARCHAR AS survey_no FROM lineitem WHERE l_suppkey = 7 AND l_orderkey::VARCHAR LIKE '1%')")
 def inset_prefix_search(t: T) -> DataFrame:
     return in_order(search.inset_search(surveys(t).where("village_code = '7'"), "1"))
@@ -188,11 +208,11 @@ def boundary_hobli(t: T) -> DataFrame:
     return in_order(hobli(t).select("vlg", "village_name", "has_data", F.round(geo.area(F.col("mpoly")), 6).alias("area")))
 
 
-@query(f"{HOBLI} SELECT vlg, village_name, vlg::VARCHAR AS code, (k IS NOT NULL)::VARCHAR AS has_data, k IS NOT NULL AS drawn FROM v")
+@query(f"{HOBLI} SELECT vlg, village_name, vlg::VARCHAR AS code, (k IS NOT NULL)::VARCHAR AS has_data, k IS NOT NULL AS drawn, k::DOUBLE AS area FROM v")
 def boundary_features(t: T) -> DataFrame:
     got = features.boundary_features(hobli(t))
     part = lambda k: F.get_json_object("feature", f"$.properties.{k}")
-    return got.select("vlg", part("village_name").alias("village_name"), part("village_code").alias("code"), part("has_data").alias("has_data"), F.coalesce(F.get_json_object("feature", "$.geometry.type").isin("Polygon", "MultiPolygon"), F.lit(False)).alias("drawn"))
+    return got.select("vlg", part("village_name").alias("village_name"), part("village_code").alias("code"), part("has_data").alias("has_data"), F.coalesce(F.get_json_object("feature", "$.geometry.type").isin("Polygon", "MultiPolygon"), F.lit(False)).alias("drawn"), F.round(geo.area(geo.from_geojson(F.get_json_object("feature", "$.geometry"))), 6).alias("area"))
 
 
 @query("SELECT c_nationkey AS vlg, count(DISTINCT (c_custkey % 40 + i) * 1000000 + c_custkey // 40 + j)::DOUBLE AS area FROM customer, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) GROUP BY 1")
@@ -228,6 +248,17 @@ def parcel_collections(t: T) -> DataFrame:
     return features.parcel_collection(cells(t).withColumn("kind", F.lit("Polygon")), ["vlg"], ["pos"])
 
 
+@query(f"""SELECT row_number() OVER (ORDER BY c_custkey) AS place, '{{"type":"Feature","geometry":' || {SQUARE} || ',"properties":{{"parcel_id":' || c_custkey || ',"village_name":"' || c_name || '"}}}}' AS feature
+FROM (SELECT c_custkey, c_name, (c_custkey % 40)::DOUBLE AS x, (c_custkey // 40)::DOUBLE AS y FROM customer)""")
+def collection_file(t: T) -> DataFrame:
+    """All parcels as one file that many tasks write, read again."""
+    own = cells(t)
+    to = f"{folder(own.sparkSession)}/{uuid.uuid4().hex}.geojson"
+    text_ = features.feature_text(geo.geojson(F.col("mpoly")), F.struct("parcel_id", "village_name"))
+    collections.write_collection(own.select("pos", text_.alias("feature")), ["pos"], to)
+    return collections.read_collection(own.sparkSession, to)
+
+
 @query(f"SELECT (c_custkey % 400) AS lgd_code, arg_max(c_name, c_custkey) AS village_name, round(max(c_custkey) % 40 + 0.5, 6)::DOUBLE AS centroid_lng, round(max(c_custkey) // 40 + 0.5, 6)::DOUBLE AS centroid_lat FROM customer WHERE c_nationkey = 3 GROUP BY 1")
 def lgd_load(t: T) -> DataFrame:
     # Stored at 1/8192 of the SQL's grid, an exact scaling, so that every customer's place is a valid coordinate.
@@ -331,11 +362,29 @@ GLOBE = "(({k} * {a} % 18001) / 100.0::DOUBLE - 90)", "(({k} * {b} % 36001) / 10
 @query(f"WITH p AS (SELECT s_suppkey AS id, {GLOBE[0].format(k='s_suppkey', a=7919)} AS la, {GLOBE[1].format(k='s_suppkey', b=104729)} AS ln FROM supplier), q AS (SELECT c_custkey AS lgd_code, {GLOBE[0].format(k='c_custkey', a=6271)} AS lb, {GLOBE[1].format(k='c_custkey', b=15485)} AS lm FROM customer) SELECT id AS point_id, lgd_code, round({KM.format(a='la', b='lb', c='ln', d='lm')}, 4) AS km FROM p, q WHERE {KM.format(a='la', b='lb', c='ln', d='lm')} <= 400")
 def nearby_globe(t: T) -> DataFrame:
     """Places all over the globe, poles and 180 degrees included."""
+    points, places = globe(t)
+    return space.nearby_batch(points, places, 400.0).select("point_id", "lgd_code", F.round("km", 4).alias("km"))
+
+
+def globe(t: T) -> tuple[DataFrame, DataFrame]:
     lat = lambda k, a: (F.col(k) * a % 18001) / F.lit(100.0) - 90
     lng = lambda k, b: (F.col(k) * b % 36001) / F.lit(100.0) - 180
     points = t("supplier").select(F.col("s_suppkey").alias("point_id"), lat("s_suppkey", 7919).alias("lat"), lng("s_suppkey", 104729).alias("lng"))
     places = t("customer").select(F.col("c_custkey").alias("lgd_code"), lat("c_custkey", 6271).alias("centroid_lat"), lng("c_custkey", 15485).alias("centroid_lng"))
-    return space.nearby_batch(points, places, 400.0).select("point_id", "lgd_code", F.round("km", 4).alias("km"))
+    return points, places
+
+
+@query(f"WITH p AS (SELECT s_suppkey AS id, {GLOBE[0].format(k='s_suppkey', a=7919)} AS la, {GLOBE[1].format(k='s_suppkey', b=104729)} AS ln FROM supplier), q AS (SELECT c_custkey AS lgd_code, {GLOBE[0].format(k='c_custkey', a=6271)} AS lb, {GLOBE[1].format(k='c_custkey', b=15485)} AS lm FROM customer) SELECT id AS point_id, row_number() OVER (PARTITION BY id ORDER BY d, lgd_code)::INT AS rank, lgd_code, round(d, 4) AS km FROM (SELECT id, lgd_code, {KM.format(a='la', b='lb', c='ln', d='lm')} AS d FROM p, q) QUALIFY rank <= 5")
+def nearest_places(t: T) -> DataFrame:
+    """The five nearest of places all over the globe, poles and 180 degrees included."""
+    points, places = globe(t)
+    return space.nearest(points, places, 5).select("point_id", "rank", "lgd_code", F.round("km", 4).alias("km"))
+
+
+@query(f"SELECT c_custkey AS lgd_code, list_sum([(((y >> i) & 1) << (2 * i + 1)) + (((x >> i) & 1) << (2 * i)) FOR i IN range(24)])::BIGINT AS z FROM (SELECT c_custkey, floor(({LAT.format(k='c_custkey')} + 90) / 180 * 16777216)::BIGINT AS y, floor(({LNG.format(k='c_custkey')} + 180) / 360 * 16777216)::BIGINT AS x FROM customer)")
+def curve_order(t: T) -> DataFrame:
+    """Where places stand along the Z-curve that their table is clustered by."""
+    return t("customer").select(F.col("c_custkey").alias("lgd_code"), geo.morton(lat_of("c_custkey"), lng_of("c_custkey")).alias("z"))
 
 
 @query(f"WITH {NEAR} SELECT lgd_code FROM near WHERE km <= 50 AND lgd_code <> (SELECT arg_min(lgd_code, km) FROM near)")

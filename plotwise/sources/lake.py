@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import geo, text, wkb
+from .shared import opened
 
 LEVELS = ("dist", "taluk", "hobli", "vlg")
 #: The columns without which a file is no village file to the survey index.
@@ -62,9 +62,8 @@ def having(listed: DataFrame, columns: tuple[str, ...] = NEEDED) -> DataFrame:
 
 
 def footer_has(path: str, wanted: set[str]) -> bool:
-    uri = re.sub("^file:/+", "/", path)
-    store, where = fs.FileSystem.from_uri(path) if uri == path and "://" in path else (fs.LocalFileSystem(), uri)
     try:
+        store, where = opened(path)
         footer = pq.read_metadata(where, filesystem=store)
     except (OSError, ValueError):
         return False
@@ -117,11 +116,7 @@ def rewrite(df: DataFrame, to: str) -> None:
 
 
 def read_rewritten(spark: SparkSession, path: str) -> DataFrame:
-    """Codes stay text: the session's setting is put back as soon as the table is resolved."""
-    name = "spark.sql.sources.partitionColumnTypeInference.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return spark.read.parquet(path)
-    finally:
-        spark.conf.set(name, before)
+    """Codes stay text: the files' columns are found first, then the table is read with the codes of its folders as texts. No setting of the
+    session is touched."""
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(StructType([StructField(f.name, StringType()) if f.name in LEVELS else f for f in found])).parquet(path)

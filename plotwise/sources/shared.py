@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it: local ones with or without a scheme, others by their scheme as Arrow knows it."""
+    local = re.sub("^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in local else (fs.LocalFileSystem(), local)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """``df`` with a hint to broadcast it if its measured size allows that."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
