@@ -276,4 +276,5 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``embeddings``: vec_id, n_links, component_id (least vec_id reachable by links), kept."""
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -105,6 +105,7 @@ def outcomes(counted: DataFrame) -> DataFrame:
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part of ``documents``, order of the filters and step: the documents kept, removed, redundant, failing alone, lost labels, Shapley sums."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return outcomes(histograms(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")))
 

@@ -308,4 +308,5 @@ def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of ``pages``: page_id, url, text (blocks joined by one line feed; empty if none), n_chars."""
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -93,6 +93,7 @@ def predict_column(dictionaries: dict[str, bytes], text, level: int = LEVEL, mar
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: doc_id, held_out, lang_pred (``und`` without a letter), score, rejected (a narrow margin)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict_column(learn(docs), F.col("text")).alias("p"))
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")

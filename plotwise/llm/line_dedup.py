@@ -310,6 +310,7 @@ def drop_shared_lines(docs: DataFrame, text: str = "text", least: int = DOCUMENT
 
 
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: doc_id, n_lines, n_dropped (lines whose key ten documents have), kept_sha256 of the rest."""
     found = drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 

@@ -479,4 +479,5 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: doc_id, class_id (least doc_id of its class), kept (whether it is that document)."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -149,6 +149,7 @@ def repeat_documents(docs: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: doc_id, size, source_size, target and taken of the mix, first_slot and last_slot of the schedule (-1: none)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 

@@ -157,4 +157,5 @@ def pack(docs: DataFrame, path: str | None = None, context: int = CONTEXT, end_i
 
 
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every row of ``documents``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     return pack(table(spark, sf_dir, "documents"))

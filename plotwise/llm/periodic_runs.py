@@ -203,6 +203,7 @@ def periodic_tail(doc_id: Column, text: Column) -> Column:
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``, a tenth with a periodic tail: n_runs, the strongest run, digests of all runs and of the words that stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", periodic_tail(F.col("doc_id"), F.col("text")).alias("text"))
     found = collapse_runs(docs, keep=["doc_id"])
     lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n"))), "")

@@ -170,6 +170,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 from 0.3 on)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model, F.col("text")).alias("score"))

@@ -190,5 +190,6 @@ def scan_column(text):
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: doc_id, n_assign, n_access, n_hex, base_sha256 over the base spans, spans (all, as kind:start:end)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", scan_column(F.col("text")).alias("s")).select("doc_id", "s.*")
