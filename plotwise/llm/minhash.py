@@ -26,7 +26,7 @@ or less under equal ones (seven). Equal texts are one node throughout. Classes a
 One rule holds for sampling, filtering and verifying: a link is a weighted Jaccard similarity of at least 0.8 under the TF-IDF weights or
 under equal weights, for near copies that differ in rare words only are far under the first and close under the second. So
 besides the bands drawn by TF-IDF weights there are ``EQUAL_BANDS`` of ``EQUAL_ROWS`` samples of all shingles alike (one hash a shingle, least
-of its bin). A pair at 0.8 meets in a band of its weighing with probability 0.9998 (TF-IDF) or 0.998 (equal).
+of its bin). A pair at 0.8 meets in a band of its weighing with probability 0.9993 (TF-IDF) or 0.998 (equal).
 
 Defined results: texts without words (null, empty, blank) are never linked and are classes of their own; repeated
 rows fall into one class; ``class_id`` is the least doc_id of the class (null if it has none); an empty table gives
@@ -48,7 +48,7 @@ from .components import components
 from .shared import cut, slices, small_side, table
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 28, 6
+BANDS, ROWS = 24, 6
 IDF_SLOTS = 1 << 16
 #: A sketch holds four bits of every sample. Texts whose samples agree less than at a similarity of ``CLOSE`` are not
 #: verified; those from ``NEAREST`` on may be a text's nearest.
@@ -62,6 +62,8 @@ PARTS = 1 << 10
 #: Bands and rows of the samples under equal weights; longs of their sketch, and how little they may agree.
 EQUAL_BANDS, EQUAL_ROWS, EQUAL_CLOSE = 16, 5, 0.45
 BINS = EQUAL_BANDS * EQUAL_ROWS
+#: For each bin the places of all bins in the order in which it asks them, at random.
+LENDERS = np.random.default_rng(11).permuted(np.tile(np.arange(BINS, dtype=np.uint8), (BINS, 1)), axis=1)
 EQUAL_LONGS = -(-BINS // 64)
 EQUAL_SKETCH = BITS * EQUAL_LONGS
 #: Where in a text's longs the bands end, and its sketches.
@@ -199,20 +201,17 @@ class Sampler:
 
 def equal_samples(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Per text ``BINS`` samples of its shingles, all of the same weight: each shingle falls into one bin, whose least is its sample. An empty
-    bin takes that of another one, by a sequence of draws that is the same for all texts."""
+    bin takes that of another one, the first full one in an order of its own (``LENDERS``) that is the same for all texts."""
     draw, none = mixed(hashes * U64(BASE) + U64(1)), U64(0xFFFFFFFFFFFFFFFF)
-    owner = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(hashes)))
+    row = np.repeat(np.arange(len(starts)) * BINS, np.diff(starts, append=len(hashes)))
     out = np.full((len(starts), BINS), none, U64)
-    np.minimum.at(out, (owner, ((draw >> U64(32)) * U64(BINS) >> U64(32)).astype(np.int64)), mixed(draw) >> U64(1))
-    full, tries = out != none, 1
-    given = out.copy()
-    while not (done := out != none).all():
-        text, bin_ = np.nonzero(~done)
-        # After many draws any bin that has one will do: the next to the right.
-        other = (mixed((bin_ + BINS * tries).astype(U64) * U64(BASE)) >> U64(40)).astype(np.int64) % BINS if tries < 4 * BINS else (bin_ + tries) % BINS
-        has = full[text, other]
-        out[text[has], bin_[has]] = given[text[has], other[has]]
-        tries += 1
+    # The bin is the draw's share of the range, so within a bin the least draw is the sample.
+    np.minimum.at(out.ravel(), row + ((draw >> U64(32)) * U64(BINS) >> U64(32)).astype(np.int64), draw)
+    full = out != none
+    for at in range(0, len(out), 256):
+        text, bin_ = np.nonzero(~full[at : at + 256])
+        other = np.where(full[at + text], LENDERS[bin_], BINS).argmin(1)
+        out[at + text, bin_] = out[at + text, other]
     return out
 
 
