@@ -4,9 +4,9 @@ HTML is parsed to an ordered array of text and media-reference structs; media ar
 digest of their payload; a join on the digest resolves the references, and the sequence is put together again in its
 order, captions beside their media.
 
-The query makes a page of every document: its lines are paragraphs, and a figure after the first of them refers to the payload by digest
-and is captioned with the number of bytes. Position, caption and the size of the texts around it come from the parsed sequence,
-the payload's figures from the join.
+The query makes a page of every document: its lines are paragraphs, a figure after the first of them refers to the payload by digest and is
+captioned with the number of bytes, and behind the last come the payload again and a medium that is not stored. Positions, captions and the
+size of the texts around them come from the parsed sequence, the payload's figures from the join.
 
 Storage of a payload: bytes are grey samples of 8 bits, 24 to a row and 24 rows (576 bytes) to a tile, as a binary
 portable graymap (P5). Features are computed from the samples read back: tiles, mean, deviation, an eight-bin
@@ -36,6 +36,7 @@ from .shared import cut, slices, table
 SIDE, TILE, FILL = 24, 576, b"\xff"
 SEQUENCE = "array<struct<position int, kind string, text string, ref string, caption string>>"
 REF = "media:"
+AGAIN, LOST = "the same again", "not stored"
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -175,22 +176,28 @@ def resolve(sequences: DataFrame, media: DataFrame, keys: list[str]) -> DataFram
 
 
 def page_of(text: Column) -> Column:
-    """The document (not null) as a page: a paragraph a line, after the first the figure of its payload."""
+    """The document (not null) as a page: a paragraph a line, after the first the figure of its payload, at the end that payload and an unknown one."""
     n_bytes = F.octet_length(text)
     pad = F.greatest(F.lit(1), F.ceil(n_bytes / TILE)) * TILE - n_bytes
     digest = F.sha2(F.concat(F.encode(text, "utf-8"), F.unhex(F.repeat(F.lit(FILL.hex()), pad.cast("int")))), 256)
     plain = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     lines = F.transform(F.split(plain, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
     figure = F.concat(F.lit(f'<figure><img src="{REF}'), digest, F.lit('"><figcaption>'), n_bytes.cast("string"), F.lit(" bytes</figcaption></figure>"))
-    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(figure), F.slice(lines, F.lit(2), F.size(lines))), "")
+    image = lambda d, alt: F.concat(F.lit(f'<img src="{REF}'), d, F.lit(f'" alt="{alt}">'))
+    behind = F.array(image(digest, AGAIN), image(F.sha2(F.encode(digest, "utf-8"), 256), LOST))
+    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(figure), F.slice(lines, F.lit(2), F.size(lines)), behind), "")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, then position (of the media item), n_items, n_text (code points of the text items), caption."""
+    """The contract's columns, then position and caption of the first medium, n_items, n_text (code points of the text items), n_media (that
+    were resolved), n_unknown, and the positions and captions of all media in their order, joined by commas and bars."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     measured = cut(features(cut(media_table(docs)).select("digest", "media")))
     pages = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), interleave(page_of(F.col("text"))).alias("all"))
     sizes = F.aggregate("all", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.length(x["text"]), F.lit(0)))
     slim = pages.select("doc_id", "n_bytes", F.size("all").cast("long").alias("n_items"), sizes.alias("n_text"), F.filter("all", lambda x: x["kind"] == "media").alias("items"))
     whole = resolve(slim, measured, ["doc_id", "n_bytes", "n_items", "n_text"]).withColumn("m", F.col("items")[0])
-    return whole.select("doc_id", "n_bytes", "m.media.*", "m.position", "n_items", "n_text", "m.caption")
+    n_media = F.size(F.filter("items", lambda x: x["media"].isNotNull())).cast("long")
+    joined = lambda f, by: F.array_join(F.transform("items", f), by)
+    told = [n_media.alias("n_media"), (F.size("items") - n_media).cast("long").alias("n_unknown"), joined(lambda x: x["position"].cast("string"), ",").alias("positions"), joined(lambda x: x["caption"], "|").alias("captions")]
+    return whole.select("doc_id", "n_bytes", "m.media.*", "m.position", "n_items", "n_text", "m.caption", *told)

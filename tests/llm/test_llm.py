@@ -655,7 +655,9 @@ def test_media_query_against_plain_python(spark):
         assert r.feature == f"tiles={len(x) // 576};mean={x.mean():.4f};std={x.std():.4f};hist={','.join(map(str, hist))};hash={bits:016x}"
         lines = [" ".join(line.split()) for line in texts[r.doc_id].split("\n")]
         full = [line for line in lines if line]
-        assert (r.position, r.n_items, r.n_text, r.caption) == (int(bool(lines[0])), len(full) + 1, sum(map(len, full)), f"{len(raw)} bytes")
+        assert (r.position, r.n_items, r.n_text, r.caption) == (int(bool(lines[0])), len(full) + 3, sum(map(len, full)), f"{len(raw)} bytes")
+        assert (r.n_media, r.n_unknown, r.positions) == (2, 1, f"{r.position},{len(full) + 1},{len(full) + 2}")
+        assert r.captions == f"{len(raw)} bytes|{media.AGAIN}|{media.LOST}"
 
 
 def test_media_resolve_takes_any_key(spark):
