@@ -46,19 +46,18 @@ def touching(e: np.ndarray, after: np.ndarray) -> bool:
     return False
 
 
-def flawed(parts: list[list[list[dict]]]) -> bool:
-    """Whether the polygons, as nested lists of points, are not plainly valid; a hole that touches its shell counts as a flaw, which costs
-    a look and changes nothing."""
-    edges, after, firsts = [], [], []
+def flawed(parts: list[list[np.ndarray]]) -> bool:
+    """Whether the polygons, parts of rings of points (n, 2), are not plainly valid; a hole that touches its shell counts as a flaw, which
+    costs a look and changes nothing."""
+    edges, after, at = [], [], 0
     for part in parts:
-        for k, ring in enumerate(part):
-            xy = np.array([(p["x"], p["y"]) for p in ring])
-            if len(xy) < 4 or (xy[0] != xy[-1]).any() or (xy[1:] == xy[:-1]).all(1).any() or len(np.unique(xy, axis=0)) < len(xy) - 1:
+        for xy in part:
+            # All corners but the last one must differ: no repeated points, no corner visited twice.
+            if len(xy) < 4 or (xy[0] != xy[-1]).any() or len(set(map(tuple, xy[:-1].tolist()))) < len(xy) - 1:
                 return True
-            at = sum(map(len, edges))
             edges.append(np.hstack([xy[:-1], xy[1:]]))
             after.append(at + (np.arange(len(xy) - 1) + 1) % (len(xy) - 1))
-            firsts.append(k)
+            at += len(xy) - 1
     if not edges:
         return False
     e = np.concatenate(edges)
@@ -78,12 +77,26 @@ def flawed(parts: list[list[list[dict]]]) -> bool:
     return False
 
 
+def parts_of(mpoly: pa.ListArray) -> list[list[list[np.ndarray]]]:
+    """Per row its parts, of rings, of points (n, 2), as views of the flat coordinates; none for null."""
+    parts = mpoly.flatten()
+    rings_ = parts.flatten()
+    points = rings_.flatten()
+    xy = np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y")], 1) if len(points) else np.zeros((0, 2))
+
+    def dealt(sizes: pa.Array, items: list | np.ndarray) -> list:
+        ends = np.cumsum([n or 0 for n in sizes.to_pylist()]).tolist()
+        return [items[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    return dealt(mpoly.value_lengths(), dealt(parts.value_lengths(), dealt(rings_.value_lengths(), xy)))
+
+
 def with_flaws(parcels: DataFrame, name: str = "flawed") -> DataFrame:
     """Adds whether ``mpoly`` may not be valid; null and empty geometries are."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told = [bool(m) and flawed(m) for m in b.column("mpoly").to_pylist()]
+            told = [bool(m) and flawed(m) for m in parts_of(b.column("mpoly"))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(told, pa.bool_())], [*b.schema.names, name])
 
     return parcels.mapInArrow(look, StructType([*parcels.schema.fields, StructField(name, BooleanType())]))

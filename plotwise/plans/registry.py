@@ -5,9 +5,12 @@ Region, nation, customer and order stand for district, taluk, hobli and village;
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +143,38 @@ def rewritten_lake(t: T) -> DataFrame:
     return lake.scoped(lake.read_rewritten(own.sparkSession, to), dist="01", taluk="02").select("parcel_id", "taluk", "hobli", "vlg")
 
 
+def village_lake(t: T) -> str:
+    """A folder of six village files from the customers, a square each as well-known binary in degrees; two files lack a column."""
+    spark, k = t("customer").sparkSession, F.col("c_custkey")
+
+    @F.arrow_udf("binary")
+    def square(x: pa.Array, y: pa.Array) -> pa.Array:
+        corners = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+        return pa.array([struct.pack("<BIII10d", 1, 3, 1, 5, *[c for dx, dy in corners for c in (a + dx, b + dy)]) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.binary())
+
+    own = t("customer").select((k % 6).alias("file"), s("c_custkey").alias("survey_no"), F.col("c_name").alias("village_name"), s("c_custkey").alias("village_code"), square((k % 40).cast("double"), F.floor(k / 40).cast("double") / 100).alias("geometry"))
+    root = f"{folder(spark)}/{uuid.uuid4().hex}"
+    for i in range(6):
+        one = own.where(F.col("file") == i).drop("file", *(["village_name"] if i in (1, 4) else []))
+        one.coalesce(1).write.parquet(f"{root}/made-{i}")
+        store = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+        to = f"{root}/lake/dist_1/taluk_{i % 2}/hobli_3"
+        store.mkdirs(path(to))
+        part = next(x.getPath() for x in store.listStatus(path(f"{root}/made-{i}")) if x.getPath().getName().startswith("part-"))
+        store.rename(part, path(f"{to}/vlg_{i}.parquet"))
+    return f"{root}/lake"
+
+
+@query("SELECT c_custkey::VARCHAR AS survey_no, (c_custkey % 6)::VARCHAR AS vlg, (c_custkey % 2)::VARCHAR AS taluk, 'Polygon' AS kind, (c_custkey % 40 + 0.4)::DOUBLE AS x, round((c_custkey // 40)::DOUBLE / 100 + 0.4, 6) AS y FROM customer WHERE c_custkey % 6 NOT IN (1, 4)")
+def lake_polygons(t: T) -> DataFrame:
+    """Village files are scanned, those without a needed column left out by their footers, geometries decoded; codes come from the paths."""
+    spark = t("customer").sparkSession
+    got = lake.polygons(lake.scan(spark, village_lake(t), needed=lake.NEEDED), srid=None)
+    mean = got.select("survey_no", "vlg", "taluk", "kind", geo.vertex_mean(F.col("mpoly")).alias("m"))
+    return mean.select("survey_no", "vlg", "taluk", "kind", F.round("m.x", 6).alias("x"), F.round("m.y", 6).alias("y"))
+
+
 @query(f"WITH {SURVEYS} SELECT survey_no, village_name, village_code, dist, taluk, hobli, vlg, l_orderkey::VARCHAR AS survey_no_norm, l_orderkey::VARCHAR AS survey_key FROM s")
 def survey_index_resumed(t: T) -> DataFrame:
     """Line items as files of parcels: a build that stops after two batches of three files, and a second one that takes in the rest."""
@@ -268,6 +303,17 @@ def lgd_load(t: T) -> DataFrame:
     return out.select("lgd_code", "village_name", F.round(F.col("centroid_lng") / unit, 6).alias("centroid_lng"), F.round(F.col("centroid_lat") / unit, 6).alias("centroid_lat"))
 
 
+@query("SELECT lgd_code, village_name, rows, villages, errors FROM (SELECT (c_custkey % 400) AS lgd_code, arg_max(c_name, c_custkey) AS village_name FROM customer WHERE c_nationkey = 3 AND c_custkey % 11 <> 0 GROUP BY 1), (SELECT count(*) AS rows, count(DISTINCT c_custkey % 400) FILTER (c_custkey % 11 <> 0) AS villages, count(*) FILTER (c_custkey % 11 = 0) AS errors FROM customer WHERE c_nationkey = 3)")
+def village_table(t: T) -> DataFrame:
+    """The table of villages is built, clustered by place, and read again beside its counters; every eleventh row has no place."""
+    k, unit = F.col("c_custkey"), 1 / 8192
+    square = cell((k % 40) * F.lit(unit), F.floor(k / 40) * F.lit(unit), unit, unit)
+    raw = t("customer").select((k % 400).alias("vil_lgd"), F.col("c_name").alias("vilname11"), F.col("c_nationkey").alias("state_lgd"), F.when(k % 11 != 0, square).alias("mpoly"), k.alias("pos"))
+    to = f"{folder(raw.sparkSession)}/{uuid.uuid4().hex}"
+    counted = builds.build_villages(raw, to, state=3).first()
+    return raw.sparkSession.read.parquet(to).select("lgd_code", "village_name", *[F.lit(counted[c]).alias(c) for c in ("rows", "villages", "errors")])
+
+
 @query("SELECT c_custkey AS lgd_code, max(o_orderkey)::VARCHAR AS vlg, max(o_orderkey) IS NOT NULL AS mapped FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey GROUP BY 1")
 def roster_join(t: T) -> DataFrame:
     roster = t("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("lgd_code"), F.lit("1").alias("dist"), F.lit("1").alias("taluk"), F.lit("1").alias("hobli"), s("o_orderkey").alias("vlg"), F.col("o_orderkey").alias("pos"))
@@ -526,6 +572,22 @@ def projects_list(t: T) -> DataFrame:
     return in_order(records.projects(project_rows(t), "7").select("id", "status", "location"))
 
 
+@query("SELECT o_orderkey::VARCHAR AS id, CASE o_orderstatus WHEN 'F' THEN 'complete' ELSE 'needs-review' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '' END AS location FROM orders WHERE o_custkey = 13 UNION ALL SELECT 'added', 'needs-review', ''")
+def projects_stored(t: T) -> DataFrame:
+    """Projects as a table that is looked up by user, one more appended."""
+    rows = project_rows(t).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    to = f"{folder(rows.sparkSession)}/{uuid.uuid4().hex}"
+    tables.write_projects(rows, to)
+    tables.add_project(rows.sparkSession, to, {"id": "added", "user_id": "13", "name": "n", "created_at": datetime(1999, 1, 1)})
+    return records.projects(rows.sparkSession.read.parquet(to), "13").select("id", "status", "location")
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS user_id FROM orders WHERE o_orderkey = 7")
+def project_by_id(t: T) -> DataFrame:
+    owner = t("orders").where("o_orderkey = 7").first()
+    return records.project(project_rows(t), str(owner.o_custkey) if owner else "", "7").select("id", "user_id")
+
+
 @query("SELECT count(*) AS total, sum((o_orderstatus = 'F')::INT)::BIGINT AS complete, sum((o_orderstatus <> 'F')::INT)::BIGINT AS needs_review, sum((o_orderdate >= TIMESTAMP '1998-03-01')::INT)::BIGINT AS this_month FROM orders")
 def project_stats(t: T) -> DataFrame:
     return records.project_stats(project_rows(t), F.expr("TIMESTAMP_NTZ '1998-03-01 00:00:00'"))

@@ -1,6 +1,7 @@
 """Quirks, geometry and sources on hand-made rows."""
 
 import json
+import random
 import struct
 
 import pytest
@@ -256,3 +257,17 @@ def test_first_name_of_the_first_file(spark):
     df = squares(spark, [(0, 0, 1), (1, 0, 1)]).withColumns({"pos": F.col("mpoly")[0][0][0]["x"], "survey_no": -F.col("mpoly")[0][0][0]["x"], "village_name": F.when(F.col("mpoly")[0][0][0]["x"] == 0, "first").otherwise("second")})
     listed = spark.createDataFrame([("k", ""), ("none", "N")], "k string, name string")
     assert [(r.village_name, r.has_data) for r in space.boundaries(df, listed, ["k"]).collect()] == [("first", True), ("N", False)]
+
+
+def test_many_geometries_are_decoded_as_one_by_one():
+    draw = random.Random(1)
+    ring = lambda n: (lambda p: struct.pack("<I", n + 1) + b"".join(struct.pack("<dd", *q) for q in [*p, p[0]]))([(draw.random(), draw.random()) for _ in range(n)])
+    poly = lambda k, n: struct.pack("<BII", 1, 3, k) + b"".join(ring(n) for _ in range(k))
+    plain = [poly(1 + (i % 7 == 0), draw.randint(3, 40)) if i % 5 else struct.pack("<BII", 1, 6, 2) + poly(1, 9) + poly(2, 7) for i in range(60)]
+    square = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+    odd = [None, b"", b"\x01\x03", struct.pack("<BIdd", 1, 1, 1.0, 2.0), struct.pack(">BIII8d", 0, 3, 1, 4, 0, 0, 1, 0, 1, 1, 0, 0), struct.pack("<BIiI", 1, 0x20000003, 4326, 1) + ring(5)]
+    odd += [struct.pack("<BII", 1, 3, 0), struct.pack("<BIII6d", 1, 3, 1, 3, 0, 0, 1, 0, 1, 1), plain[1][:-5], struct.pack("<BII", 1, 7, 1) + ring_wkb(square), struct.pack("<BIII12d", 1, 1003, 1, 4, *[float(i % 9) for i in range(12)])]
+    for v, got in zip([*odd, *plain], wkb.decode_all([*odd, *plain]).to_pylist(), strict=True):
+        one = wkb.decode(v)
+        assert got == ({"kind": one["kind"], "srid": one.get("srid"), "parts": one["parts"]} if one else {"kind": None, "srid": None, "parts": None})
+    assert len(wkb.decode_all([])) == 0
