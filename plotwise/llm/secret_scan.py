@@ -30,10 +30,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: Greedy runs from a fixed start, so asking for the least length in the pattern finds the same matches as dropping short ones.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: A header is base64 of an open brace and a quote or white space, so it begins with ey or ew.
-JWT_HEAD = re.compile(r"(?<![A-Za-z0-9])e[yw][A-Za-z0-9_-]{6,}(?=\.[A-Za-z0-9_-]{2,}\.)")
-LATER_HEAD = re.compile("(?<=[_-])e[yw]")
-JWT_REST = re.compile(r"\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+#: Where a header can begin in a part: at its start or after a mark, with a character that base64 of an open brace or of white space begins with.
+HEAD = re.compile(r"(?:^|(?<=[_-]))(?=[eICD][A-Za-z0-9_-]{7})")
 B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
 #: Where a structure can begin inside a run: after one of its marks, with the first characters of a sequence of definite length or of the
 #: container's name. A wrapped body begins like that and has lines of one length.
@@ -124,17 +123,21 @@ def within(run: str) -> tuple[int, int, str] | None:
 
 
 def tokens(text: str) -> list[tuple[int, int, str]]:
-    """Signed tokens; a header is tried wherever one can begin, also after a mark within a word."""
-    out, done = [], 0
-    for m in JWT_HEAD.finditer(text):
-        if m.start() < done:
-            continue
-        for at in (m.start(), *(m.start() + x.start() for x in LATER_HEAD.finditer(m[0]))):
-            rest = JWT_REST.match(text, m.end())
-            if rest and is_jwt(text[at : rest.end()]):
-                out.append((at, rest.end(), "jwt"))
-                done = rest.end()
-                break
+    """Signed tokens: three parts between dots; a header is tried wherever one can begin, also after other parts and after a mark within one."""
+    out = []
+    for run in DOTTED.finditer(text):
+        parts, i, at = run[0].split("."), 0, run.start()
+        while i + 2 < len(parts):
+            rest = f".{parts[i + 1]}.{parts[i + 2]}"
+            starts = (m.start() for m in HEAD.finditer(parts[i])) if len(parts[i + 1]) > 1 else ()
+            begin = next((s for s in starts if is_jwt(parts[i][s:] + rest)), None)
+            if begin is None:
+                at += len(parts[i]) + 1
+                i += 1
+                continue
+            end = at + len(parts[i]) + len(rest)
+            out.append((at + begin, end, "jwt"))
+            at, i = end + 1, i + 3
     return out
 
 
