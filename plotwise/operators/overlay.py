@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import geo
-from ..sources.shared import written
+from ..sources.shared import shuffled, written
 from . import quadtree
 
 #: Places after the point to which coordinates are kept, and the distance of the points beside a piece.
@@ -48,7 +48,7 @@ def cell_sizes(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 def dealt(segments: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each grid cell (cx, cy) of side ``cell`` that a segment passes, so as many as it is long: not those of its whole box."""
-    sized = segments.join(cell_sizes(segments, keys), keys)
+    sized = segments.join(shuffled(cell_sizes(segments, keys)), keys)
     cell, slack = F.col("cell"), F.col("cell") * 1e-6
     low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
     columns = sized.withColumn("cx", F.explode(F.sequence(F.floor((low - slack) / cell), F.floor((high + slack) / cell))))
@@ -65,7 +65,7 @@ def pairs(segments: DataFrame, keys: list[str]) -> DataFrame:
     on = dealt(segments, keys)
     names = {"ax": "px", "ay": "py", "bx": "qx", "by": "qy"}
     other = on.select(*keys, "cx", "cy", *[F.col(k).alias(v) for k, v in names.items()])
-    both = on.join(other, [*keys, "cx", "cy"]).where(F.struct("ax", "ay", "bx", "by") < F.struct("px", "py", "qx", "qy"))
+    both = on.join(shuffled(other), [*keys, "cx", "cy"]).where(F.struct("ax", "ay", "bx", "by") < F.struct("px", "py", "qx", "qy"))
     near = lambda a, b, c, d: (F.least(a, b) <= F.greatest(c, d)) & (F.least(c, d) <= F.greatest(a, b))
     both = both.where(near("ax", "bx", "px", "qx") & near("ay", "by", "py", "qy"))
     return both.select(*keys, "ax", "ay", "bx", "by", "px", "py", "qx", "qy").distinct()

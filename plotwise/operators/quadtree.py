@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.shared import shuffled
+
 #: Edges over which a cell is split, cells over which none is split any more, levels that a polygon's cells span at most.
 EDGES, CELLS, DEPTH = 16, 512, 16
 #: Where a cell's anchor lies, as shares of its side: off the middle, which borders like to pass through.
@@ -170,4 +172,4 @@ def held_by(points: DataFrame, cells: DataFrame, x: str, y: str, keys: list[str]
     asked = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted(salts)])))
     asked = asked.withColumns({"cx": F.floor(F.col(x) / side), "cy": F.floor(F.col(y) / side), "salt": F.pmod(F.xxhash64(x, y), many).cast("int")})
     dealt = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1)))
-    return asked.join(dealt, [*keys, "level", "cx", "cy", "salt"]).where(holds(F.col(x), F.col(y))).drop("level", "cx", "cy", "salt", "px", "py", "inside", "edges")
+    return asked.join(shuffled(dealt), [*keys, "level", "cx", "cy", "salt"]).where(holds(F.col(x), F.col(y))).drop("level", "cx", "cy", "salt", "px", "py", "inside", "edges")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.shared import small, written
+from ..sources.shared import shuffled, small, written
 from . import quadtree
 
 #: Segments that one task links at once.
@@ -106,13 +106,13 @@ def ranked(open_: DataFrame, keys: list[str]) -> DataFrame:
     while True:
         far = state.select(*keys, F.col("head").alias("to"), F.col("to").alias("_to"), F.col("ring").alias("_ring"), F.col("ahead").alias("_ahead"))
         less = F.col("_ring") < F.col("ring")
-        both = state.join(far, [*keys, "to"], "left")
+        both = state.join(shuffled(far), [*keys, "to"], "left")
         moved = both.select(*keys, "head", F.col("_to").alias("to"), F.when(less, F.col("_ring")).otherwise(F.col("ring")).alias("ring"), F.when(less, F.col("_ahead") + step).otherwise(F.col("ahead")).alias("ahead"), F.coalesce(less, F.lit(False)).alias("changed"))
         state = written(moved)
         if not state.where("changed").limit(1).count():
             break
         step *= 2
-    return open_.join(state.select(*keys, "head", "ring", "ahead"), [*keys, "head"])
+    return open_.join(shuffled(state.select(*keys, "head", "ring", "ahead")), [*keys, "head"])
 
 
 def joined(open_: DataFrame, keys: list[str]) -> DataFrame:
@@ -195,7 +195,7 @@ def nested(rings: DataFrame, keys: list[str]) -> DataFrame:
     around = quadtree.held_by(rings.select(*keys, "ring_id", "mx", "my"), cells, "mx", "my", keys).where(F.col("ring_id") != F.col("_id"))
     shell = F.when(F.col("_area") > 0, F.struct("_area", "_id"))
     known = around.groupBy("ring_id").agg(F.sum(F.signum("_area")).cast("long").alias("within"), F.min(shell)["_id"].alias("parent"))
-    return rings.join(known, "ring_id", "left").withColumn("within", F.coalesce("within", F.lit(0)))
+    return rings.join(shuffled(known), "ring_id", "left").withColumn("within", F.coalesce("within", F.lit(0)))
 
 
 def polygons(nested_: DataFrame, keys: list[str]) -> DataFrame:
@@ -203,5 +203,5 @@ def polygons(nested_: DataFrame, keys: list[str]) -> DataFrame:
     shells = nested_.where("area > 0").select(*keys, "ring_id", "ring", "area")
     holes = nested_.where("area < 0 and parent is not null").groupBy(*keys, F.col("parent").alias("ring_id")).agg(F.sort_array(F.collect_list(F.struct("area", "ring"))).alias("holes"))
     poly = F.concat(F.array("ring"), F.coalesce(F.transform("holes", lambda h: h["ring"]), F.array().cast("array<array<struct<x: double, y: double>>>")))
-    parts = shells.join(holes, [*keys, "ring_id"], "left").select(*keys, F.struct((-F.col("area")).alias("a"), poly.alias("poly")).alias("part"))
+    parts = shells.join(shuffled(holes), [*keys, "ring_id"], "left").select(*keys, F.struct((-F.col("area")).alias("a"), poly.alias("poly")).alias("part"))
     return parts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["poly"]).alias("mpoly"))

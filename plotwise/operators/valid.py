@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from ..sources.shared import written
+from ..sources.shared import shuffled, written
 from . import overlay, quadtree, rings
 
 #: Sides over which a polygon goes to the overlay unseen, and pairs of sides that are compared at once.
@@ -113,5 +113,5 @@ def make_valid(parcels: DataFrame, keys: list[str]) -> DataFrame:
     border = written(overlay.border(rough, keys))
     made = rings.polygons(rings.nested(rings.rings_of(border, keys), keys), keys).withColumnRenamed("mpoly", "_made")
     none = F.array().cast(parcels.schema["mpoly"].dataType)
-    out = told.join(made, keys, "left").withColumn("mpoly", F.when(F.col("flawed"), F.coalesce("_made", none)).otherwise(F.col("mpoly")))
+    out = told.join(shuffled(made), keys, "left").withColumn("mpoly", F.when(F.col("flawed"), F.coalesce("_made", none)).otherwise(F.col("mpoly")))
     return out.withColumnRenamed("flawed", "repaired").drop("_made")

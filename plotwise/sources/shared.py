@@ -55,8 +55,14 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
-    """``df`` with a hint to broadcast it if its measured size allows that."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    """``df`` with a hint to broadcast it if its measured size allows that, else ``shuffled``."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast. Left alone, Spark goes by the size of ``written`` files, and rows that
+    compress to a few MB may take hundreds in the driver, before they are exploded."""
+    return df.hint("merge")
 
 
 def numbered_as_is(df: DataFrame, name: str, start: int = 1) -> DataFrame:

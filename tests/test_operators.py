@@ -276,3 +276,16 @@ def test_many_geometries_are_decoded_as_one_by_one():
         one = wkb.decode(v)
         assert got == ({"kind": one["kind"], "srid": one.get("srid"), "parts": one["parts"]} if one else {"kind": None, "srid": None, "parts": None})
     assert len(wkb.decode_all([])) == 0
+
+
+def test_growing_sides_are_not_broadcast(spark, tmp_path):
+    """Tables whose files are small may be large in memory: joins of rings, chains, cells and pieces shuffle both sides."""
+    from plotwise.operators import overlay, quadtree, rings
+
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
+    segments = spark.createDataFrame([(k, *a, *b) for k in (1, 2) for a, b in zip(ring, ring[1:], strict=False)], "vlg int, ax double, ay double, bx double, by double")
+    own = rings.nested(rings.rings_of(segments, ["vlg"]), ["vlg"])
+    points = spark.createDataFrame([(1, 2.0, 2.0)], "vlg int, x double, y double")
+    cells = quadtree.covers(own.select(F.col("vlg"), F.array("ring").alias("rings")), ["vlg"])
+    for df in (own, rings.polygons(own, ["vlg"]), quadtree.held_by(points, cells, "x", "y", ["vlg"]), overlay.pairs(segments, ["vlg"])):
+        assert df.count() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
