@@ -143,14 +143,19 @@ def rewritten_lake(t: T) -> DataFrame:
     return lake.scoped(lake.read_rewritten(own.sparkSession, to), dist="01", taluk="02").select("parcel_id", "taluk", "hobli", "vlg")
 
 
+#: A power of two, so that coordinates are scaled there and back without rounding.
+LAKE_SCALE = 8192.0
+
+
 def village_lake(t: T) -> str:
-    """A folder of six village files from the customers, a square each as well-known binary in degrees; two files lack a column."""
+    """A folder of six village files from the customers, a square each as well-known binary in degrees; two files lack a column. Squares are
+    stored at 1/``LAKE_SCALE`` of their grid, so that every customer's is within the degrees of the globe."""
     spark, k = t("customer").sparkSession, F.col("c_custkey")
 
     @F.arrow_udf("binary")
     def square(x: pa.Array, y: pa.Array) -> pa.Array:
         corners = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
-        return pa.array([struct.pack("<BIII10d", 1, 3, 1, 5, *[c for dx, dy in corners for c in (a + dx, b + dy)]) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.binary())
+        return pa.array([struct.pack("<BIII10d", 1, 3, 1, 5, *[c for dx, dy in corners for c in ((a + dx) / LAKE_SCALE, (b + dy) / LAKE_SCALE)]) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.binary())
 
     own = t("customer").select((k % 6).alias("file"), s("c_custkey").alias("survey_no"), F.col("c_name").alias("village_name"), s("c_custkey").alias("village_code"), square((k % 40).cast("double"), F.floor(k / 40).cast("double") / 100).alias("geometry"))
     root = f"{folder(spark)}/{uuid.uuid4().hex}"
@@ -172,7 +177,7 @@ def lake_polygons(t: T) -> DataFrame:
     spark = t("customer").sparkSession
     got = lake.polygons(lake.scan(spark, village_lake(t), needed=lake.NEEDED), srid=None)
     mean = got.select("survey_no", "vlg", "taluk", "kind", geo.vertex_mean(F.col("mpoly")).alias("m"))
-    return mean.select("survey_no", "vlg", "taluk", "kind", F.round("m.x", 6).alias("x"), F.round("m.y", 6).alias("y"))
+    return mean.select("survey_no", "vlg", "taluk", "kind", F.round(F.col("m.x") * LAKE_SCALE, 6).alias("x"), F.round(F.col("m.y") * LAKE_SCALE, 6).alias("y"))
 
 
 @query(f"WITH {SURVEYS} SELECT survey_no, village_name, village_code, dist, taluk, hobli, vlg, l_orderkey::VARCHAR AS survey_no_norm, l_orderkey::VARCHAR AS survey_key FROM s")

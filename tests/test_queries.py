@@ -45,3 +45,14 @@ def test_villages_load_whole(spark):
 @pytest.mark.parametrize("name", ["bbox", "vertex_mean", "centroid", "point_in_polygon", "nearby_batch", "nearby_globe", "boundary_village", "boundary_hobli", "boundary_overlap"])
 def test_whole_tables(spark, name):
     assert matches(spark, name, "/root/testdata/sf0.01" if name.startswith("boundary") else "/root/testdata/sf0.1")
+
+
+def test_lake_polygons_beyond_90_degrees(spark, tmp_path):
+    """Of large tables the customers' squares lie beyond the degrees of the globe."""
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    own = pq.read_table(f"{SF}/customer.parquet")
+    far = own.set_column(own.schema.get_field_index("c_custkey"), "c_custkey", pc.add(own["c_custkey"], 899_850))
+    pq.write_table(far, tmp_path / "customer.parquet")
+    assert matches(spark, "lake_polygons", str(tmp_path))
