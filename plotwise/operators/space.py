@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..sources.shared import written
+from ..sources.shared import small, written
 from . import overlay, quadtree, rings
 
 HIERARCHY = ["dist", "taluk", "hobli", "vlg"]
@@ -119,12 +120,47 @@ class Grid:
         return left.withColumn("cx", F.explode(near))
 
 
+#: Points, and places, of a cell that meet in one group of the join: so a task's pairs depend on neither how full a cell is nor the input's files.
+BLOCK = 2048
+
+
+def blocks(df: DataFrame, counts: DataFrame, number: int, name: str) -> DataFrame:
+    """``df`` (cx, cy, _r) with ``name``, the row's block: cells of ``counts`` (cx, cy, n) are cut in blocks of about ``BLOCK`` by the chance
+    ``_r`` that was written with the row, so copies of a row are parted too. ``number`` is how many cells there are."""
+    many = F.ceil(F.col("n") / BLOCK)
+    return df.join(small(counts, number, 32), ["cx", "cy"]).withColumn(name, F.floor(F.col("_r") * many).cast("int")).drop("n", "_r")
+
+
+def on_sphere(df: DataFrame, lat: str, lng: str, prefix: str) -> DataFrame:
+    """Adds the place's three coordinates on the unit sphere."""
+    a, b = F.radians(lat), F.radians(lng)
+    return df.withColumns({f"{prefix}x": F.cos(a) * F.cos(b), f"{prefix}y": F.cos(a) * F.sin(b), f"{prefix}z": F.sin(a)})
+
+
 def nearby_batch(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
-    """All pairs within ``km``, anywhere on the globe, by an equi-join on the cells of ``Grid``."""
+    """All pairs within ``km``, anywhere on the globe, by an equi-join on the cells of ``Grid``.
+
+    Full cells are cut in blocks on both sides, and every block of points meets every block of places, so the pairs of a full cell are
+    listed by many tasks. Pairs whose chord through the sphere is too long are left out before the distance is computed."""
     grid = Grid(km)
-    distance = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("centroid_lat"), F.col("centroid_lng"))
-    both = grid.asking(points).join(grid.lying(places), ["cx", "cy"]).withColumn("km", distance)
-    return both.where(F.col("km") <= km).drop("cx", "cy")
+    asking = written(on_sphere(grid.asking(points), "lat", "lng", "_p").withColumn("_r", F.rand()))
+    lying = written(on_sphere(grid.lying(places), "centroid_lat", "centroid_lng", "_q").withColumn("_r", F.rand()))
+    count = lambda df, n: df.groupBy("cx", "cy").agg(F.count("*").alias(n))
+    # Only cells that both sides have matter.
+    full = written(count(asking, "asked").join(count(lying, "placed"), ["cx", "cy"]))
+    number = full.count()
+    rows = lambda n: full.select("cx", "cy", F.col(n).alias("n"))
+    left = blocks(asking, rows("asked"), number, "_i").join(small(full.select("cx", "cy", F.ceil(F.col("placed") / BLOCK).alias("_n")), number, 32), ["cx", "cy"])
+    right = blocks(lying, rows("placed"), number, "_j").join(small(full.select("cx", "cy", F.ceil(F.col("asked") / BLOCK).alias("_m")), number, 32), ["cx", "cy"])
+    left = left.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1))).drop("_n")
+    right = right.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_m").cast("int") - 1))).drop("_m")
+    chord = reduce(Column.__add__, [(F.col(f"_p{k}") - F.col(f"_q{k}")) * (F.col(f"_p{k}") - F.col(f"_q{k}")) for k in "xyz"])
+    key = ["cx", "cy", "_i", "_j"]
+    # As many parts as a session shuffles to, whatever the bytes: pairs are the work, and small inputs may have many.
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * points.sparkSession.sparkContext.defaultParallelism)
+    both = left.repartition(parts, *key).join(right.repartition(parts, *key).hint("shuffle_hash"), key).where(chord <= (2 * math.sin(min(math.pi / 2, km / geo.EARTH_KM / 2))) ** 2 * (1 + 1e-9) + 1e-14)
+    both = both.withColumn("km", geo.haversine_km(F.col("lat"), F.col("lng"), F.col("centroid_lat"), F.col("centroid_lng")))
+    return both.where(F.col("km") <= km).drop(*key, *[f"_{s}{k}" for s in "pq" for k in "xyz"])
 
 
 def nearest(points: DataFrame, places: DataFrame, k: int, id_: str = "lgd_code", widen: float = 3.0, crowd: int = 64) -> DataFrame:

@@ -289,3 +289,15 @@ def test_growing_sides_are_not_broadcast(spark, tmp_path):
     cells = quadtree.covers(own.select(F.col("vlg"), F.array("ring").alias("rings")), ["vlg"])
     for df in (own, rings.polygons(own, ["vlg"]), quadtree.held_by(points, cells, "x", "y", ["vlg"]), overlay.pairs(segments, ["vlg"])):
         assert df.count() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def crowd(spark, at, n=300):
+    """``n`` points and places beside one another, some of them alike."""
+    rows = [(i, at[0] + i % 10 * 1e-4, at[1] + i // 20 * 1e-4) for i in range(n)]
+    return spark.createDataFrame(rows, "point_id int, lat double, lng double"), spark.createDataFrame(rows, "lgd_code int, centroid_lat double, centroid_lng double")
+
+
+def test_a_full_cell_is_listed_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(space, "BLOCK", 64, raising=False)
+    got = space.nearby_batch(*crowd(spark, (12.0, 77.0)), 20.0).select("point_id", "lgd_code", F.spark_partition_id().alias("task")).collect()
+    assert len(got) == 300 * 300 == len({(r.point_id, r.lgd_code) for r in got}) and len({r.task for r in got}) > 4
