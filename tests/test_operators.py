@@ -301,3 +301,10 @@ def test_a_full_cell_is_listed_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(space, "BLOCK", 64, raising=False)
     got = space.nearby_batch(*crowd(spark, (12.0, 77.0)), 20.0).select("point_id", "lgd_code", F.spark_partition_id().alias("task")).collect()
     assert len(got) == 300 * 300 == len({(r.point_id, r.lgd_code) for r in got}) and len({r.task for r in got}) > 4
+
+
+def test_a_full_pole_is_listed_by_many_tasks(spark, monkeypatch):
+    """The band at a pole is one cell, whatever lies in it."""
+    monkeypatch.setattr(space, "BLOCK", 64, raising=False)
+    got = space.nearby_batch(*crowd(spark, (89.98, 77.0)), 400.0).select("point_id", "lgd_code", F.spark_partition_id().alias("task")).collect()
+    assert len(got) == 300 * 300 == len({(r.point_id, r.lgd_code) for r in got}) and len({r.task for r in got}) > 4
