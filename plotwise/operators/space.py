@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..sources.shared import small, written
+from ..sources.shared import numbered, shuffled, small, written
 from . import overlay, quadtree, rings
 
 HIERARCHY = ["dist", "taluk", "hobli", "vlg"]
@@ -209,10 +209,26 @@ def nearest_with_data(near: DataFrame, id_: str = "lgd_code") -> DataFrame:
     return near.where(F.col("vlg").isNotNull()).orderBy(F.col("has_data").desc(), "km", id_).limit(1)
 
 
-def parcels_under(points: DataFrame, parcels: DataFrame) -> DataFrame:
+#: Parts of parcels that points meet in the first round of ``parcels_under``, and how many times as many each next round has.
+FIRST, GROWTH = 16_384, 4
+
+
+def parcels_under(points: DataFrame, parcels: DataFrame, first: int = FIRST) -> DataFrame:
     """Per point (point_id, x, y) the parcel whose box is smallest of those that hold it (first by pos on a tie). A parcel holds what the
-    outer ring of any of its parts does, so a point in a hole is a hit. Both sides meet on cells of a quadtree."""
+    outer ring of any of its parts does, so a point in a hole is a hit. Both sides meet on cells of a quadtree.
+
+    Parcels come in rounds by the size of their box, each with ``GROWTH`` times as many as the one before, and a point that is held goes: no
+    later parcel is smaller. So a point under many parcels meets few of them, and hits grow with the points, not with points times parcels."""
     parts = parcels.where(F.size("mpoly") > 0).withColumn("_area", geo.box_area(geo.bbox(F.col("mpoly")))).select("parcel_id", "pos", "_area", F.explode("mpoly").alias("part"))
-    cells = written(quadtree.covers(parts.select("parcel_id", "pos", "_area", F.slice("part", 1, 1).alias("rings")), ["parcel_id", "pos", "_area"]))
-    hits = quadtree.held_by(points.select("point_id", "x", "y"), cells, "x", "y")
-    return hits.groupBy("point_id").agg(F.min_by("parcel_id", F.struct("_area", "pos")).alias("parcel_id"))
+    ranked = numbered(parts.select("parcel_id", "pos", "_area", F.slice("part", 1, 1).alias("rings")), ["_area", "pos"], "_n", 0)
+    total, left, start, size, out = ranked.count(), written(points.select("point_id", "x", "y")), 0, first, None
+    while out is None or start < total and not left.isEmpty():
+        # The rows of a range lie in few files: they are dealt anew.
+        some = ranked.where((F.col("_n") >= start) & (F.col("_n") < start + size)).repartition(left.sparkSession.sparkContext.defaultParallelism, "_n")
+        hits = quadtree.held_by(left, written(quadtree.covers(some, ["parcel_id", "pos", "_area"])), "x", "y")
+        found = written(hits.groupBy("point_id").agg(F.min_by("parcel_id", F.struct("_area", "pos")).alias("parcel_id")))
+        out = found if out is None else out.unionByName(found)
+        held = found.select(F.col("point_id").alias("_held"))
+        left = written(left.join(shuffled(held), F.col("point_id").eqNullSafe(F.col("_held")), "left_anti"))
+        start, size = start + size, size * GROWTH
+    return out

@@ -308,3 +308,21 @@ def test_a_full_pole_is_listed_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(space, "BLOCK", 64, raising=False)
     got = space.nearby_batch(*crowd(spark, (89.98, 77.0)), 400.0).select("point_id", "lgd_code", F.spark_partition_id().alias("task")).collect()
     assert len(got) == 300 * 300 == len({(r.point_id, r.lgd_code) for r in got}) and len({r.task for r in got}) > 4
+
+
+def test_a_point_under_many_parcels_meets_few(spark, monkeypatch):
+    from plotwise.operators import quadtree
+
+    met, held_by = [], quadtree.held_by
+
+    def counted(*args):
+        hits = held_by(*args)
+        met.append(hits.count())
+        return hits
+
+    monkeypatch.setattr(quadtree, "held_by", counted)
+    square = lambda w: [[[(-w, -w), (w, -w), (w, w), (-w, w), (-w, -w)]]]
+    parcels = spark.createDataFrame([(i, i, square(1.0 + i // 4)) for i in reversed(range(400))], "parcel_id int, pos int, mpoly array<array<array<struct<x: double, y: double>>>>")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 50.25, 0.5), (None, 99.5, 0.5), (4, 101.0, 0.0)], "point_id int, x double, y double")
+    got = {(r.point_id, r.parcel_id) for r in space.parcels_under(points, parcels, 8).collect()}
+    assert got == {(1, 0), (2, 200), (None, 396)} and sum(met) < 300
