@@ -106,7 +106,9 @@ def make_valid(parcels: DataFrame, keys: list[str]) -> DataFrame:
     """``parcels`` with a valid ``mpoly`` and ``repaired``; ``keys`` name a parcel. What the even-odd rule over all rings covers stays: bow ties
     become two parts, spikes and repeated points go, a hole outside its shell is a part, where parts overlap is a hole. Where
     nothing is covered mpoly is empty. A parcel without flaws stays point by point."""
-    told = written(with_flaws(parcels))
+    # Looking is the work, whatever the bytes: a table of few files is dealt to many tasks first.
+    context = parcels.sparkSession.sparkContext
+    told = written(with_flaws(parcels.repartition(8 * context.defaultParallelism, *keys)))
     rough = told.where("flawed").select(*keys, F.array(F.flatten("mpoly")).alias("mpoly"))
     if not rough.limit(1).count():
         return told.withColumnRenamed("flawed", "repaired")

@@ -326,3 +326,18 @@ def test_a_point_under_many_parcels_meets_few(spark, monkeypatch):
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 50.25, 0.5), (None, 99.5, 0.5), (4, 101.0, 0.0)], "point_id int, x double, y double")
     got = {(r.point_id, r.parcel_id) for r in space.parcels_under(points, parcels, 8).collect()}
     assert got == {(1, 0), (2, 200), (None, 396)} and sum(met) < 300
+
+
+def test_parcels_of_one_file_are_looked_at_by_many_tasks(spark, monkeypatch):
+    from plotwise.operators import valid
+
+    tasks, written = [], valid.written
+
+    def noted(df):
+        tasks.append(df.rdd.getNumPartitions())
+        return written(df)
+
+    monkeypatch.setattr(valid, "written", noted)
+    square = [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]]
+    parcels = spark.createDataFrame([(i, square) for i in range(50)], "parcel_id int, mpoly array<array<array<struct<x: double, y: double>>>>").coalesce(1)
+    assert not any(r.repaired for r in valid.make_valid(parcels, ["parcel_id"]).collect()) and tasks[0] > 8
