@@ -180,12 +180,16 @@ def lake_polygons(t: T) -> DataFrame:
     return mean.select("survey_no", "vlg", "taluk", "kind", F.round(F.col("m.x") * LAKE_SCALE, 6).alias("x"), F.round(F.col("m.y") * LAKE_SCALE, 6).alias("y"))
 
 
+#: Bytes of a village file's row groups, so that many tasks read a large file.
+ROW_GROUP = 8 << 20
+
+
 @query(f"WITH {SURVEYS} SELECT survey_no, village_name, village_code, dist, taluk, hobli, vlg, l_orderkey::VARCHAR AS survey_no_norm, l_orderkey::VARCHAR AS survey_key FROM s")
 def survey_index_resumed(t: T) -> DataFrame:
     """Line items as files of parcels: a build that stops after two batches of three files, and a second one that takes in the rest."""
     spark = t("lineitem").sparkSession
     root = f"{folder(spark)}/{uuid.uuid4().hex}"
-    surveys(t).repartition(9, "vlg").write.parquet(f"{root}/lake")
+    surveys(t).repartition(9, "vlg").write.option("parquet.block.size", ROW_GROUP).parquet(f"{root}/lake")
     read = lambda paths: search.survey_index(spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("file")), ("file",))
     listed = lake.files(spark, f"{root}/lake", "*.parquet")
     builds.build_in_batches(listed, f"{root}/index", read, per_batch=3, batches=2)

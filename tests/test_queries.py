@@ -56,3 +56,19 @@ def test_lake_polygons_beyond_90_degrees(spark, tmp_path):
     far = own.set_column(own.schema.get_field_index("c_custkey"), "c_custkey", pc.add(own["c_custkey"], 899_850))
     pq.write_table(far, tmp_path / "customer.parquet")
     assert matches(spark, "lake_polygons", str(tmp_path))
+
+
+def test_resumed_index_reads_files_in_many_tasks(spark, monkeypatch):
+    """Village files that are large have several row groups, so that a batch of three files is not the work of three tasks."""
+    import pyarrow.parquet as pq
+
+    listed, groups = registry.lake.files, []
+
+    def noted(session, root, names):
+        out = listed(session, root, names)
+        groups.append(max(pq.read_metadata(r.path.removeprefix("file:")).num_row_groups for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(registry.lake, "files", noted)
+    monkeypatch.setattr(registry, "ROW_GROUP", 1 << 10, raising=False)
+    assert matches(spark, "survey_index_resumed", SF.replace("0.001", "0.01")) and groups[0] > 1
