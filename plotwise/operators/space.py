@@ -121,7 +121,9 @@ class Grid:
 
 
 #: Points, and places, of a cell that meet in one group of the join: so a task's pairs depend on neither how full a cell is nor the input's files.
-BLOCK = 2048
+BLOCK = 1024
+#: Pairs of rows that a task of the join compares, on average: full blocks of either side make 16 groups, so no task has many times as many.
+PAIRS = 1 << 24
 
 
 def blocks(df: DataFrame, counts: DataFrame, number: int, name: str) -> DataFrame:
@@ -141,14 +143,16 @@ def nearby_batch(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
     """All pairs within ``km``, anywhere on the globe, by an equi-join on the cells of ``Grid``.
 
     Full cells are cut in blocks on both sides, and every block of points meets every block of places, so the pairs of a full cell are
-    listed by many tasks. Pairs whose chord through the sphere is too long are left out before the distance is computed."""
-    grid = Grid(km)
+    listed by many tasks: as many as the counted pairs ask for, so the longest does not grow with them. Pairs whose chord through the sphere is too long are left out before the distance is computed."""
+    grid, context = Grid(km), points.sparkSession.sparkContext
+    # A table of one row group would be placed by one task.
+    points, places = (df.repartition(context.defaultParallelism) for df in (points, places))
     asking = written(on_sphere(grid.asking(points), "lat", "lng", "_p").withColumn("_r", F.rand()))
     lying = written(on_sphere(grid.lying(places), "centroid_lat", "centroid_lng", "_q").withColumn("_r", F.rand()))
     count = lambda df, n: df.groupBy("cx", "cy").agg(F.count("*").alias(n))
     # Only cells that both sides have matter.
     full = written(count(asking, "asked").join(count(lying, "placed"), ["cx", "cy"]))
-    number = full.count()
+    number, pairs = full.agg(F.count("*"), F.sum(F.col("asked").cast("double") * F.col("placed"))).first()
     rows = lambda n: full.select("cx", "cy", F.col(n).alias("n"))
     left = blocks(asking, rows("asked"), number, "_i").join(small(full.select("cx", "cy", F.ceil(F.col("placed") / BLOCK).alias("_n")), number, 32), ["cx", "cy"])
     right = blocks(lying, rows("placed"), number, "_j").join(small(full.select("cx", "cy", F.ceil(F.col("asked") / BLOCK).alias("_m")), number, 32), ["cx", "cy"])
@@ -156,8 +160,8 @@ def nearby_batch(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
     right = right.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_m").cast("int") - 1))).drop("_m")
     chord = reduce(Column.__add__, [(F.col(f"_p{k}") - F.col(f"_q{k}")) * (F.col(f"_p{k}") - F.col(f"_q{k}")) for k in "xyz"])
     key = ["cx", "cy", "_i", "_j"]
-    # As many parts as a session shuffles to, whatever the bytes: pairs are the work, and small inputs may have many.
-    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * points.sparkSession.sparkContext.defaultParallelism)
+    # At least as many parts as a session shuffles to, whatever the bytes, and more as the pairs grow: these are the work, not the rows.
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * context.defaultParallelism, math.ceil((pairs or 0) / PAIRS))
     both = left.repartition(parts, *key).join(right.repartition(parts, *key).hint("shuffle_hash"), key).where(chord <= (2 * math.sin(min(math.pi / 2, km / geo.EARTH_KM / 2))) ** 2 * (1 + 1e-9) + 1e-14)
     both = both.withColumn("km", geo.haversine_km(F.col("lat"), F.col("lng"), F.col("centroid_lat"), F.col("centroid_lng")))
     return both.where(F.col("km") <= km).drop(*key, *[f"_{s}{k}" for s in "pq" for k in "xyz"])

@@ -341,3 +341,12 @@ def test_parcels_of_one_file_are_looked_at_by_many_tasks(spark, monkeypatch):
     square = [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]]
     parcels = spark.createDataFrame([(i, square) for i in range(50)], "parcel_id int, mpoly array<array<array<struct<x: double, y: double>>>>").coalesce(1)
     assert not any(r.repaired for r in valid.make_valid(parcels, ["parcel_id"]).collect()) and tasks[0] > 8
+
+
+def test_tasks_of_the_pairs_grow_with_their_number(spark, monkeypatch):
+    """Pairs grow with the square of the input: so many tasks as a session has would each get more and more of them."""
+    monkeypatch.setattr(space, "BLOCK", 16)
+    monkeypatch.setattr(space, "PAIRS", 1000, raising=False)
+    usual = max(4, 8 * spark.sparkContext.defaultParallelism)
+    got = space.nearby_batch(*crowd(spark, (89.98, 77.0)), 400.0).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in got) == 300 * 300 and len(got) > usual and max(r["count"] for r in got) < 10 * 1000
