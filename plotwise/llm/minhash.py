@@ -35,7 +35,7 @@ no rows; other columns are ignored (by the stage: passed on).
 
 from __future__ import annotations
 
-import re
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
@@ -74,17 +74,20 @@ WIDTH = REST + PLAIN + WEIGHED + 2
 #: Comparisons between two merges: this many, or this many a text if that is more.
 WORK, WORK_PER_TEXT, SLOTS = 20_000_000, 200, 1 << 15
 LEVELS_PER_OCTAVE = 4
-#: Shingles that are sampled at once, to stay within the processor's cache.
-STEP = 60_000
+#: Shingles that are sampled at once, and those of one weight level that are sampled apart from the other levels'.
+STEP, CROWD = 240_000, 4_000
+#: Which half of a 64-bit number in memory is its high one.
+HIGH = int(sys.byteorder == "little")
 #: Powers of the words' hash that a worker keeps (16 bytes each); longer texts make their own.
 KEEP = 1 << 20
 U64 = np.uint64
 
 
 #: White space outside ASCII, and the odd multiplier of the words' polynomial hash with its inverse mod 2**64.
-WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+MIX, HALF = U64(0xD6E8FEB86659FD93), U64(32)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _powers = [np.ones(1, U64), np.ones(1, U64)]
@@ -108,11 +111,12 @@ def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words, all at once: differences of a running polynomial over the bytes, shifted to the word's start."""
     if not text:
         return np.zeros(0, U64)
-    if WIDE_SPACE.search(text):
+    if not text.isascii() and any(c in text for c in WIDE_SPACE):
         text = " ".join(text.split())
     raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
-    space = IS_SPACE[raw]
-    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = IS_SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[0::2], edge[1::2]
     up, down = powers(len(raw))
     run = np.zeros(len(raw) + 1, U64)
@@ -122,9 +126,12 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
-    x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
-    return x ^ (x >> U64(32))
+    x = x ^ (x >> HALF)
+    x *= MIX
+    x ^= x >> HALF
+    x *= MIX
+    x ^= x >> HALF
+    return x
 
 
 def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +148,11 @@ def counted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np
     for i in range(width):
         h = mixed(h ^ words[i : i + n]) if i == 0 else mixed(h * U64(0x9E3779B97F4A7C15) + words[i : i + n])
         w += value[i : i + n]
-    found, first, count = np.unique(h, return_index=True, return_counts=True)
-    return found, w[first] / width * count, count
+    order = np.argsort(h)
+    h = h[order]
+    first = np.append(0, np.flatnonzero(h[1:] != h[:-1]) + 1)
+    count = np.diff(first, append=n)
+    return h[first], w[order[first]] / width * count, count
 
 
 def alike(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
@@ -177,27 +187,56 @@ class Sampler:
 
     def bands(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, counts: np.ndarray | int = 1) -> np.ndarray:
         """Per text ``WIDTH`` longs: the band hashes under both weighings, their sketches (``BITS`` planes of one bit for each sample), then ``bitmaps``."""
-        offsets = self.rows_of(np.rint(np.log2(weights) * LEVELS_PER_OCTAVE).astype(np.int64))
-        flat, low = self.scores.ravel(), hashes & U64(0xFFFFFFFF)
         out = np.zeros((WIDTH, len(starts)), U64)
-        for k, m in enumerate(self.multipliers):
-            at = (hashes * m >> U64(48)).astype(np.int64) + offsets
-            packed = (flat.take(at).astype(U64) << U64(32)) | low
-            band = out[k // ROWS]
-            sample = np.minimum.reduceat(packed, starts)
-            band[:] = mixed(band * U64(0x9E3779B97F4A7C15) + sample)
-            code = mixed(sample)
-            for bit in range(BITS):
-                out[ALL + bit * LONGS + k // 64] |= (code >> U64(bit) & U64(1)) << U64(k % 64)
-        for k, sample in enumerate(equal_samples(hashes, starts).T):
-            band = out[BANDS + k // EQUAL_ROWS]
-            band[:] = mixed(band * U64(0x9E3779B97F4A7C15) + sample)
-            code = mixed(sample)
-            for bit in range(BITS):
-                out[ALL + SKETCH + bit * EQUAL_LONGS + k // 64] |= (code >> U64(bit) & U64(1)) << U64(k % 64)
+        hashed(self.samples(hashes, weights, starts), out, 0, BANDS, ALL)
+        hashed(np.ascontiguousarray(equal_samples(hashes, starts).T), out, BANDS, EQUAL_BANDS, ALL + SKETCH)
         out[REST:] = bitmaps(hashes, weights, starts, counts).T
         return out.T.view(np.int64)
 
+    def samples(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """``BANDS * ROWS`` samples of each text (one column a text): the least score of its shingles, equal ones by hash.
+
+        All samples of a level's shingles are drawn before the next level's, so its scores stay in the processor's cache; levels of
+        few shingles are drawn together."""
+        levels = np.rint(np.log2(weights) * LEVELS_PER_OCTAVE).astype(np.int16)
+        offsets, known = self.rows_of(levels), np.bincount(levels - levels.min())
+        owner = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(hashes)))
+        crowded = np.flatnonzero(known >= CROWD) + levels.min()
+        out = np.full((len(self.multipliers), len(starts)), 0xFFFFFFFFFFFFFFFF, U64)
+        for at in [*(np.flatnonzero(levels == level) for level in crowded), np.flatnonzero(~np.isin(levels, crowded))]:
+            if not len(at):
+                continue
+            h, offset = hashes[at], offsets[at].view(U64)
+            alone = offset.min() == offset.max()
+            scores = self.scores.ravel()[int(offset[0]) :][: 1 << 16] if alone else self.scores.ravel()
+            first = np.flatnonzero(np.diff(owner[at], prepend=-1))
+            least, packed = np.empty((len(out), len(first)), U64), h & U64(0xFFFFFFFF)
+            place, score, high = np.empty(len(h), U64), np.empty(len(h), np.uint32), packed.view(np.uint32)[HIGH::2]
+            for k, m in enumerate(self.multipliers):
+                np.multiply(h, m, out=place)
+                np.right_shift(place, U64(48), out=place)
+                if not alone:
+                    np.add(place, offset, out=place)
+                high[:] = scores.take(place.view(np.int64), out=score, mode="clip")
+                np.minimum.reduceat(packed, first, out=least[k])
+            texts = owner[at][first]
+            out[:, texts] = np.minimum(out[:, texts], least)
+        return out
+
+
+def hashed(samples: np.ndarray, out: np.ndarray, band: int, bands: int, sketch: int) -> None:
+    """Puts the ``bands`` hashes of ``samples`` (one column a text) in ``out`` from row ``band``, and the planes of their sketch from row ``sketch``."""
+    number, texts = samples.shape
+    of_band, value = samples.reshape(bands, number // bands, texts), np.zeros((bands, texts), U64)
+    for row in range(number // bands):
+        value = mixed(value * U64(BASE) + of_band[:, row])
+    out[band : band + bands] = value
+    code, longs = mixed(samples), -(-number // 64)
+    for bit in range(BITS):
+        plane = np.zeros((texts, 64 * longs), np.uint8)
+        plane[:, :number] = (code >> U64(bit) & U64(1)).T
+        out[sketch + bit * longs : sketch + (bit + 1) * longs] = np.packbits(plane, axis=1, bitorder="little").view("<u8").T
+
 
 def equal_samples(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Per text ``BINS`` samples of its shingles, all of the same weight: each shingle falls into one bin, whose least is its sample. An empty
@@ -245,20 +284,18 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """Smoothed inverse document frequency per hashed word slot, over all documents. Each task sums its own documents first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(IDF_SLOTS, np.int64)
+        slots, last = np.zeros(IDF_SLOTS, np.int64), np.zeros(IDF_SLOTS, np.int64)
         docs_seen = 0
         for b in slices(batches):
             for t in b.column("text").to_pylist():
                 words = word_hashes(t)
                 if len(words):
                     docs_seen += 1
-                    seen = np.zeros(IDF_SLOTS, bool) if len(words) > 4096 else None
                     at = (words & U64(IDF_SLOTS - 1)).astype(np.int64)
-                    if seen is None:
-                        slots[np.unique(at)] += 1
-                    else:
-                        seen[at] = True
-                        slots += seen
+                    # Of the words in one slot a single one finds its own number there, so each slot counts once.
+                    number = np.arange(len(at))
+                    last[at] = number
+                    slots[at[last[at] == number]] += 1
         full = np.flatnonzero(slots)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1).astype("int32")), pa.array(np.append(slots[full], docs_seen))], ["slot", "n"])
 

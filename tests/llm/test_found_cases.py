@@ -4,6 +4,7 @@ import base64
 import itertools
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -42,6 +43,40 @@ def test_links_by_equal_weights_are_found(spark):
     assert len(set(got.values())) >= 300
 
 
+def test_samples_take_less_time_than_look_ups_over_all_levels():
+    """The same samples as by looking each shingle up in the scores of all levels, in less time: crowded levels, rare ones, one shingle, ties."""
+    draw = np.random.default_rng(5)
+    n = 2 * minhash.CROWD * 30
+    hashes = draw.integers(0, 1 << 63, n).astype(np.uint64)
+    hashes[1000:2000] = hashes[:1000]
+    weights = np.maximum(0.5, np.exp(draw.normal(1.5, 0.6, n)))
+    starts = np.array([0, 1, *range(500, n, 480)])
+    sampler = minhash.Sampler()
+    offsets = sampler.rows_of(np.rint(np.log2(weights) * minhash.LEVELS_PER_OCTAVE).astype(np.int64))
+
+    def plain():
+        flat, low = sampler.scores.ravel(), hashes & np.uint64(0xFFFFFFFF)
+        at = ((hashes * m >> np.uint64(48)).astype(np.int64) + offsets for m in sampler.multipliers)
+        return np.array([np.minimum.reduceat((flat.take(x).astype(np.uint64) << np.uint64(32)) | low, starts) for x in at])
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    assert np.array_equal(sampler.bands(hashes, weights, starts).view(np.uint64)[:, : minhash.BANDS], by_bands(plain()))
+    # In turns, and the least of each, as other work on the machine slows either.
+    took = [(seconds(lambda: sampler.bands(hashes, weights, starts)), seconds(plain)) for _ in range(5)]
+    assert min(x for x, _ in took) < 0.75 * min(y for _, y in took)
+
+
+def by_bands(samples):
+    out = np.zeros((samples.shape[1], minhash.BANDS), np.uint64)
+    for k, sample in enumerate(samples):
+        out[:, k // minhash.ROWS] = minhash.mixed(out[:, k // minhash.ROWS] * np.uint64(minhash.BASE) + sample)
+    return out
+
+
 def test_equal_samples_follow_the_similarity():
     draw = np.random.default_rng(2)
     for n in (4, 30, 2000):
